@@ -54,7 +54,7 @@ def numbering_buckets(n: int) -> int:
     return max(1024, min(65_536, n // 2048))
 
 
-def dense_numbers(df: DataFrame, by: list[Column], order: list[Column], out: str, buckets: int, within: list[str] | None = None) -> DataFrame:
+def dense_numbers(df: DataFrame, by: list[Column], order: list[Column], out: str, buckets: int | Column, within: list[str] | None = None) -> DataFrame:
     """Number rows 0, 1, 2, ... without a global sort (per group of ``within``, if given).
 
     Rows are spread over hash buckets of ``by``; each bucket is numbered on its own
@@ -64,7 +64,7 @@ def dense_numbers(df: DataFrame, by: list[Column], order: list[Column], out: str
     on their partitions.
     """
     within = within or []
-    keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int"))
     w_off = Window.partitionBy(*within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = keyed.groupBy(*within, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
     offsets = sizes.select(*within, "__bucket", F.coalesce(F.sum("__size").over(w_off), F.lit(0)).alias("__before"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .dedup_exact import exact_dedup
+from .langid import identify
+from .mixing import mix
+from .packing import pack
 from .sharding import feistel_shards
 from .simhash import near_components
 from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, judge_urls
@@ -17,6 +20,23 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+#: op4: target shares in proportion to the square root of a source's rows, as many rows as there are.
+MIX_SEED, MIX_TEMPERATURE = "mix", 0.5
+
+
+def op4_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"), MIX_SEED, temperature=MIX_TEMPERATURE)
+    return out.select("row.doc_id", "row.source", F.col("copy").cast("bigint").alias("copy"), F.col("copies").cast("bigint").alias("copies"), F.round("rate", 6).alias("rate"), "shuffle_key", F.md5(F.coalesce("row.text", F.lit(""))).alias("text_md5"))
+
+
+def op6_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -60,9 +80,22 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY text_sha256)"""
 
 
+_H = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+_MIX_SQL = f"""
+WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM s) * pow(n::DOUBLE, {MIX_TEMPERATURE}) / (SELECT sum(pow(n::DOUBLE, {MIX_TEMPERATURE})) FROM s) / n AS rate FROM s),
+c AS (SELECT source, rate, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+    FROM r, range(0, 100) t(k)),
+d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, (({_H.format(f"'{MIX_SEED}|' || doc_id || '|1'")} >> 10) + 0.5) / pow(2, 50) AS u FROM documents),
+x AS (SELECT d.doc_id, d.source, d.text_md5, c.rate, count(*) FILTER (WHERE c.cdf <= d.u) AS copies
+    FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, source, unnest(range(1, copies + 1))::BIGINT AS copy, copies, round(rate, 6) AS rate, text_md5,
+    {_H.format(f"'{MIX_SEED}|place|' || doc_id || '|' || copy")} AS shuffle_key FROM x WHERE copies > 0"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_bktree, op8_exact_dedup, op9_feistel_shards, op10_url_vocabulary)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op3_zstd_language, op4_poisson_mixture, op6_lp_packing, op8_exact_dedup, op9_feistel_shards, op10_url_vocabulary)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _EXACT_SQL, "op10_url_vocabulary": _url_sql()}
+    return {"op4_poisson_mixture": _MIX_SQL, "op8_exact_dedup": _EXACT_SQL, "op10_url_vocabulary": _url_sql()}
