@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secrets
+from .ann import neighbours
 from .common import table
 from .dedup_exact import exact_dedup
 from .langid import identify
 from .mixing import mix
 from .packing import pack
+from .pii import pseudonymise
 from .sharding import feistel_shards
 from .simhash import near_components
 from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, judge_urls
@@ -20,6 +23,10 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -33,10 +40,22 @@ def op4_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.source", F.col("copy").cast("bigint").alias("copy"), F.col("copies").cast("bigint").alias("copies"), F.round("rate", 6).alias("rate"), "shuffle_key", F.md5(F.coalesce("row.text", F.lit(""))).alias("text_md5"))
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymise(table(spark, sf_dir, "documents"))
+    spans = F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return out.select("row.doc_id", "text", F.size("found").cast("bigint").alias("n_found"), F.concat_ws(",", spans).alias("spans"))
+
+
 def op6_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex", "random")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("assign", "access", "hex"), 256).alias("base_sha256"), secrets.listed(*secrets.KINDS).alias("spans"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -94,7 +113,7 @@ SELECT doc_id, source, unnest(range(1, copies + 1))::BIGINT AS copy, copies, rou
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_bktree, op3_zstd_language, op4_poisson_mixture, op6_lp_packing, op8_exact_dedup, op9_feistel_shards, op10_url_vocabulary)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_multi_index_hashing, op3_zstd_language, op4_poisson_mixture, op5_feistel_pseudonyms, op6_lp_packing, op7_randomness_battery, op8_exact_dedup, op9_feistel_shards, op10_url_vocabulary)}
 
 
 def oracle_sql() -> dict[str, str]:
