@@ -135,8 +135,11 @@ def select_alpha(xy: DataFrame, features: list[str], y: str, alphas=(0.1, 1.0, 1
 
 
 def walk_forward(xy: DataFrame, features: list[str], y: str, refits: list, alpha: float = 10.0, horizon_end=None, sets: dict[str, list[str]] | None = None) -> DataFrame:
-    """Predictions between consecutive refit dates from models trained on mature rows only."""
-    out = None
+    """Predictions between consecutive refit dates from models trained on mature rows only.
+
+    The input is persisted: every refit reads it several times.
+    """
+    xy, out = xy.persist(), None
     for i, start in enumerate(refits):
         stop = refits[i + 1] if i + 1 < len(refits) else horizon_end
         train = forecast.mature(xy, start, y)
