@@ -300,3 +300,22 @@ def wild_cluster_bootstrap(spark, d):
 def tier_sector_rollup(spark, d):
     """Subtotals over tier and sector."""
     return B.weekly(spark, d).rollup("sparsity_tier", "sector").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ret")).alias("mean_ret"))
+
+
+@query()
+def comovement_screen(spark, d):
+    """Per-entity regressions of log attention on log turnover and absolute return."""
+    from ..operators import specs
+
+    return specs.comovement(B.weekly(spark, d).withColumn("turnover", F.col("volume") / 1e4))
+
+
+@query()
+def model_battery(spark, d):
+    """Reversal and sub-sample specs of the analogue panel, skipped ones included."""
+    from ..operators import panel as P
+    from ..operators import specs
+
+    x = P.lead_lag(B.weekly(spark, d), horizons=(2, 3)).withColumn("abn_attention_weekend", F.col("abn_att_all")).cache()
+    fits = specs.run(x, [*specs.reversal(horizons=(2, 3)), *specs.main()], controls=("ret_lag1",), gates=(100, 5, 20), rounds=6)
+    return specs.summary(spark, fits)

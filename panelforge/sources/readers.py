@@ -72,11 +72,24 @@ def month_revenue(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("d.stock_id").alias("ticker"), month.alias("month"), F.to_date("d.date").alias("announce_date"), F.col("d.revenue").alias("revenue"), F.col("d.revenue_yoy").alias("revenue_yoy"), F.col("d.revenue_mom").alias("revenue_mom"))
 
 
+def completed_folders(spark: SparkSession, path: str, marker: str = "_complete.json") -> list[str]:
+    """Folders under ``path`` that hold the marker (Spark itself does not list hidden files)."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = at.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        p = files.next().getPath()
+        if p.getName() == marker:
+            out.append(p.getParent().toString())
+    return sorted(out)
+
+
 def news(spark: SparkSession, path: str) -> DataFrame:
     """Items of completed windows (folders with ``_complete.json``); one row per id."""
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "_complete.json").option("recursiveFileLookup", "true").load(path).select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"))
-    raw = spark.read.schema(NEWS).option("pathGlobFilter", "[!_]*.json").json(path, multiLine=True, mode="FAILFAST", recursiveFileLookup=True)
-    items = raw.withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")).join(done, "folder", "left_semi").select(F.explode("items.data").alias("d"))
+    done = completed_folders(spark, path)
+    if not done:
+        return spark.createDataFrame([], "news_id long, publish_at timestamp_ntz, title string, content string")
+    items = spark.read.schema(NEWS).json(done, multiLine=True, mode="FAILFAST").select(F.explode("items.data").alias("d"))
     rows = items.where("d.publishAt IS NOT NULL").select(F.col("d.newsId").alias("news_id"), F.timestamp_seconds("d.publishAt").cast("timestamp_ntz").alias("publish_at"), F.col("d.title").alias("title"), X.strip_html(F.col("d.content")).alias("content"))
     w = Window.partitionBy("news_id").orderBy("publish_at", "title")
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
