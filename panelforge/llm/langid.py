@@ -75,7 +75,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 class Classifier:
-    """Built once per worker from a model."""
+    """Encoders of a model."""
 
     def __init__(self, model: dict[str, bytes]) -> None:
         # zstandard stores no dictionary under 8 bytes: pad with spaces.
@@ -112,13 +112,25 @@ class Classifier:
         return self.langs[best], score, margin
 
 
+_last: tuple[int, Classifier | None] = (0, None)
+
+
+def classifier(model: dict[str, bytes]) -> Classifier:
+    """The last model's encoders are kept in the worker process from task to task."""
+    global _last
+    key = hash(tuple(sorted(model.items())))
+    if _last[1] is None or _last[0] != key:
+        _last = (key, Classifier(model))
+    return _last[1]
+
+
 def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN, columns: list | None = None) -> DataFrame:
     """``columns`` (default: the identifier) plus lang_pred, score, margin, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGS x DICT_BYTES
 
     @F.pandas_udf("struct<lang_pred string, score double, margin double>")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = Classifier(shared.value)
+        c = classifier(shared.value)
         for texts in batches:
             yield pd.DataFrame([c.predict(t) for t in texts], columns=["lang_pred", "score", "margin"])
 

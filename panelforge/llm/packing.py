@@ -20,6 +20,7 @@ an empty result; other columns pass by.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -47,13 +48,13 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of a byte-level BPE file; built once per worker."""
+    """Ids of a byte-level BPE file."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -62,7 +63,12 @@ class Encoder:
         code |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         ranks = {bytes(code[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(path)
+
+    @functools.cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
@@ -70,6 +76,12 @@ class Encoder:
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One per worker process: it outlives a task, however many partitions there are."""
+    return Encoder(path)
+
+
 def piece_starts(n: int, most: int = MAX_TOKENS) -> list[int]:
     """Starts of the pieces of ``n`` ids: all full but the first, which may be shorter."""
     first = n % most or most
@@ -82,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, most: int = MAX_TOKENS
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * emit_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
