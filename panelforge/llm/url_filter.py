@@ -38,9 +38,9 @@ RULES = (
     Rule("org", "/es/", "block"),
 )
 #: One of these blocks.
-STRICT = ("casino", "porn", "xxx", "viagra", "escort", "malware", "phishing", "warez")
+STRICT = ("adult", "casino", "porn", "xxx", "viagra", "escort", "malware", "phishing", "warez")
 #: Several distinct ones of these block.
-SOFT = ("spam", "farm", "win", "bet", "free", "adult", "cheap", "pills", "bonus", "click", "loan", "poker", "crack", "torrent", "jackpot")
+SOFT = ("spam", "farm", "win", "bet", "bets", "free", "cheap", "pills", "bonus", "ads", "track", "tracker", "click", "loan", "poker", "crack", "torrent", "jackpot")
 SOFT_LIMIT = 2
 
 
