@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .similar import similar_links
 
 RADIUS = 2
 #: Fingerprints of a shard before it is cut again.
@@ -236,14 +237,34 @@ def near_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return prints.join(label, "fp").select("id", "fp", F.nullif("component", big).alias("component"))
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_key(id_col: str, text_col: str):
+    """The identifier; for a null one a number above all others, by the text."""
+    text = F.col(text_col)
+    own = F.lit(2**63 - 1) - F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()), F.lit(2**40))
+    return F.coalesce(F.col(id_col).cast("bigint"), own)
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id, component over the fingerprint links and the links of shingle similarity.
+
+    ``docs``: id (not null), text.  Rows of one identifier are one node.
+    """
+    prints = materialize(fingerprints(docs, words, "id", "text"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")))
+    same = prints.join(nodes, "fp").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(nodes).unionByName(same).unionByName(similar_links(docs, words, similarity, "id", "text"))
+    linked = components(links).select(F.col("node").alias("id"), "component")
+    return prints.select("id").distinct().join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near copies: the smallest id stays.
 
     Of rows that repeat an id, the one with the smallest hash of its text stays.
     """
-    near = near_components(docs, words, id_col, text_col)
-    keep = near.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"))
-    out = rows.join(keep, F.col("id").eqNullSafe(F.col("__id")))
+    keyed = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    keep = similar_components(keyed, words, similarity).where("id = component").select(F.col("id").alias("__id"))
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("id"))
+    out = rows.join(keep, F.col("id") == F.col("__id"))
     w = Window.partitionBy("__id").orderBy(F.xxhash64(F.col(f"row.{text_col}")))
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("row.*")
