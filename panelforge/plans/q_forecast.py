@@ -310,11 +310,11 @@ def _cands(spark, d):
     return backtest.candidates(p, _labels(spark, d), B.plain_prices(B.daily(spark, d)), "a", top_k=5)
 
 
-@query(B.sql("weekly", """SELECT as_of, ticker, rank, n_obs, round(adv, 4) AS adv, round(px_in, 6) AS px_in, round(px_out, 6) AS px_out FROM (SELECT t.as_of, t.ticker, t.rank, count(d.date) AS n_obs, CASE WHEN count(d.date) >= 20 THEN avg(d.value) END AS adv, any_value(px_in) AS px_in, any_value(px_out) AS px_out FROM top t
+@query(B.sql("weekly", """SELECT as_of, ticker, rank, n_obs, round(adv, 4) AS adv, px_in, px_out FROM (SELECT t.as_of, t.ticker, t.rank, count(d.date) AS n_obs, CASE WHEN count(d.date) >= 20 THEN avg(d.value) END AS adv, any_value(px_in) AS px_in, any_value(px_out) AS px_out FROM top t
     LEFT JOIN (SELECT ticker, date, value, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM daily) d ON d.ticker = t.ticker AND d.date < t.as_of AND d.k > t.k - 20 GROUP BY ALL)""", _lab(1), _PRED,
     "top AS (SELECT *, (SELECT count(*) FROM daily x WHERE x.ticker = q.ticker AND x.date < q.as_of) AS k, (SELECT arg_min(open, date) FROM daily x WHERE x.ticker = q.ticker AND x.date BETWEEN q.entry_at AND q.label_end_at) AS px_in, (SELECT arg_max(close, date) FROM daily x WHERE x.ticker = q.ticker AND x.date BETWEEN q.entry_at AND q.label_end_at) AS px_out FROM (SELECT p.ticker, p.as_of, l.entry_at, l.label_end_at, row_number() OVER (PARTITION BY p.as_of ORDER BY p.a DESC, p.ticker) AS rank FROM pd p JOIN labels l ON l.ticker = p.ticker AND l.as_of = p.as_of WHERE p.a IS NOT NULL AND l.label_status = 'ok') q WHERE rank <= 5)"))
 def backtest_candidates(spark, d):
-    return _cands(spark, d).select("as_of", "ticker", "rank", "n_obs", F.round("adv", 4).alias("adv"), r6("px_in").alias("px_in"), r6("px_out").alias("px_out"))
+    return _cands(spark, d).select("as_of", "ticker", "rank", "n_obs", F.round("adv", 4).alias("adv"), "px_in", "px_out")
 
 
 _OPT = dict(min_adv=1000.0, cash=1e6, adv_share=0.5)

@@ -12,9 +12,9 @@ from .registry import query
 r6 = lambda c: F.round(c, 6)
 
 
-@query(B.sql("bars", "SELECT ticker, week, n_days, first_date, last_date, round(week_open, 6) AS week_open, round(week_close, 6) AS week_close, volume, round(value, 2) AS value, zero_volume_days, round(ret, 6) AS ret FROM bars"))
+@query(B.sql("bars", "SELECT ticker, week, n_days, first_date, last_date, week_open, week_close, volume, round(value, 2) AS value, zero_volume_days, round(ret, 6) AS ret FROM bars"))
 def weekly_bars(spark, d):
-    return B.bars(spark, d).select("ticker", "week", "n_days", "first_date", "last_date", r6("week_open").alias("week_open"), r6("week_close").alias("week_close"), "volume", F.round("value", 2).alias("value"), "zero_volume_days", r6("ret").alias("ret"))
+    return B.bars(spark, d).select("ticker", "week", "n_days", "first_date", "last_date", "week_open", "week_close", "volume", F.round("value", 2).alias("value"), "zero_volume_days", r6("ret").alias("ret"))
 
 
 @query(B.sql("daily", """SELECT ticker, week, count(*) AS n_valid_days, round(CASE WHEN count(*) >= 2 AND (sum(volume) - sum(inst_buy)) + (sum(volume) - sum(inst_sell)) > 0
@@ -110,10 +110,10 @@ def lagged_rolling_means(spark, d):
     return panel.lead_lag(B.bars(spark, d)).select("ticker", "week", r6("vol_lag4").alias("vol_lag4"), r6("vol_lag25").alias("vol_lag25"))
 
 
-@query(B.sql("bars", "SELECT ticker, week, " + ", ".join(f"round(exp({_trail('ln(1 + ret)', k, max(2, k // 2), 'sum')}) - 1, 6) AS mom_{k}w" for k in (4, 12, 26)) + " FROM bars"))
+@query(B.sql("bars", "SELECT ticker, week, " + ", ".join(f"round({_trail('ln(1 + ret)', k, max(2, k // 2), 'sum')}, 6) AS log_mom_{k}w" for k in (4, 12, 26)) + " FROM bars"))
 def momentum_4_12_26(spark, d):
     w = W.by("ticker", "week")
-    return B.bars(spark, d).select("ticker", "week", *[r6(W.momentum(F.col("ret"), k, w)).alias(f"mom_{k}w") for k in (4, 12, 26)])
+    return B.bars(spark, d).select("ticker", "week", *[r6(F.log1p(W.momentum(F.col("ret"), k, w))).alias(f"log_mom_{k}w") for k in (4, 12, 26)])
 
 
 @query(B.sql("bars", f"SELECT ticker, week, round({_trail('ret', 4, 2, 'stddev_samp')}, 6) AS vol_20d, round({_trail('ret', 12, 4, 'stddev_samp')}, 6) AS vol_60d, round(CASE WHEN count(ret) OVER c >= 5 THEN stddev_samp(ret) OVER c END, 6) AS vol_now FROM bars WINDOW c AS (PARTITION BY ticker ORDER BY week ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
