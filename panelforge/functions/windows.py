@@ -49,8 +49,13 @@ def lead_contiguous(x: Column, week: Column, h: int, w: WindowSpec) -> Column:
     return F.when(F.lead(week, h).over(w) == F.date_add(week, 7 * h), F.lead(x, h).over(w))
 
 
+def log_momentum(r: Column, k: int, w: WindowSpec) -> Column:
+    """Sum of the trailing log returns."""
+    return trailing(F.log1p(r), k, max(2, k // 2), w, F.sum)
+
+
 def momentum(r: Column, k: int, w: WindowSpec) -> Column:
-    return F.expm1(trailing(F.log1p(r), k, max(2, k // 2), w, F.sum))
+    return F.expm1(log_momentum(r, k, w))
 
 
 def volatility(r: Column, k: int, least: int, w: WindowSpec) -> Column:

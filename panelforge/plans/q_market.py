@@ -113,7 +113,7 @@ def lagged_rolling_means(spark, d):
 @query(B.sql("bars", "SELECT ticker, week, " + ", ".join(f"round({_trail('ln(1 + ret)', k, max(2, k // 2), 'sum')}, 6) AS log_mom_{k}w" for k in (4, 12, 26)) + " FROM bars"))
 def momentum_4_12_26(spark, d):
     w = W.by("ticker", "week")
-    return B.bars(spark, d).select("ticker", "week", *[r6(F.log1p(W.momentum(F.col("ret"), k, w))).alias(f"log_mom_{k}w") for k in (4, 12, 26)])
+    return B.bars(spark, d).select("ticker", "week", *[r6(W.log_momentum(F.col("ret"), k, w)).alias(f"log_mom_{k}w") for k in (4, 12, 26)])
 
 
 @query(B.sql("bars", f"SELECT ticker, week, round({_trail('ret', 4, 2, 'stddev_samp')}, 6) AS vol_20d, round({_trail('ret', 12, 4, 'stddev_samp')}, 6) AS vol_60d, round(CASE WHEN count(ret) OVER c >= 5 THEN stddev_samp(ret) OVER c END, 6) AS vol_now FROM bars WINDOW c AS (PARTITION BY ticker ORDER BY week ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
