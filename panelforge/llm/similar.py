@@ -2,12 +2,14 @@
 
 A two-bit SimHash distance only reaches similarities near 1 (see the README), so the
 near-dedup of documents adds these links to operator 1's.  Candidates share one of
-``BANDS`` bands of ``ROWS`` min-hashes; a candidate is compared, over all
-``BANDS * ROWS`` min-hashes, with the smallest and the largest document of the band's
-bucket, so a bucket of any size costs two comparisons a document and never all pairs.
+``BANDS`` bands of ``ROWS`` min-hashes; a candidate is compared with the smallest and the
+largest document of the band's bucket, so a bucket of any size costs two comparisons a
+document and never all pairs.  The min-hashes only rule out pairs that agree on less than
+``similarity`` - ``SLACK`` of them; the others are decided by the exact Jaccard similarity
+of their sets of shingle hashes (64 bits).
 
-A pair of Jaccard similarity 0.8 shares a band with probability 0.988, one of 0.9 with
-more than 0.99999; the estimate's standard error at 0.8 is 0.03.
+A pair of Jaccard similarity 0.8 shares a band with probability 0.99994, and agrees on
+less than 0.65 of the min-hashes with probability below 1e-6.
 
 Defined cases: texts without a word have no links here; fewer words than a shingle make
 one shingle; repeated rows link to themselves only; rows without an identifier have no
@@ -28,20 +30,26 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-BANDS, ROWS = 24, 8
+BANDS, ROWS = 32, 6
+#: What the estimate of a pair may lack before the pair is ruled out: five standard errors at 0.8.
+SLACK = 0.15
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def signature(text: str | None, words: int = 5, chunk: int = 2048) -> np.ndarray | None:
-    """Min-hashes (32 bits each) of the set of word shingles of a whole text."""
+def shingles(text: str | None, words: int = 5) -> np.ndarray | None:
+    """The sorted set of hashes (64 bits) of the word shingles of a whole text."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return None
     digest = xxhash.xxh64_intdigest
     n = max(1, len(tokens) - words + 1)
-    hashes = np.unique(np.fromiter((digest(b" ".join(tokens[i : i + words])) for i in range(n)), np.uint64, n))
+    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + words])) for i in range(n)), np.uint64, n))
+
+
+def signature(hashes: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    """Min-hashes (32 bits each) of a set of shingle hashes."""
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint64)
     for at in range(0, len(hashes), chunk):
         mixed = (hashes[at : at + chunk, None] * _MUL + _ADD) >> np.uint64(32)
@@ -56,8 +64,9 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
         for b in batches:
             ids, sigs, bands = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                s = signature(t.as_py(), words)
-                if s is not None:
+                hashes = shingles(t.as_py(), words)
+                if hashes is not None:
+                    s = signature(hashes)
                     ids.append(i)
                     sigs.append(s.tobytes())
                     bands.append([xxhash.xxh64_intdigest(s[k * ROWS : (k + 1) * ROWS].tobytes(), k) - 2**63 for k in range(BANDS)])
@@ -66,6 +75,27 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, sig binary, bands array<long>")
 
 
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id, hashes (binary: the sorted shingle hashes) of the documents named in ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype("<u8").tobytes() if s is not None else None for s in sets], pa.binary())], ["id", "hashes"])
+
+    named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    return named.mapInArrow(run, "id long, hashes binary").where("hashes IS NOT NULL").dropDuplicates(["id"])
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    small, big = (a, b) if len(a) <= len(b) else (b, a)
+    if len(small) < similarity * len(big):
+        return False
+    common = int((big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small).sum())
+    return common >= similarity * (len(a) + len(b) - common)
+
+
 @F.pandas_udf(T.DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal min-hashes: the estimated Jaccard similarity."""
@@ -73,14 +103,22 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) of identifiers whose texts' estimated similarity is at least ``similarity``."""
+    """Links (a, b) of identifiers whose texts' shingle similarity is at least ``similarity``."""
+
+    @F.pandas_udf(T.BooleanType())
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similarity) for x, y in zip(a, b)], dtype="bool")
+
     sigs = materialize(signatures(docs, words, id_col, text_col))
     band = sigs.select("id", F.explode("bands").alias("band"))
     buckets = band.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = band.join(buckets, "band")
     pairs = met.select("id", F.explode(F.array("low", "high")).alias("other")).where("id != other")
     pairs = materialize(pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-    two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    seen = pairs.join(one, "a").join(two, "b")
-    return seen.where(agreement("sa", "sb") >= similarity).select("a", "b")
+    ends = lambda t, value: [t.select(F.col("id").alias(i), F.col(value).alias(f"{value}_{i}")) for i in "ab"]
+    one, two = ends(sigs, "sig")
+    close = pairs.join(one, "a").join(two, "b").where(agreement("sig_a", "sig_b") >= similarity - SLACK).select("a", "b")
+    close = materialize(close.distinct())
+    sets = materialize(shingle_sets(docs, close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words, id_col, text_col))
+    one, two = ends(sets, "hashes")
+    return close.join(one, "a").join(two, "b").where(similar("hashes_a", "hashes_b")).select("a", "b")
