@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import components, materialize
 from .similar import similar_links
 
 RADIUS = 2
@@ -199,34 +199,6 @@ def fingerprint_links(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFra
     return links
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over ``links`` (a, b), for linked nodes.
-
-    Large-star / small-star rounds: every node's larger neighbours move to its smallest
-    one, then its smaller ones do.  Minima are pre-aggregated before each shuffle and
-    a round's joins have one short side per key, which skew handling can replicate.
-    """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-
-    def smallest(both: DataFrame) -> DataFrame:
-        return both.groupBy("u").agg(F.min("v").alias("m"))
-
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
-        least = smallest(large)
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(small)
-        # A forest of stars: no node that is a centre is a leaf as well.
-        done = new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty()
-        edges = new
-        if done:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    raise RuntimeError("components did not settle")
-
-
 def near_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp, component (smallest id of the component) for every row."""
     prints = materialize(fingerprints(docs, words, id_col, text_col))
