@@ -216,27 +216,35 @@ def row_key(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("bigint"), own)
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id, component over the fingerprint links and the links of shingle similarity.
+def text_node(text_col: str):
+    """A row's node: the hash of its text."""
+    return F.xxhash64(text_col, F.col(text_col).isNull())
 
-    ``docs``: id (not null), text.  Rows of one identifier are one node.
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """node, component over the fingerprint links and the links of shingle similarity.
+
+    Nodes are texts (``text_node``), so that different texts of one identifier stay apart.
     """
-    prints = materialize(fingerprints(docs, words, "id", "text"))
+    texts = docs.select(text_node(text_col).alias("id"), F.col(text_col).alias("text"))
+    prints = materialize(fingerprints(texts, words, "id", "text"))
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")))
     same = prints.join(nodes, "fp").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    links = fingerprint_links(nodes).unionByName(same).unionByName(similar_links(docs, words, similarity, "id", "text"))
-    linked = components(links).select(F.col("node").alias("id"), "component")
-    return prints.select("id").distinct().join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    links = fingerprint_links(nodes).unionByName(same).unionByName(similar_links(texts, words, similarity, "id", "text"))
+    linked = components(links)
+    return prints.select(F.col("id").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near copies: the smallest id stays.
 
-    Of rows that repeat an id, the one with the smallest hash of its text stays.
+    Rows that repeat an id are judged by their texts, each on its own; of those in one
+    component the one with the smallest hash of its text stays.
     """
-    keyed = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
-    keep = similar_components(keyed, words, similarity).where("id = component").select(F.col("id").alias("__id"))
-    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("id"))
-    out = rows.join(keep, F.col("id") == F.col("__id"))
-    w = Window.partitionBy("__id").orderBy(F.xxhash64(F.col(f"row.{text_col}")))
+    key = [row_key(id_col, text_col).alias("__id"), text_node(text_col).alias("__node")]
+    found = docs.select(*key).distinct().join(similar_components(docs, words, similarity, text_col).withColumnRenamed("node", "__node"), "__node")
+    first = found.groupBy("component").agg(F.min(F.struct("__id", "__node")).alias("first"))
+    rows = docs.select(F.struct("*").alias("row"), *key)
+    out = rows.join(first.select("first.*"), ["__id", "__node"])
+    w = Window.partitionBy("__id", "__node").orderBy("__node")
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("row.*")

@@ -106,3 +106,12 @@ def test_odd_rows(spark):
     assert kept == [1, 3, 6, 7]
     assert near_components(d.where("false")).count() == 0
     assert drop_near_copies(d.where("false")).count() == 0
+
+
+def test_different_texts_of_one_identifier_are_all_kept(spark):
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (1, b), (2, c), (2, a + " end"), (3, b + " end"), (None, c)]
+    got = sorted((x.doc_id, x.text) for x in drop_near_copies(docs(spark, rows)).collect())
+    assert got == sorted([(1, a), (1, b), (2, c)])
