@@ -13,7 +13,8 @@ of the same form and equal values get equal pseudonyms in every document:
 * iban   valid modulo 97: the digits of the account; the check digits are recomputed;
 * date   real days from 1900 to 2099 as yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy (dd/mm/yyyy
          where only that is a date), within the days that are written alike;
-* email  letters and digits before the @, each within its class.
+* email  letters and digits before the @, each within its class; signs ahead of the first
+         letter or digit (emphasis, list dashes, dots) are not part of it.
 
 What does not validate stays.  Separators stay where they were.  The permutations are
 one-to-one for one key; a key of your own is the parameter ``key``.
@@ -35,9 +36,10 @@ from .secrets import DIGIT, LOWER, UPPER
 
 DEFAULT_KEY = "panelforge demonstration key"
 ROUNDS = 8
-#: kind -> pattern of a candidate; the first that fits at a place is taken.
+#: kind -> pattern of a candidate; the first that fits at a place is taken.  Signs before an
+#: email's first letter or digit are matched, so that a run is read once, but not of the value.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-]|\.[0-9])",
     "ssn": r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]|\.[0-9])",
@@ -275,9 +277,13 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("old"))
     seen = F.when(F.col("old").rlike(ANY), F.regexp_extract_all("old", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("seen", F.when(F.col("old").isNull(), F.array().cast("array<string>")).otherwise(seen))
-    rows = rows.withColumn("new", F.transform("seen", lambda m: pseudonym(m, key)))
     rows = rows.withColumn("gaps", F.when(F.size("seen") > 0, F.split("old", ANY, -1)))
-    packed = F.arrays_zip(F.slice("gaps", F.lit(1), F.size("seen")).alias("gap"), F.col("seen").alias("old"), F.col("new").alias("new"))
+    lead = F.transform("seen", lambda m: F.when(m.contains("@"), F.regexp_extract(m, "^[._%+-]*", 0)).otherwise(""))
+    rows = rows.withColumn("lead", lead)
+    rows = rows.withColumn("seen", F.zip_with("seen", "lead", lambda m, s: F.substring(m, F.length(s) + 1, F.length(m))))
+    rows = rows.withColumn("new", F.transform("seen", lambda m: pseudonym(m, key)))
+    gap = F.zip_with(F.slice("gaps", F.lit(1), F.size("seen")), "lead", lambda g, s: F.concat(g, s))
+    packed = F.arrays_zip(gap.alias("gap"), F.col("seen").alias("old"), F.col("new").alias("new"))
     text = F.concat(F.array_join(F.transform(packed, lambda z: F.concat(z["gap"], F.coalesce(z["new"]["value"], z["old"]))), ""), F.element_at("gaps", -1))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("out"))
 

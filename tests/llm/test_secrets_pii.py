@@ -155,3 +155,12 @@ def test_query_leaves_no_value(spark, sf):
         if not values and not r.n_found:
             assert r.text == texts[r.doc_id]
     assert changed > 5 and len(rows) == len(texts)
+
+
+def test_emails_after_signs_are_found(spark):
+    text = "_jo@x.com_ and -jo@x.com or ...jo@x.com, jo@x.com_jo@x.com"
+    row = pseudonymise(docs(spark, [(1, text)])).first()
+    assert [(f.kind, text[f.start : f.end]) for f in row.found] == [("email", "jo@x.com")] * 5
+    values = re.findall(r"[a-z]+@x\.com", row.text)
+    assert len(values) == 5 and len(set(values)) == 1
+    assert re.sub(r"[a-z]+@", "jo@", row.text) == text
