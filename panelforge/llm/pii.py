@@ -17,10 +17,11 @@ of the same form and equal values get equal pseudonyms in every document:
          letter or digit (emphasis, list dashes, dots) are not part of it.
 
 What does not validate stays.  Separators stay where they were.  The permutations are
-one-to-one for one key; a key of your own is the parameter ``key``.
+one-to-one for one key, which is a parameter without a default: whoever knows it can undo
+them.
 
-Defined cases: null text stays null and empty text empty; very long texts are read whole;
-repeated rows get the same result; an empty table gives an empty result; columns of any
+Defined cases: null text stays null and empty text empty; very long texts are read whole,
+in time n ** 1.5 of the values; repeated rows get the same result; an empty table gives an empty result; columns of any
 name may be present.
 """
 
@@ -31,10 +32,11 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once as _let
+from ..functions.arrays import running
 from .common import feistel, permute_below
 from .secrets import DIGIT, LOWER, UPPER
 
-DEFAULT_KEY = "panelforge demonstration key"
 ROUNDS = 8
 #: kind -> pattern of a candidate; the first that fits at a place is taken.  Signs before an
 #: email's first letter or digit are matched, so that a run is read once, but not of the value.
@@ -53,11 +55,6 @@ _POWERS = [10**i for i in range(10)]
 FIRST, LAST = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
 
-def _let(value: Column, f) -> Column:
-    """f(value) with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -257,7 +254,7 @@ def _email(m: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "intl": _intl, "card": _card, "iban": _iban}
 
 
-def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, value) for a candidate; both null if it does not validate."""
     kind = F.lit(None).cast("string")
     for k, p in reversed(PATTERNS.items()):
@@ -272,33 +269,33 @@ def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
     return _let(kind, made)
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
-    """row (struct of the input row), text (pseudonymised), found: (kind, start, end) in the old text."""
+_FOUND = "array<struct<kind:string,start:bigint,end:bigint>>"
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """row (struct of the input row), text (pseudonymised), found: (kind, start, end) in the old text.
+
+    ``key`` is the secret: who knows it can undo the pseudonyms.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("old"))
-    seen = F.when(F.col("old").rlike(ANY), F.regexp_extract_all("old", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("seen", F.when(F.col("old").isNull(), F.array().cast("array<string>")).otherwise(seen))
-    rows = rows.withColumn("gaps", F.when(F.size("seen") > 0, F.split("old", ANY, -1)))
-    lead = F.transform("seen", lambda m: F.when(m.contains("@"), F.regexp_extract(m, "^[._%+-]*", 0)).otherwise(""))
-    rows = rows.withColumn("lead", lead)
-    rows = rows.withColumn("seen", F.zip_with("seen", "lead", lambda m, s: F.substring(m, F.length(s) + 1, F.length(m))))
-    rows = rows.withColumn("new", F.transform("seen", lambda m: pseudonym(m, key)))
-    gap = F.zip_with(F.slice("gaps", F.lit(1), F.size("seen")), "lead", lambda g, s: F.concat(g, s))
-    packed = F.arrays_zip(gap.alias("gap"), F.col("seen").alias("old"), F.col("new").alias("new"))
-    text = F.concat(F.array_join(F.transform(packed, lambda z: F.concat(z["gap"], F.coalesce(z["new"]["value"], z["old"]))), ""), F.element_at("gaps", -1))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("out"))
-
-    def step(s: Column, z: Column) -> Column:
-        begin = s["at"] + F.length(z["gap"])
-        end = begin + F.length(z["old"])
-        span = F.array(F.struct(z["new"]["kind"].alias("kind"), begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(z["new"]["kind"].isNotNull(), F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
-
-    found = F.aggregate(packed, start, step, lambda s: s["out"])
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return rows.select("row", F.when(F.size("seen") > 0, text).otherwise(F.col("old")).alias("text"), F.when(F.size("seen") > 0, found).otherwise(none).alias("found"))
-
-
-def pseudonymised_documents(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
+    some = F.coalesce(F.col("old").rlike(ANY), F.lit(False))
+    rows = rows.select("row", "old", F.when(some, F.struct(F.regexp_extract_all("old", F.lit(ANY), F.lit(0)).alias("seen"), F.split("old", ANY, -1).alias("gaps"))).alias("cut"))
+    # Signs ahead of an email belong to the gap before it.
+    lead = F.transform("cut.seen", lambda m: F.when(m.contains("@"), F.regexp_extract(m, "^[._%+-]*", 0)).otherwise(""))
+    rows = rows.select("row", "old", F.col("cut.gaps").alias("gaps"), F.col("cut.seen").alias("seen"), lead.alias("lead"))
+    value = F.zip_with("seen", "lead", lambda m, s: F.substring(m, F.length(s) + 1, F.length(m)))
+    rows = rows.select("row", "old", F.element_at("gaps", -1).alias("rest"), F.zip_with(F.slice("gaps", F.lit(1), F.size("seen")), "lead", lambda g, s: F.concat(g, s)).alias("gap"), value.alias("value"))
+    rows = rows.withColumn("new", F.transform("value", lambda m: pseudonym(m, key)))
+    parts = F.zip_with("gap", F.zip_with("value", "new", lambda v, n: F.coalesce(n["value"], v)), lambda g, v: F.concat(g, v))
+    ends = running(F.zip_with("gap", "value", lambda g, v: (F.length(g) + F.length(v)).cast("bigint")))
+    spans = F.zip_with(F.zip_with(ends, "value", lambda e, v: F.struct((e - F.length(v)).cast("bigint").alias("start"), e.alias("end"))), "new", lambda s, n: F.struct(n["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    found = F.filter(spans, lambda s: s["kind"].isNotNull()).cast(_FOUND)
+    return rows.select("row", F.when(F.col("value").isNotNull(), F.concat(F.array_join(parts, ""), F.col("rest"))).otherwise(F.col("old")).alias("text"), F.when(F.col("value").isNotNull(), found).otherwise(F.array().cast(_FOUND)).alias("found"))
+
+
+def pseudonymised_documents(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text replaced; all columns."""
     out = pseudonymise(docs, key, text_col)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
