@@ -2,13 +2,15 @@
 
 Hand-written host/path rules decide first (a rule fits its host and all subdomains when
 the path starts with the rule's path; the longest rule wins).  Every other URL is judged
-by the vocabulary: one automaton holds the strict and soft terms; a hit counts only
-between boundaries (neither neighbour is an ASCII letter or digit).  One strict hit, or
-``soft_limit`` distinct soft terms, blocks.
-
-Defined cases: a null URL, or one without ``://``, has empty host and path and is
-allowed; an empty host never meets a rule; repeated rows are judged alike; an empty
-table gives an empty result; other columns pass by.
+by the weighted vocabulary (``vocabulary``, a parameter): one automaton holds the strict and
+soft terms; a hit counts only between boundaries (neither neighbour is an ASCII letter or
+digit).  One strict hit blocks, as do two or more distinct soft terms whose weights add up
+to ``soft_limit``.
+
+Defined cases: a null URL has empty host and path and is allowed; one without ``://`` has
+empty host and path and is judged by its terms; an empty host never meets a rule; very long
+URLs are read whole in one pass; repeated rows are judged alike; an empty table gives an
+empty result; columns of any name may be present (they are in the struct ``row``).
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vocabulary
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -37,11 +41,8 @@ RULES = (
     Rule("example.net", "/de/8", "block"),
     Rule("org", "/es/", "block"),
 )
-#: One of these blocks.
-STRICT = ("adult", "casino", "porn", "xxx", "viagra", "escort", "malware", "phishing", "warez")
-#: Several distinct ones of these block.
-SOFT = ("spam", "farm", "win", "bet", "bets", "free", "cheap", "pills", "bonus", "ads", "track", "tracker", "click", "loan", "poker", "crack", "torrent", "jackpot")
-SOFT_LIMIT = 2
+STRICT, SOFT = vocabulary.read()
+SOFT_LIMIT = 2.0
 
 
 def build(strict=STRICT, soft=SOFT) -> ahocorasick.Automaton:
@@ -49,7 +50,8 @@ def build(strict=STRICT, soft=SOFT) -> ahocorasick.Automaton:
     for kind, terms in (("strict", strict), ("soft", soft)):
         for t in terms:
             auto.add_word(t, (kind, t))
-    auto.make_automaton()
+    if len(auto):
+        auto.make_automaton()
     return auto
 
 
@@ -61,7 +63,7 @@ def hits(auto: ahocorasick.Automaton, url: str) -> tuple[int, set[str]]:
     """Strict hits and the distinct soft terms of a URL (ASCII case folded)."""
     low = url.translate(_LOWER)
     strict, soft = 0, set()
-    for end, (kind, term) in auto.iter(low):
+    for end, (kind, term) in auto.iter(low) if len(auto) else ():
         start = end - len(term) + 1
         if (start and _word(low[start - 1])) or (end + 1 < len(low) and _word(low[end + 1])):
             continue
@@ -92,18 +94,19 @@ def rule_columns(host, path, rules=RULES):
     return text, verdict
 
 
-def judge_urls(pages: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """``keep`` columns plus host, path, rule, verdict, strict_hits, soft_hits."""
+def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, strict: dict[str, float] = STRICT, soft: dict[str, float] = SOFT, soft_limit: float = SOFT_LIMIT, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """row (struct of the columns ``keep``, default: all), host, path, rule, verdict, strict_hits, soft_hits, soft_weight."""
 
-    @F.pandas_udf("struct<strict_hits int, soft_hits int>")
+    @F.pandas_udf("struct<strict_hits int, soft_hits int, soft_weight double>")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         auto = build(strict, soft)
         for urls in batches:
             found = [hits(auto, u or "") for u in urls]
-            yield pd.DataFrame({"strict_hits": [s for s, _ in found], "soft_hits": [len(x) for _, x in found]}).astype("int32")
+            made = pd.DataFrame({"strict_hits": [s for s, _ in found], "soft_hits": [len(x) for _, x in found], "soft_weight": [float(sum(soft[t] for t in x)) for _, x in found]})
+            yield made.astype({"strict_hits": "int32", "soft_hits": "int32", "soft_weight": "float64"})
 
     host, path = host_path(F.col(url_col))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"), count(F.coalesce(F.col(url_col), F.lit(""))).alias("found"))
+    rows = pages.select(F.struct(*(pages.columns if keep is None else keep)).alias("row"), host.alias("host"), path.alias("path"), count(F.coalesce(F.col(url_col), F.lit(""))).alias("found"))
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("found.strict_hits") > 0) | (F.col("found.soft_hits") >= soft_limit), "block").otherwise("allow")
-    return rows.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(said, own).alias("verdict"), "found.strict_hits", "found.soft_hits")
+    own = F.when((F.col("found.strict_hits") > 0) | ((F.col("found.soft_hits") > 1) & (F.col("found.soft_weight") >= soft_limit)), "block").otherwise("allow")
+    return rows.select("row", "host", "path", rule.alias("rule"), F.coalesce(said, own).alias("verdict"), "found.strict_hits", "found.soft_hits", "found.soft_weight")
