@@ -7,15 +7,20 @@ runner-up comes within ``MIN_MARGIN`` (very short texts, which zstandard stores
 text is encoded once more at ``FINE_LEVEL`` behind a carrier that ends every dictionary,
 so that single matches count; if the margin is still narrow, the prediction is rejected.
 
-Fit: a bounded sample of labelled rows, ``SAMPLE_ROWS`` per language at most, chosen by
-the smallest hash of the identifier, ``ROW_CHARS`` cleaned characters of each; a model
-holds ``DICT_BYTES`` a language, and ``MAX_LANGS`` languages at most (more is an error).
-Prediction reads whole texts and nothing but the text.
+Fit: a bounded sample of labelled rows, ``SAMPLE_ROWS`` per language at most, those with
+the smallest hash of identifier and text, ``ROW_CHARS`` cleaned characters of each; equal
+rows count once, so that neither a shared identifier nor a much repeated row fills or
+empties a language's sample.  A model holds ``DICT_BYTES`` a language, and the
+``MAX_LANGS`` labels with the most different rows (ties: the first by alphabet); rarer
+labels are never predicted.  Prediction reads whole texts and nothing but the text.
+
+Letters are those of Unicode category L, with the marks (M) that follow them.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; ties go to the alphabetically first language with margin 0; rows without a
-label are not learned from; repeated rows are predicted alike; without any labelled row
-every text is ``und``; an empty table gives an empty result; other columns pass by.
+label are not learned from; repeated rows are predicted alike; very long texts are encoded
+whole, piece by piece; without any labelled row every text is ``und``; an empty table gives
+an empty result; other columns pass by.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 400
@@ -40,11 +46,19 @@ CARRIER = b" ".join(b"q%dz%dx" % (i * 37 % 100, i) for i in range(24))
 CHUNK = 4096
 MIN_MARGIN = 0.003
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_ASCII_LETTERS = re.compile(r"[^a-z]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def clean(text: str | None) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    """Lower case, letters with their marks, single spaces; empty without a letter."""
+    if not text:
+        return ""
+    low = text.lower()
+    if low.isascii():
+        return _NOT_ASCII_LETTERS.sub(" ", low).strip()
+    return _NOT_LETTERS.sub(" ", low).strip() if _LETTER.search(low) else ""
 
 
 def held_out(id_col="doc_id"):
@@ -54,20 +68,21 @@ def held_out(id_col="doc_id"):
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
     """Dictionaries by language from the labelled rows of ``docs``."""
-    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("langid"), F.col(id_col).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"), F.col(text_col)).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    different = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in different.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return {}
-    # A hash below the language's share of the range: about 1.25 x SAMPLE_ROWS rows.
-    share = {g: min(1.0, 1.25 * SAMPLE_ROWS / n) for g, n in sizes.items()}
+    # Hashes below a language's share of the range: about 1.5 x SAMPLE_ROWS different rows, then the smallest of them.
+    share = {g: min(1.0, 1.5 * SAMPLE_ROWS / n) for g, n in sizes.items()}
     top = F.create_map(*[x for g, s in share.items() for x in (F.lit(g), F.lit(s))])
-    sample = labelled.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= top[F.col("lang")])
-    rows = sample.select("lang", "h", F.substring("text", 1, 4 * ROW_CHARS).alias("text")).collect()
+    drawn = labelled.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= top[F.col("lang")])
+    once = drawn.groupBy("lang", "h").agg(F.first(F.substring("text", 1, 4 * ROW_CHARS)).alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = once.withColumn("rn", first).where(F.col("rn") <= SAMPLE_ROWS).collect()  # SAMPLE_ROWS x MAX_LANGS at most
     model = {}
     for g in sorted(sizes):
-        own = sorted((r["h"], r["text"]) for r in rows if r["lang"] == g)[:SAMPLE_ROWS]
+        own = sorted((r["h"], r["text"]) for r in rows if r["lang"] == g)
         raw = " ".join(t for _, x in own if (t := clean(x)[:ROW_CHARS])).encode()
         if raw:
             model[g] = raw[:DICT_BYTES]
