@@ -20,18 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of a local session that names none.
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` of the session; only where it is unset (local tests) a
-    temporary folder is made and removed at exit.
+    Where it is unset, a session whose master is local (tests) gets a temporary folder that
+    is removed at exit; on a cluster that is an error, as no folder is known to be shared.
     """
+    global _local_dir
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="panelforge-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="panelforge-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
+    return _local_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -49,30 +58,87 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys at most that a table may be broadcast for because they hold many rows.
+HOT_KEYS = 2000
+HOT_ROWS = 256
+
+
+def hot_limit(total: int) -> int:
+    """Rows of a key beyond which it is hot: at most ``HOT_KEYS`` keys of ``total`` rows can be."""
+    return max(HOT_ROWS, -(-total // HOT_KEYS))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, by: str, n: str = "n") -> DataFrame:
+    """``rows`` inner-joined with ``table`` on ``key``; no task gets all rows of a hot key.
+
+    ``table`` has one row a key and says in ``n`` how many of the ``total`` rows have it (an
+    upper bound will do).  The rows of a hot key are dealt over parts by a hash of the column
+    ``by``, and its row of the table is repeated for each part.  Hot keys are HOT_KEYS at
+    most, whatever the size, so their list (key, number of parts) is broadcast.
+    """
+    limit = hot_limit(total)
+    parts = F.ceil(F.col(n) / limit).cast("int")
+    hot = table.where(F.col(n) > limit).select(key, parts.alias("__parts"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(n)
+    return salted.join(spread, [key, "__salt"]).drop("__salt")
+
+
+#: Keys that a filter of rows may be broadcast for; beyond, it is a shuffled join.
+BROADCAST_KEYS = 500_000
+
+
+def drop_keys(rows: DataFrame, keys: list[str], gone: DataFrame, twins: DataFrame) -> DataFrame:
+    """The column ``row`` of ``rows`` (row, and ``keys``) without those whose keys are in ``gone``.
+
+    ``twins`` holds keys that several rows share of which one stays.  Both are distinct; they
+    are counted, and broadcast if they are ``BROADCAST_KEYS`` at most, so that whole rows need
+    not travel; beyond, the rows are shuffled once.
+    """
+
+    def same(t: DataFrame) -> tuple[DataFrame, Column]:
+        t = t.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        return t, on
+
+    gone, twins = materialize(gone), materialize(twins)
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_KEYS else t
+    g, on = same(gone)
+    kept = rows.join(small(g), on, "left_anti")
+    if twins.isEmpty():
+        return kept.select("row")
+    t, on = same(twins)
+    t = small(t)
+    # Of twins one row travels from each partition: the aggregate starts before the shuffle.
+    one = kept.join(t, on, "left_semi").groupBy(*keys).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.join(t, on, "left_anti").select("row").unionByName(one.select("row"))
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over ``links`` (a, b), for linked nodes.
 
     Large-star / small-star rounds: every node's larger neighbours move to its smallest
-    one, then its smaller ones do.  Minima are pre-aggregated before each shuffle and
-    a round's joins have one short side per key, which skew handling can replicate.
+    one, then its smaller ones do.  Minima are pre-aggregated before each shuffle, and
+    the joins of a round deal large stars over parts (``spread_join``).
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
 
-    def smallest(both: DataFrame) -> DataFrame:
-        return both.groupBy("u").agg(F.min("v").alias("m"))
+    def smallest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        least = smallest(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.where("v > u"), least, "u", 2 * edges.count(), "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.distinct())
         least = smallest(large)
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(small)
-        # A forest of stars: no node that is a centre is a leaf as well.
-        done = new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty()
-        edges = new
-        if done:
+        small = spread_join(large, least, "u", large.count(), "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        # A forest of stars: no node is a leaf twice, or a leaf and a centre.
+        roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        if roles.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1 AND leaf > 0").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError("components did not settle")
 
@@ -82,24 +148,38 @@ def numbering_buckets(n: int) -> int:
     return max(1024, min(65_536, n // 2048))
 
 
-def dense_numbers(df: DataFrame, by: list[Column], order: list[Column], out: str, buckets: int | Column, within: list[str] | None = None) -> DataFrame:
+#: Equal rows that are numbered together, by one explode.
+RUN_ROWS = 4096
+
+
+def dense_numbers(df: DataFrame, out: str, buckets: int | Column, within: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Number rows 0, 1, 2, ... without a global sort (per group of ``within``, if given).
 
-    Rows are spread over hash buckets of ``by``; each bucket is numbered on its own
-    and shifted by the sizes of the buckets before it.  The offsets table has at most
-    ``buckets`` rows per group of ``within`` and is joined as such.  ``df`` must be
-    cheap to read twice (materialized); the numbering depends on the rows alone, not
-    on their partitions.
+    Equal rows are interchangeable: they are counted (before any shuffle), numbered as one
+    run, and spelled out again in pieces of ``RUN_ROWS``, so that a table of one repeated row
+    is spread as well.  Runs go to hash buckets of ``order`` (default: all columns); each
+    bucket is numbered on its own and shifted by the rows of the buckets before it.  The
+    offsets table has at most ``buckets`` rows per group of ``within`` and is joined as such.
+    The numbering depends on the rows alone, not on their partitions.
     """
     within = within or []
-    keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int"))
+    names, order = df.columns, order or df.columns
+    runs = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    runs = materialize(runs.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")))
     w_off = Window.partitionBy(*within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy(*within, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
+    sizes = runs.groupBy(*within, "__bucket").agg(F.sum("__n").alias("__size"))
     offsets = sizes.select(*within, "__bucket", F.coalesce(F.sum("__size").over(w_off), F.lit(0)).alias("__before"))
-    w_row = Window.partitionBy(*within, "__bucket").orderBy(*order)
-    numbered = keyed.withColumn("__row", F.row_number().over(w_row) - 1)
+    rest = [c for c in names if c not in order]
+    w_run = Window.partitionBy(*within, "__bucket").orderBy(*order, *rest).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = runs.withColumn("__from", F.coalesce(F.sum("__n").over(w_run), F.lit(0)))
     offsets = F.broadcast(offsets) if not within else offsets
-    return numbered.join(offsets, [*within, "__bucket"]).withColumn(out, F.col("__before") + F.col("__row")).drop("__bucket", "__row", "__before")
+    numbered = numbered.join(offsets, [*within, "__bucket"]).withColumn("__from", F.col("__before") + F.col("__from"))
+    one = numbered.where("__n = 1").select(*names, F.col("__from").alias(out))
+    cut = numbered.where("__n > 1").withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(RUN_ROWS).cast("bigint"))))
+    spread = cut.repartition(F.xxhash64("__from", "__at"))
+    last = F.least(F.col("__n"), F.col("__at") + RUN_ROWS) - 1
+    many = spread.withColumn("__at", F.explode(F.sequence(F.col("__at"), last))).select(*names, (F.col("__from") + F.col("__at")).alias(out))
+    return one.unionByName(many)
 
 
 def square_sides(n: int) -> tuple[int, int]:

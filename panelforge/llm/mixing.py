@@ -14,8 +14,8 @@ has at most ``BROADCAST_SOURCES`` rows; beyond it is a shuffled join in which a
 source is salted.
 
 Defined cases: a null source is a source of its own; a null identifier hashes as the
-empty text; rows that repeat an identifier draw the same count; texts may be null, empty
-or very long; a source without a weight in a given table gets none; an empty table gives
+empty text; rows that repeat an identifier draw the same count and key (and go to different
+partitions if any of their strings differ); texts may be null, empty or very long; a source without a weight in a given table gets none; an empty table gives
 an empty result; columns of any name may be present.
 """
 
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, seed: str = "mix", total: float | None = None, temperat
     counted = counted.select("row", "rate", F.when(F.col("parts") == 1, one).otherwise(many).alias("copies")).where("copies > 0")
     copies = counted.select("row", "rate", "copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit(seed), F.lit("place"), ident, F.col("copy")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    # Rows without an identifier, or with a shared one, have one key: their texts part them.
+    return keyed.repartition("shuffle_key", F.xxhash64(*[F.col(f"row.{c}") for c, t in docs.dtypes if t == "string"])).sortWithinPartitions("shuffle_key")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

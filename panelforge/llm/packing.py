@@ -11,10 +11,11 @@ buckets and offsets) from which sequence and offset follow by arithmetic.
 
 Token ids: the vocabulary and merges of the given tokenizer file, run by the tiktoken
 engine, which gives the same ids several times faster; a text that contains the string of
-a special token goes through the tokenizers library.
+a special token, or more than ``SAFE_SPACE`` white-space characters in a row (on which that
+engine dies), goes through the tokenizers library.
 
-Defined cases: a null or empty text is the single id 0; very long texts are cut; repeated
-rows and identifiers are separate pieces; a null identifier is kept; an empty table gives
+Defined cases: a null or empty text is the single id 0; very long texts are read whole and
+cut into pieces; repeated rows and identifiers are separate pieces; a null identifier is kept; an empty table gives
 an empty result; other columns pass by.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +39,9 @@ MAX_TOKENS = 2048
 SLACK = 1 / 1024
 #: Shares of the fractional solution that rounding tries; the fewest sequences win.
 SCALES = (1.0, 0.95, 0.8, 0.5, 0.2)
+#: White space in a row beyond which the fast engine's patterns may overflow their stack.
+SAFE_SPACE = 50_000
+_SPACES = re.compile(r"\s+")
 #: Rows of one length that are numbered together.
 BUCKET_ROWS = 512
 
@@ -47,6 +52,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def longest_space(text: str) -> int:
+    """Length of the longest run of white space; 0 for texts too short for a long one."""
+    if len(text) <= SAFE_SPACE:
+        return 0
+    return max((m.end() - m.start() for m in _SPACES.finditer(text)), default=0)
+
+
 class Encoder:
     """Ids of a byte-level BPE file."""
 
@@ -71,7 +83,7 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or longest_space(text) > SAFE_SPACE:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
@@ -256,8 +268,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = MAX_TOKENS,
         counts[r["length"]] = r["count"]
     where = docs.sparkSession.sparkContext.broadcast(assignment(plan(counts, most), most))
     per_length = F.array(*[F.lit(int(max(1, -(-c // BUCKET_ROWS)))) for c in counts[1:]])
-    order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    ranked = dense_numbers(cut, order, order, "rank", F.element_at(per_length, F.col("length").cast("int")), within=["length"])
+    ranked = dense_numbers(cut, "rank", F.element_at(per_length, F.col("length").cast("int")), within=["length"], order=["doc_id", "piece", "ids_crc32"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -40,8 +40,12 @@ def op4_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.source", F.col("copy").cast("bigint").alias("copy"), F.col("copies").cast("bigint").alias("copies"), F.round("rate", 6).alias("rate"), "shuffle_key", F.md5(F.coalesce("row.text", F.lit(""))).alias("text_md5"))
 
 
+#: op5: a key for demonstration; real data needs a secret one.
+DEMO_KEY = "panelforge demonstration key"
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents"))
+    out = pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
     spans = F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return out.select("row.doc_id", "text", F.size("found").cast("bigint").alias("n_found"), F.concat_ws(",", spans).alias("spans"))
 
@@ -51,9 +55,9 @@ def op6_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=("doc_id",))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex", "random")]
-    return found.select("doc_id", *counts, F.sha2(secrets.listed("assign", "access", "hex"), 256).alias("base_sha256"), secrets.listed(*secrets.KINDS).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(secrets.listed("assign", "access", "hex"), 256).alias("base_sha256"), secrets.listed(*secrets.KINDS).alias("spans"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +71,8 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    out = judge_urls(table(spark, sf_dir, "pages"), keep=("page_id",))
+    return out.select("row.page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight")
 
 
 def _url_sql() -> str:
@@ -78,6 +83,7 @@ def _url_sql() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.host + r.path}'" for r in rules) + " END"
     said = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in rules) + " END"
     soft = " + ".join(f"{hit(t)}::INT" for t in SOFT)
+    weight = " + ".join(f"{hit(t)}::INT * {w}::DOUBLE" for t, w in SOFT.items())
     # Strict hits are counted for the report: matches with boundaries, which may share a boundary.
     strict = " + ".join(f"(len(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '\\1\\1', 'g'), '(^|[^a-z0-9]){t}([^a-z0-9]|$)')))" for t in STRICT)
     return f"""
@@ -86,10 +92,10 @@ WITH u AS (SELECT page_id, {low} AS low,
 p AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 j AS (SELECT page_id, host, path, {rule} AS rule, {said} AS said,
-    ({strict})::INT AS strict_hits, ({soft})::INT AS soft_hits FROM p)
+    ({strict})::INT AS strict_hits, ({soft})::INT AS soft_hits, ({weight})::DOUBLE AS soft_weight FROM p)
 SELECT page_id, host, path, rule,
-    coalesce(said, CASE WHEN strict_hits > 0 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-    strict_hits, soft_hits FROM j"""
+    coalesce(said, CASE WHEN strict_hits > 0 OR (soft_hits > 1 AND soft_weight >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,
+    strict_hits, soft_hits, soft_weight FROM j"""
 
 
 _EXACT_SQL = r"""

@@ -6,8 +6,9 @@ slot follow by division, so both can be computed for any row number without data
 the counts of any two shards differ by at most one (law ``rows``).
 
 Defined cases: null text has size 8 and CRC 0; null and repeated identifiers are
-ordinary rows (fully equal rows are interchangeable); an empty table gives an empty
-result; only the two named columns are read, so other columns do not matter.
+ordinary rows (fully equal rows are interchangeable, and counted before they are spread); an
+empty table gives an empty result; very long texts are read by size and CRC only; only the
+two named columns are read, so other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ def feistel_shards(docs: DataFrame, n_shards: int = 24, seed: str = "panelforge"
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = materialize(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")))
     n = slim.count()
-    cols = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
-    numbered = dense_numbers(slim, cols, cols, "row_number", numbering_buckets(n))
+    numbered = dense_numbers(slim, "row_number", numbering_buckets(n))
     shard, slot = place(F.col("row_number"), max(1, n), n_shards, seed)
     return numbered.withColumns({"shard": shard, "slot": slot})

@@ -17,8 +17,8 @@ most two bits differ.  The search is exact:
 
 Defined cases: null and white-space-only texts have fingerprint zero and are linked as
 any other; fewer words than a shingle give one shingle of all words; repeated rows are
-one node; null identifiers are larger than any other; an empty table gives an empty
-result; other columns pass by.
+one node; null identifiers are larger than any other; very long texts are hashed whole, in
+chunks of shingles; an empty table gives an empty result; other columns pass by.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, drop_keys, materialize, spread_join
 from .similar import similar_links
 
 RADIUS = 2
@@ -170,7 +170,7 @@ def _cut(rows: DataFrame, level: int) -> DataFrame:
         k, m = (x for x in range(4) if x not in (i, j))
         held = F.shiftleft(block[i], width).bitwiseOR(block[j])
         rest = F.shiftleft(block[k], width).bitwiseOR(block[m])
-        cuts.append(F.struct(F.xxhash64("shard", F.lit(c), held).alias("hash"), F.concat("shard", F.array(F.lit(c).cast("bigint"), held)).alias("shard"), rest.alias("free")))
+        cuts.append(F.struct(F.concat("shard", F.array(F.lit(c).cast("bigint"), held)).alias("shard"), rest.alias("free")))
     return rows.withColumn("cut", F.explode(F.array(*cuts))).select("cut.shard", "cut.free", "fp", "node")
 
 
@@ -203,10 +203,10 @@ def near_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     """id, fp, component (smallest id of the component) for every row."""
     prints = materialize(fingerprints(docs, words, id_col, text_col))
     big = F.lit(2**63 - 1)
-    nodes = materialize(prints.groupBy("fp").agg(F.min(F.coalesce("id", big)).alias("node")))
-    linked = components(fingerprint_links(nodes))
-    label = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(label, "fp").select("id", "fp", F.nullif("component", big).alias("component"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min(F.coalesce("id", big)).alias("node"), F.count(F.lit(1)).alias("n")))
+    linked = components(fingerprint_links(nodes.select("fp", "node")))
+    label = nodes.join(linked, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component"))
+    return spread_join(prints, label, "fp", prints.count(), "id").select("id", "fp", F.nullif("component", big).alias("component"))
 
 
 def row_key(id_col: str, text_col: str):
@@ -227,12 +227,12 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Nodes are texts (``text_node``), so that different texts of one identifier stay apart.
     """
     texts = docs.select(text_node(text_col).alias("id"), F.col(text_col).alias("text"))
-    prints = materialize(fingerprints(texts, words, "id", "text"))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    same = prints.join(nodes, "fp").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    links = fingerprint_links(nodes).unionByName(same).unionByName(similar_links(texts, words, similarity, "id", "text"))
+    prints = materialize(fingerprints(texts, words, "id", "text").distinct())
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")))
+    same = spread_join(prints, nodes, "fp", prints.count(), "id").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(nodes.select("fp", "node")).unionByName(same).unionByName(similar_links(texts, words, similarity, "id", "text"))
     linked = components(links)
-    return prints.select(F.col("id").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return prints.select(F.col("id").alias("node")).join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,10 +241,12 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     Rows that repeat an id are judged by their texts, each on its own; of those in one
     component the one with the smallest hash of its text stays.
     """
-    key = [row_key(id_col, text_col).alias("__id"), text_node(text_col).alias("__node")]
-    found = docs.select(*key).distinct().join(similar_components(docs, words, similarity, text_col).withColumnRenamed("node", "__node"), "__node")
-    first = found.groupBy("component").agg(F.min(F.struct("__id", "__node")).alias("first"))
-    rows = docs.select(F.struct("*").alias("row"), *key)
-    out = rows.join(first.select("first.*"), ["__id", "__node"])
-    w = Window.partitionBy("__id", "__node").orderBy("__node")
-    return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("row.*")
+    key = [row_key(id_col, text_col).alias("id"), text_node(text_col).alias("node")]
+    labels = similar_components(docs, words, similarity, text_col)
+    rows = materialize(docs.select(*key).groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")))
+    # Most rows of a node bear one text; a text that fills a third of the table is dealt over parts.
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(labels, "node")
+    found = materialize(spread_join(rows.withColumnRenamed("n", "times"), sizes, "node", rows.count(), "id"))
+    first = found.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first")).select("first.*")
+    said = found.join(first.withColumn("kept", F.lit(True)), ["id", "node"], "left")
+    return drop_keys(docs.select(F.struct("*").alias("row"), *key), ["id", "node"], said.where("kept IS NULL").select("id", "node"), said.where("kept AND times > 1").select("id", "node")).select("row.*")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialize
+from .common import components, materialize, spread_join
 
 BANDS, ROWS = 32, 6
 #: What the estimate of a pair may lack before the pair is ruled out: five standard errors at 0.8.
@@ -174,7 +174,8 @@ def open_links(crowd: DataFrame, linked: DataFrame, sigs: DataFrame, sets: DataF
     parts = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("size").alias("all"), most.alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_SHINGLES)).cast("int")
     parts = parts.select("band", F.col("most.component").alias("main"), blocks(F.col("n"), F.col("all")).alias("nj"), blocks(F.col("n") - F.col("most.n"), F.col("all") - F.col("most.size")).alias("ni"))
-    rows = parted.drop("size").join(parts, "band").withColumn("asks", F.col("component") != F.col("main"))
+    parts = parts.join(crowd.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band")
+    rows = spread_join(parted.drop("size"), parts, "band", crowd.count(), "id").withColumn("asks", F.col("component") != F.col("main"))
     rows = rows.join(sigs.select("id", "sig"), "id").join(sets, "id")
     i, j = F.pmod(F.xxhash64("id"), "ni").cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), "nj").cast("int")
     cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
@@ -184,6 +185,16 @@ def open_links(crowd: DataFrame, linked: DataFrame, sigs: DataFrame, sets: DataF
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "role", "id").mapInArrow(cell_links(similarity), "a long, b long")
 
 
+def both_ends(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """``pairs`` (a, b) with ``value`` of both documents; one that is in many pairs is dealt over parts."""
+    total = pairs.count()
+    for end, other in ("ab", "ba"):
+        n = pairs.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        own = values.select("id", value).join(n, "id").dropDuplicates(["id"]).select(F.col("id").alias(end), F.col(value).alias(f"{value}_{end}"), "n")
+        pairs = spread_join(pairs, own, end, total, other)
+    return pairs
+
+
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all candidates whose texts' shingle similarity is at least ``similarity``."""
 
@@ -194,17 +205,13 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     sigs = materialize(signatures(docs, words, id_col, text_col))
     band = sigs.select("id", "size", F.posexplode("bands").alias("k", "band"))
     buckets = band.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    met = band.join(buckets, "band")
-    crowd = materialize(met.where("n > 3").select("band", "k", "id", "size").distinct())
+    met = materialize(spread_join(band, buckets.withColumn("members", F.col("n")), "band", BANDS * sigs.count(), "id"))
+    crowd = materialize(met.where("members > 3").select("band", "k", "id", "size").distinct())
     pairs = met.select("id", F.explode(F.array("low", "high")).alias("other")).where("id != other")
     pairs = materialize(pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    ends = lambda t, value: [t.select(F.col("id").alias(i), F.col(value).alias(f"{value}_{i}")) for i in "ab"]
-    one, two = ends(sigs, "sig")
-    close = pairs.join(one, "a").join(two, "b").where(agreement("sig_a", "sig_b") >= similarity - SLACK).select("a", "b")
-    close = materialize(close.distinct())
+    close = materialize(both_ends(pairs, sigs, "sig").where(agreement("sig_a", "sig_b") >= similarity - SLACK).select("a", "b"))
     named = close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).distinct()
     sets = materialize(shingle_sets(docs, named, words, id_col, text_col))
-    one, two = ends(sets, "hashes")
-    linked = materialize(close.join(one, "a").join(two, "b").where(similar("hashes_a", "hashes_b")).select("a", "b"))
+    linked = materialize(both_ends(close, sets, "hashes").where(similar("hashes_a", "hashes_b")).select("a", "b"))
     one_each = sigs.join(crowd.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     return linked.unionByName(open_links(crowd, linked, one_each, sets, similarity, block))

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelforge.llm import mixing, packing
+from panelforge.llm import langid, mixing, packing
 from panelforge.llm import queries as Q
-from panelforge.llm.langid import Classifier, identify, keep_identified, predict
+from panelforge.llm.langid import Classifier, clean, fit, identify, keep_identified, predict
 from panelforge.llm.mixing import hashed, mix, mixed_documents
 from panelforge.llm.packing import Encoder, best_fit, default_tokenizer, fractional, pack, piece_starts, plan, price
 
@@ -43,6 +43,28 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_a_shared_identifier_neither_empties_nor_fills_the_sample(spark):
+    for ident in (None, 5):
+        d = spark.range(2000).select(F.lit(ident).cast("long").alias("doc_id"), F.concat(F.lit("the quick brown fox number "), F.rand(1).cast("string"), F.lit(" jumps over the lazy dog")).alias("text"), F.lit("en").alias("lang"))
+        d = d.unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("el mismo texto repetido muchas veces").alias("text"), F.lit("es").alias("lang")))
+        d = d.unionByName(spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("immer die gleiche Zeile mit einer Nummer").alias("text"), F.lit("de").alias("lang")))
+        model = fit(d)
+        assert set(model) == {"en", "es", "de"}
+        assert 200 <= model["en"].count(b"quick") <= langid.SAMPLE_ROWS and model["de"].count(b"immer") == 1
+
+
+def test_more_labels_than_the_model_holds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    d = spark.createDataFrame([(i, f"text {i} of many words", g) for i, g in enumerate("aaaabbbcc")], "doc_id long, text string, lang string")
+    assert set(fit(d)) == {"a", "b"}
+
+
+def test_letters():
+    assert clean("²½ Ⅷ 12 _ \u0301") == ""
+    assert clean("हिन्दी 12 हिन्दी!") == "हिन्दी हिन्दी"
+    assert clean("Zoë-9 naïve") == "zoë naïve" and clean("It's OK_2") == "it s ok" and clean(None) == ""
+
+
 def test_prediction_reads_text_only(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     model = {"a": b"aaaa bbbb aaab " * 20, "z": b"zzzz yyyy zzzy " * 20}
@@ -148,6 +170,12 @@ def test_encoder_equals_tokenizers(spark, sf):
         assert list(enc.ids(r.text)) == tok.encode(r.text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space(spark):
+    texts = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "x " * 60_000), (4, "\u3000" * 60_001)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    check_packed(pack(d).collect(), texts)
+
+
 def test_piece_starts():
     assert piece_starts(1) == [0] and piece_starts(2048) == [0] and piece_starts(2049) == [0, 1] and piece_starts(4096) == [0, 2048]
 
