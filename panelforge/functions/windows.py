@@ -75,13 +75,24 @@ def ffill(x: Column, w: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def bfill(x: Column, w: WindowSpec) -> Column:
-    return F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def backwards(entity, order) -> WindowSpec:
+    """The rows of an entity from the last to the current one.
+
+    A frame that reaches from the current row to the last is recomputed for every row;
+    read from the end, the same frame only grows.
+    """
+    entity = entity if isinstance(entity, (list, tuple)) else [entity]
+    order = order if isinstance(order, (list, tuple)) else [order]
+    return Window.partitionBy(*entity).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def bfill(x: Column, entity, order) -> Column:
+    return F.last(x, ignorenulls=True).over(backwards(entity, order))
 
 
-def suffix_product(x: Column, w: WindowSpec) -> Column:
+def suffix_product(x: Column, entity, order) -> Column:
     """Product of this and all later rows."""
-    return F.product(x).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return F.product(x).over(backwards(entity, order))
 
 
 def running_sum(x: Column, w: WindowSpec) -> Column:

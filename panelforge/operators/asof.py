@@ -31,22 +31,42 @@ def backward(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, r
 def forward(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, payload: list[str], strict: bool = True) -> DataFrame:
     """Each left row with the first right row after it (or at it, if not strict)."""
     u = _union(left, right, keys, left_on, right_on, payload, right_first=strict)
-    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-    found = u.withColumn("__found", F.first("__hit", ignorenulls=True).over(w)).where("__row IS NOT NULL")
+    # Read backwards in time, so that the frame only grows; one that shrinks is recomputed for every row.
+    w = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = u.withColumn("__found", F.last("__hit", ignorenulls=True).over(w)).where("__row IS NOT NULL")
     return found.select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in [right_on, *payload] if c not in left.columns])
 
 
 def valid_at(left: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, value: str, default: str | None = None) -> DataFrame:
     """The value of the span that holds ``at`` (start <= at < end; an open end never ends).
 
-    The latest start wins; without a span the value is ``default`` (a column of left).
-    As spans that started later win, the latest start is looked up and its end checked;
-    spans of a key must not nest.
+    Of the spans that hold it the one that starts last wins, also where spans nest or
+    overlap; without a span the value is ``default`` (a column of left).  Nested spans are
+    first cut at every start and end of their key into pieces of one value (``flatten``), so
+    that the lookup stays an as-of join.
+    """
+    pieces = flatten(spans, keys, start, end, value)
+    found = backward(left, pieces, keys, at, "__from", ["__open", value], strict=False)
+    out = F.when(F.col("__open"), F.col(value))
+    return found.withColumn(value, F.coalesce(out, F.col(default)) if default else out).drop("__from", "__open")
+
+
+def flatten(spans: DataFrame, keys: list[str], start: str, end: str, value: str) -> DataFrame:
+    """(keys, __from, __open, value): what holds from each start or end of a key's spans on.
+
+    A span that ends falls back to the latest one before it that is still open: every end is
+    matched with the spans of its key that hold it.  Spans of a key are few (a validity
+    history), and only those that end inside another are looked at.
     """
-    found = backward(left, spans, keys, at, start, [end, value], strict=False)
-    inside = F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(at)))
-    out = F.when(inside, F.col(value))
-    return found.withColumn(value, F.coalesce(out, F.col(default)) if default else out).drop(start, end)
+    s = spans.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(value).alias(value)).where("__s IS NOT NULL AND (__e IS NULL OR __e > __s)")
+    # Of equal starts the later row of the greatest end wins, as one would find it last.
+    s = s.groupBy(*keys, "__s").agg(F.max_by(F.struct("__e", value), F.coalesce(F.col("__e").cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))).alias("__v")).select(*keys, "__s", F.col("__v.__e").alias("__e"), F.col(f"__v.{value}").alias(value))
+    ends = s.where("__e IS NOT NULL").select(*keys, F.col("__e").alias("__from")).distinct().join(s.select(*keys, F.col("__s").alias("__from")), [*keys, "__from"], "left_anti")
+    over = ends.alias("x").join(s.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col("y.__s") < F.col("x.__from"), F.col("y.__e").isNull() | (F.col("y.__e") > F.col("x.__from"))])
+    back = over.groupBy(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.__from").alias("__from")).agg(F.max_by(f"y.{value}", "y.__s").alias(value), F.lit(True).alias("__open"))
+    closed = ends.join(back, [*keys, "__from"], "left").withColumn("__open", F.coalesce("__open", F.lit(False)))
+    opened = s.select(*keys, F.col("__s").alias("__from"), F.lit(True).alias("__open"), value)
+    return opened.unionByName(closed.select(*opened.columns))
 
 
 def calendar_bounds(days: DataFrame, day: str = "date") -> DataFrame:
@@ -82,17 +102,33 @@ def dense_calendar(days: DataFrame, day: str = "date") -> DataFrame:
     every = own.agg(F.explode(F.sequence(F.min("d"), F.max("d"))).alias("d"))
     w = Window.orderBy("d")
     full = every.join(own, "d", "left").withColumn("is_trading", F.coalesce("is_trading", F.lit(False)))
-    later = F.first(F.when(F.col("is_trading"), F.col("d")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    later = F.last(F.when(F.col("is_trading"), F.col("d")), ignorenulls=True).over(Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1))
     return full.select("d", "is_trading", F.sum(F.col("is_trading").cast("int")).over(w).cast("bigint").alias("n_upto"), later.alias("next_day"))
 
 
+def next_sessions(rows: DataFrame, days: DataFrame, date: str, minute: Column, close: int, day: str = "date") -> DataFrame:
+    """``next_day``: the row's own session before its close, else the first session after its date.
+
+    Dates before the calendar go to its first session, dates after it have none.
+    """
+    dense = dense_calendar(days, day)
+    first = days.agg(F.min(F.col(day).cast("date")).alias("__first"))
+    out = rows.join(F.broadcast(dense.select(F.col("d").alias(date), F.col("is_trading").alias("__own"), F.col("next_day").alias("__next"))), date, "left").join(F.broadcast(first))
+    later = F.when(F.col(date) < F.col("__first"), F.col("__first")).otherwise(F.col("__next"))
+    return out.withColumn("next_day", F.when(F.coalesce(F.col("__own") & (minute < close), F.lit(False)), F.col(date)).otherwise(later)).drop("__own", "__next", "__first")
+
+
 def session_count(ranges: DataFrame, days: DataFrame, start: str, end: str, day: str = "date") -> DataFrame:
     """Trading sessions in [start, end], by the calendar's running count.
 
-    Both dates must lie in the calendar's span; outside of it the count is null.
+    Either date may lie outside the calendar's span: nothing trades before its first
+    session or after its last.
     """
     cal = dense_calendar(days, day)
     a = F.broadcast(cal.select(F.col("d").alias(start), (F.col("n_upto") - F.col("is_trading").cast("int")).alias("__before")))
     b = F.broadcast(cal.select(F.col("d").alias(end), F.col("n_upto").alias("__upto")))
-    out = ranges.join(a, start, "left").join(b, end, "left")
-    return out.withColumn("n_sessions", F.greatest(F.lit(0), F.col("__upto") - F.col("__before"))).drop("__before", "__upto")
+    edge = F.broadcast(cal.agg(F.min("d").alias("__lo"), F.max("d").alias("__hi"), F.coalesce(F.max("n_upto"), F.lit(0)).alias("__all")))
+    out = ranges.join(a, start, "left").join(b, end, "left").join(edge)
+    outside = lambda c, inside: F.when(F.col(c) < F.col("__lo"), 0).when(F.col(c) > F.col("__hi"), F.col("__all")).otherwise(inside)
+    n = F.greatest(F.lit(0), outside(end, F.col("__upto")) - outside(start, F.col("__before")))
+    return out.withColumn("n_sessions", F.when(F.col(start).isNotNull() & F.col(end).isNotNull(), F.coalesce(n, F.lit(0)).cast("bigint"))).drop("__before", "__upto", "__lo", "__hi", "__all")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
@@ -31,8 +31,7 @@ def factors(events: DataFrame, entity: str = "ticker") -> DataFrame:
 
 def cumulative_factors(fac: DataFrame, entity: str = "ticker") -> DataFrame:
     """At every event: the product of its factor and of all later ones."""
-    w = W.by(entity, "date")
-    return fac.withColumn("cum_factor", W.suffix_product(F.col("factor"), w))
+    return fac.withColumn("cum_factor", W.suffix_product(F.col("factor"), entity, "date"))
 
 
 def adjust(daily: DataFrame, fac: DataFrame, entity: str = "ticker") -> DataFrame:
@@ -54,7 +53,7 @@ def fill_samples(daily: DataFrame, samples: DataFrame, cols: list[str], entity:
     """Sparse samples joined on the day and carried forward (and back, if asked for)."""
     w = W.by(entity, "date")
     joined = daily.join(samples, [entity, "date"], "left")
-    fill = lambda c: F.coalesce(W.ffill(F.col(c), w), W.bfill(F.col(c), w)) if back else W.ffill(F.col(c), w)
+    fill = lambda c: F.coalesce(W.ffill(F.col(c), w), W.bfill(F.col(c), entity, "date")) if back else W.ffill(F.col(c), w)
     return joined.withColumns({c: fill(c) for c in cols})
 
 
@@ -129,12 +128,3 @@ def benchmark_weekly(daily: DataFrame) -> DataFrame:
     o = F.min_by("adj_open", F.when(F.col("adj_open").isNotNull(), F.col("date")))
     c = F.max_by("adj_close", F.when(F.col("adj_close").isNotNull(), F.col("date")))
     return daily.groupBy(week_of(F.col("date")).alias("week")).agg((F.try_divide(c, o) - 1).alias("bench_ret"), F.count(F.lit(1)).alias("n_trading_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-
-
-def every_nth_sample(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """Every n-th row of a calendar-sized table."""
-    return df.withColumn("__k", W.every_kth(n, Window.orderBy(*order))).where("__k").drop("__k")
-
-
-def is_outlier_return(r: Column, most: float = 0.1) -> Column:
-    return F.abs(r) > most

@@ -53,8 +53,7 @@ def initiation_events(spark, d):
 
 @query(B.sql("attention", "SELECT sparsity_tier, count(*) FILTER (WHERE is_initiation) AS n_events, count(DISTINCT ticker) FILTER (WHERE is_initiation) AS n_entities, count(DISTINCT week) FILTER (WHERE is_initiation) AS n_weeks FROM attention GROUP BY sparsity_tier"))
 def initiation_feasibility(spark, d):
-    e = F.col("is_initiation")
-    return B.attention(spark, d).groupBy("sparsity_tier").agg(F.count_if(e).alias("n_events"), F.countDistinct(F.when(e, F.col("ticker"))).alias("n_entities"), F.countDistinct(F.when(e, F.col("week"))).alias("n_weeks"))
+    return research.initiation_counts(B.attention(spark, d))
 
 
 @query(B.sql("counted", "SELECT * FROM counted"))
@@ -120,13 +119,7 @@ def next_trading_day(spark, d):
 
 def _next(spark, d):
     e, cal = _calendar(spark, d)
-    dense = asof.dense_calendar(cal.unionByName(e.groupBy().agg(F.max("date").alias("date")).where("false")))
-    x = e.join(F.broadcast(dense), e["date"] == dense["d"], "left")
-    first = cal.agg(F.min("date").alias("first_day"))
-    x = x.join(F.broadcast(first))
-    own = F.col("is_trading") & (T.minute_of_day(F.col("ts")) < T.CLOSE_MINUTE)
-    later = F.when(F.col("date") < F.col("first_day"), F.col("first_day")).otherwise(F.col("next_day"))
-    return x.withColumn("next_day", F.when(F.coalesce(own, F.lit(False)), F.col("date")).otherwise(later))
+    return asof.next_sessions(e, cal, "date", T.minute_of_day(F.col("ts")), T.CLOSE_MINUTE)
 
 
 @query("WITH " + _NEXT + " SELECT event_type, count(*) AS n_excluded, max(ts) AS last_ts FROM nxt WHERE next_day IS NULL GROUP BY event_type")
@@ -148,16 +141,7 @@ def calendar_week_bounds(spark, d):
 def trading_session_count(spark, d):
     x = B.daily(spark, d)
     spans = x.groupBy("ticker", T.week_of(F.col("date")).alias("week")).agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    # the calendar spans all dates; only weekdays trade
-    days = x.select("date").distinct()
-    cal = asof.dense_calendar(days.where(~T.is_weekend(F.col("date"))).select("date"))
-    edge = days.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    c = cal.join(F.broadcast(edge)).select("d", "n_upto", "is_trading")
-    last, first = c.agg(F.max_by("n_upto", "d").alias("n_all"), F.min("d").alias("d0"), F.max("d").alias("d1")), c
-    a = spans.join(F.broadcast(last)).join(F.broadcast(first.select(F.col("d").alias("a"), (F.col("n_upto") - F.col("is_trading").cast("int")).alias("before"))), "a", "left").join(F.broadcast(first.select(F.col("d").alias("b"), F.col("n_upto").alias("upto"))), "b", "left")
-    upto = F.when(F.col("b") < F.col("d0"), 0).when(F.col("b") > F.col("d1"), F.col("n_all")).otherwise(F.col("upto"))
-    before = F.when(F.col("a") < F.col("d0"), 0).when(F.col("a") > F.col("d1"), F.col("n_all")).otherwise(F.col("before"))
-    return a.select("ticker", "week", "a", "b", (upto - before).cast("bigint").alias("n_sessions"))
+    return asof.session_count(spans, x.where(~T.is_weekend(F.col("date"))).select("date"), "a", "b").select("ticker", "week", "a", "b", "n_sessions")
 
 
 @query(B.sql("counted", "SELECT ticker, week, att_all, week >= DATE '1997-06-01' AS regime_a, week >= DATE '1999-03-23' AS regime_b, week >= DATE '2000-10-26' AS regime_c FROM counted"))
@@ -185,11 +169,9 @@ def bulk_threshold_grid(spark, d):
     return one.select("n", rows.alias("r")).select("r.threshold", "r.n_kept", r6(F.col("r.n_kept") / F.col("n")).alias("share"))
 
 
-@query(B.sql("counted", "SELECT DISTINCT m::DATE AS month FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(week)) FROM counted WHERE att_weekend_high > 0)::TIMESTAMP, (SELECT max(week) FROM counted WHERE att_weekend_high > 0)::TIMESTAMP, INTERVAL 1 MONTH)) AS m) WHERE m::DATE NOT IN (SELECT date_trunc('month', week)::DATE FROM counted WHERE att_weekend_high > 0 AND ticker % 7 = 0)"))
+@query(B.sql("lines", "SELECT m::DATE AS month FROM (SELECT unnest(generate_series((SELECT min(m) FROM f)::TIMESTAMP, (SELECT max(m) FROM f)::TIMESTAMP, INTERVAL 1 MONTH)) AS m) WHERE m::DATE NOT IN (SELECT m FROM f)", "f AS (SELECT DISTINCT date_trunc('month', date)::DATE AS m FROM lines WHERE month(date) % 5 <> 0 AND ticker % 3 = 0)"))
 def month_gaps(spark, d):
-    c = B.counted(spark, d).where("att_weekend_high > 0")
-    span = c.select(F.trunc("week", "month").alias("m")).agg(F.explode(F.sequence(F.min("m"), F.max("m"), F.expr("interval 1 month"))).alias("month"))
-    return span.join(c.where("ticker % 7 = 0").select(F.trunc("week", "month").alias("month")).distinct(), "month", "left_anti")
+    return research.month_gaps(B.lines(spark, d).where("month(date) % 5 <> 0 AND ticker % 3 = 0"), F.col("date"))
 
 
 @query(B.sql("attention", "SELECT ticker, week, att_all, att_all - lag(att_all) OVER w AS delta, round(att_all - CASE WHEN count(*) OVER w4 >= 2 THEN avg(att_all) OVER w4 END, 6) AS trend FROM filled WINDOW w AS (PARTITION BY ticker ORDER BY week), w4 AS (PARTITION BY ticker ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"))
