@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the title grammar and of the effort tiers.
 CATEGORIES = ("標的", "新聞", "請益", "心得", "閒聊", "公告", "問卷", "其他", "情報", "創作", "爆卦", "投顧", "討論", "活動", "贈送")
@@ -30,8 +35,8 @@ def effort_tier(category: Column, reply: Column) -> Column:
 
 def strip_template(text: Column) -> Column:
     """Example lines of a posting form, and the line about its deletion key."""
-    text = F.regexp_replace(text, r"(?m)^.*(?:\(例|（例|ex\s*\[標的\]|例\s*[:：]).*$", "")
-    return F.regexp_replace(text, r"(?m)^.*按\s*[Cc]trl\+[yY].*$", "")
+    text = F.regexp_replace(text, r"(?md)^.*(?:\(例|（例|ex\s*\[標的\]|例\s*[:：]).*$", "")
+    return F.regexp_replace(text, r"(?md)^.*按\s*[Cc]trl\+[yY].*$", "")
 
 
 def strip_html(s: Column) -> Column:
@@ -41,6 +46,39 @@ def strip_html(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"<[^>]+>", " "), r"[\s ]+", " "))
 
 
+@F.pandas_udf(StringType())
+def unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """All character references of HTML, named and numbered; texts without an ampersand pass by."""
+    for batch in texts:
+        yield batch.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+
+def strip_html_full(s: Column) -> Column:
+    """As ``strip_html``, with every character reference (an Arrow stage)."""
+    return F.trim(F.regexp_replace(F.regexp_replace(unescape(s), r"<[^>]+>", " "), r"[\s\u00a0]+", " "))
+
+
+def independent_title(title: Column) -> tuple[Column, Column]:
+    """(category, is a reply) by a second, looser grammar, to be held against the first.
+
+    Letters of any case, white space inside the brackets, full-width colons, any tag of up
+    to eight characters.
+    """
+    t = F.coalesce(title, F.lit(""))
+    grammar = r"(?i)^\s*((?:(?:re|fw)\s*[:：]\s*)*)\[\s*([^\]]{1,8})\s*\]"
+    tagged = t.rlike(grammar)
+    category = F.when(tagged, F.trim(F.regexp_extract(t, grammar, 2))).otherwise(NONE)
+    return category, F.when(tagged, F.regexp_extract(t, grammar, 1) != "").otherwise(t.rlike(r"(?i)^\s*(?:re|fw)\s*[:：]"))
+
+
+def title_agreement(title: Column) -> Column:
+    """What the two grammars say of a title, and where they agree, as a struct."""
+    own, reply = title_category(title), is_reply(title)
+    other, other_reply = independent_title(title)
+    same = (own == other) | ((own == OTHER) & (other != NONE)) | ((own == NONE) & (other == NONE))
+    return F.struct(own.alias("category"), reply.alias("is_reply"), other.alias("independent_category"), other_reply.alias("independent_is_reply"), same.alias("category_agree"), (reply == other_reply).alias("reply_agree"), (same & (reply == other_reply)).alias("both_agree"))
+
+
 def number(s: Column, positive: bool = False) -> Column:
     """Digits, sign and point of a text as a double; null if none (or not positive)."""
     x = F.regexp_replace(s, r"[^0-9.\-]", "").try_cast("double")
