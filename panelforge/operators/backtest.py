@@ -1,8 +1,14 @@
 """Trading simulation: inputs in Spark, the sequential cash account in one small group.
 
 Cash in a week depends on the week before, so a strategy's account is inherently
-sequential.  Everything that grows with the data - ranks, liquidity, prices - is computed
-as DataFrames; only the top-k rows a week of a strategy reach its account.
+sequential.  Everything that grows with the data - ranks, liquidity, prices, the costs in
+force - is computed as DataFrames; only the top-k rows a week of a strategy reach its
+account.
+
+A buy is refused when the entry or the exit price of its week is missing, so a filled buy
+always sells: ``n_positions_carried`` is zero throughout, and a failed exit cannot happen.
+That rule looks ahead at the exit price; ``strict`` candidates do at least not look ahead
+at labels.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof, market
+from . import asof, evaluate, market
 
 
 @dataclass(frozen=True)
@@ -43,7 +49,10 @@ def costs_at(asked: DataFrame, schedule: DataFrame, at: str = "as_of") -> DataFr
     fields = [c for c in schedule.columns if c != "effective_from"]
     days = asked.select(at).distinct().withColumn("__k", F.lit(1))
     found = asof.backward(days, one, ["__k"], at, "effective_from", fields, strict=False).drop("__k")
-    checked = found.withColumn("effective_from", F.when(F.col("effective_from").isNotNull(), F.col("effective_from")).otherwise(F.raise_error(F.lit("no cost schedule in force")).cast(dict(schedule.dtypes)["effective_from"])))
+    # On every column, so that the check stays whichever of them is used.
+    kinds = dict(schedule.dtypes)
+    sure = lambda c: F.when(F.col("effective_from").isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit("no cost schedule in force")).cast(kinds[c]))
+    checked = found.select(at, *[sure(c).alias(c) for c in ("effective_from", *fields)])
     return asked.join(F.broadcast(checked), at)
 
 
@@ -53,7 +62,10 @@ def candidates(pred: DataFrame, labels: DataFrame, daily: DataFrame, pred_col: s
     By default names without a usable label are dropped before ranking; ``strict`` ranks
     first, as one could have at the time.
     """
-    lab = labels.select("as_of", "ticker", "entry_at", "label_end_at", "label_status").dropDuplicates(["as_of", "ticker"])
+    # Of labels that repeat a key the earliest entry counts, whatever the order of the rows.
+    fields = ["entry_at", "label_end_at", "label_status"]
+    lab = labels.groupBy("as_of", "ticker").agg(F.min(F.struct(*fields)).alias("__l")).select("as_of", "ticker", "__l.*")
+    pred = pred.drop(*fields)
     rows = pred.join(lab, ["as_of", "ticker"], "left").where(F.col(pred_col).isNotNull())
     fine = (F.col("label_status") == "ok") & F.col("entry_at").isNotNull() & F.col("label_end_at").isNotNull()
     rows = rows if strict else rows.where(fine)
@@ -70,63 +82,92 @@ def candidates(pred: DataFrame, labels: DataFrame, daily: DataFrame, pred_col: s
     return top.select("as_of", "ticker", "rank", "entry_at", "label_end_at", "n_obs", "adv", F.when(both, F.col("o.px")).alias("px_in"), F.when(both, F.col("c.px")).alias("px_out"))
 
 
-def account(rows: pd.DataFrame, costs: Costs, cash: float = 1e6, max_weight: float = 0.05, min_adv: float = 5e6, adv_share: float = 0.01, stress: float = 1.0, least_obs: int = 20) -> tuple[list[dict], list[dict]]:
-    """Weekly round trips in rank order: (orders, nav)."""
-    orders, nav = [], [{"as_of": None, "nav": cash, "cash": cash}]
+#: Cost columns of a row, and what they are taken from if one schedule holds throughout.
+COST_FIELDS = ("fee_rate", "fee_discount", "tax_rate_sell", "slippage_bps", "min_fee", "lot_size")
+NAV = "strategy string, as_of date, nav double, cash double, fees double, turnover double, n_positions_carried long, is_initial boolean"
+ORDERS = "strategy string, as_of date, ticker string, side string, status string, shares long, price double, gross double, fee double, entry_at date, exit_at date"
+
+
+def with_costs(rows: DataFrame, costs: Costs | DataFrame, at: str = "as_of") -> DataFrame:
+    """``rows`` with the cost columns in force at ``at``: of a dated schedule (effective_from and COST_FIELDS), or the same for all."""
+    if isinstance(costs, Costs):
+        return rows.withColumns({f: F.lit(getattr(costs, f)) for f in COST_FIELDS})
+    return costs_at(rows, costs.select("effective_from", *COST_FIELDS), at).drop("effective_from")
+
+
+def _costs(row) -> Costs:
+    return Costs(*(getattr(row, f) for f in COST_FIELDS))
+
+
+def account(rows: pd.DataFrame, cash: float = 1e6, max_weight: float = 0.05, min_adv: float = 5e6, adv_share: float = 0.01, stress: float = 1.0, least_obs: int = 20) -> tuple[list[dict], list[dict]]:
+    """Weekly round trips in rank order, at each week's own costs: (orders, nav)."""
+    orders, nav = [], [{"as_of": None, "nav": cash, "cash": cash, "fees": 0.0, "turnover": 0.0, "is_initial": True}]
     for at, week in rows.sort_values(["as_of", "rank"]).groupby("as_of", sort=True):
+        made: list[dict] = []
         room, spent, back = cash * max_weight, 0.0, 0.0
         for r in week.itertuples():
-            log = lambda status, **kw: orders.append({"as_of": at, "ticker": r.ticker, "side": "buy", "status": status, **kw})  # noqa: E731, B023
+            costs = _costs(r)
+            log = lambda side, status, **kw: made.append({"as_of": at, "ticker": r.ticker, "side": side, "status": status, "entry_at": r.entry_at, "exit_at": r.label_end_at, **kw})  # noqa: E731, B023
             if pd.isna(r.adv):
-                log("insufficient_adv_history" if r.n_obs < least_obs else "rejected_adv")
+                log("buy", "insufficient_adv_history" if r.n_obs < least_obs else "rejected_adv")
                 continue
             if r.adv < min_adv:
-                log("rejected_adv")
+                log("buy", "rejected_adv")
                 continue
             if pd.isna(r.px_in) or pd.isna(r.px_out):
-                log("no_price")
+                log("buy", "no_price")
                 continue
             budget = min(room, cash - spent)
             if budget <= 0:
                 break  # lower ranks are not tried
             price = r.px_in * costs.slip(1, stress)
-            lots = int(min(budget, r.adv * adv_share) / price / costs.lot_size)
-            if lots <= 0:
-                log("lot_too_small")
+            shares = int(min(budget, r.adv * adv_share) / price / costs.lot_size) * costs.lot_size
+            if shares <= 0:
+                log("buy", "lot_too_small")
                 continue
-            gross = lots * costs.lot_size * price
+            gross = shares * price
             if gross + costs.fee(gross) > cash - spent:
                 continue
             spent += gross + costs.fee(gross)
-            log("filled", shares=lots * costs.lot_size, price=price, gross=gross, fee=costs.fee(gross))
+            log("buy", "filled", shares=shares, price=price, gross=gross, fee=costs.fee(gross))
             out = r.px_out * costs.slip(-1, stress)
-            sold = lots * costs.lot_size * out
+            sold = shares * out
             back += sold - costs.sell_fee(sold)
-            orders.append({"as_of": at, "ticker": r.ticker, "side": "sell", "status": "filled", "shares": lots * costs.lot_size, "price": out, "gross": sold, "fee": costs.sell_fee(sold)})
+            log("sell", "filled", shares=shares, price=out, gross=sold, fee=costs.sell_fee(sold))
         cash += back - spent
-        nav.append({"as_of": at, "nav": cash, "cash": cash})
-    return orders, nav
+        filled = [o for o in made if "gross" in o]
+        nav.append({"as_of": at, "nav": cash, "cash": cash, "fees": sum(o["fee"] for o in filled), "turnover": sum(o["gross"] for o in filled), "is_initial": False})
+        orders += made
+    return orders, [n | {"n_positions_carried": 0} for n in nav]
+
 
+def simulate(cands: DataFrame, costs: Costs | DataFrame = Costs(), strategy: str = "strategy", what: str = "nav", **options) -> DataFrame:
+    """The account of each strategy (column ``strategy``, else one): its nav or its orders.
 
-def simulate(cands: DataFrame, costs: Costs = Costs(), strategy: str = "strategy", what: str = "nav", **options) -> DataFrame:
-    """The account of each strategy (column ``strategy``, else one): its nav or its orders."""
+    ``costs``: one entry for all dates, or a dated schedule.
+    """
     rows = cands if "strategy" in cands.columns else cands.withColumn("strategy", F.lit(strategy))
-    nav_schema = "strategy string, as_of date, nav double, cash double"
-    order_schema = "strategy string, as_of date, ticker string, side string, status string, shares long, price double, gross double, fee double"
+    schema = NAV if what == "nav" else ORDERS
+    cols = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        orders, nav = account(pdf, costs, **options)
-        cols = [c.strip().split()[0] for c in (nav_schema if what == "nav" else order_schema).split(",")]
+        orders, nav = account(pdf, **options)
         out = pd.DataFrame(nav if what == "nav" else orders)
         out["strategy"] = pdf["strategy"].iloc[0]
         return out.reindex(columns=cols)
 
-    slim = rows.select("strategy", "as_of", F.col("ticker").cast("string").alias("ticker"), "rank", "n_obs", "adv", "px_in", "px_out")
-    return slim.groupBy("strategy").applyInPandas(run, nav_schema if what == "nav" else order_schema)
+    slim = rows.select("strategy", "as_of", F.col("ticker").cast("string").alias("ticker"), "rank", "entry_at", "label_end_at", "n_obs", "adv", "px_in", "px_out")
+    return with_costs(slim, costs).groupBy("strategy").applyInPandas(run, schema)
+
+
+def totals(nav: DataFrame, initial: float | None = None) -> DataFrame:
+    """Metrics of each strategy with its fees and turnover."""
+    sums = nav.groupBy("strategy").agg(F.sum("fees").alias("total_fees"), F.sum("turnover").alias("total_turnover"), F.max("n_positions_carried").alias("n_positions_carried"))
+    return evaluate.nav_metrics(nav, initial=initial).join(sums, "strategy")
 
 
-def benchmark_account(spans: DataFrame, costs: Costs = Costs(), cash: float = 1e6, hold: bool = False, stress: float = 1.0) -> DataFrame:
-    """One series traded each week (or bought once and held): as_of, nav.
+def benchmark_account(spans: DataFrame, costs: Costs | DataFrame = Costs(), cash: float = 1e6, hold: bool = False, stress: float = 1.0) -> DataFrame:
+    """One series traded each week (or bought once and held): as_of, nav, cash, fees, turnover.
 
     ``spans``: as_of, px_in, px_out, one row a week.
     """
@@ -134,28 +175,31 @@ def benchmark_account(spans: DataFrame, costs: Costs = Costs(), cash: float = 1e
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         money, shares, out = cash, 0, []
         for i, r in enumerate(pdf.sort_values("as_of").itertuples()):
+            c, fees, turnover = _costs(r), 0.0, 0.0
             if hold:
                 if i == 0 and not pd.isna(r.px_in):
-                    price = r.px_in * costs.slip(1, stress)
-                    shares = int(money / price / costs.lot_size) * costs.lot_size
-                    money -= shares * price + costs.fee(shares * price)
-                out.append((r.as_of, money + shares * (0.0 if pd.isna(r.px_out) else r.px_out)))
+                    price = r.px_in * c.slip(1, stress)
+                    shares = int(money / price / c.lot_size) * c.lot_size
+                    fees, turnover = (c.fee(shares * price), shares * price) if shares else (0.0, 0.0)
+                    money -= turnover + fees
+                out.append((r.as_of, money + shares * (0.0 if pd.isna(r.px_out) else r.px_out), money, fees, turnover))
                 continue
             if not (pd.isna(r.px_in) or pd.isna(r.px_out)):
-                price = r.px_in * costs.slip(1, stress)
-                n = int(money / price / costs.lot_size) * costs.lot_size
+                price = r.px_in * c.slip(1, stress)
+                n = int(money / price / c.lot_size) * c.lot_size
                 if n > 0:
-                    buy, sell = n * price, n * r.px_out * costs.slip(-1, stress)
-                    money += sell - costs.sell_fee(sell) - buy - costs.fee(buy)
-            out.append((r.as_of, money))
-        return pd.DataFrame(out, columns=["as_of", "nav"])
+                    buy, sell = n * price, n * r.px_out * c.slip(-1, stress)
+                    fees, turnover = c.fee(buy) + c.sell_fee(sell), buy + sell
+                    money += sell - buy - fees
+            out.append((r.as_of, money, money, fees, turnover))
+        return pd.DataFrame(out, columns=["as_of", "nav", "cash", "fees", "turnover"])
 
-    return spans.withColumn("__k", F.lit(1)).groupBy("__k").applyInPandas(run, "as_of date, nav double")
+    return with_costs(spans, costs).withColumn("__k", F.lit(1)).groupBy("__k").applyInPandas(run, "as_of date, nav double, cash double, fees double, turnover double")
 
 
 def diagnostics(orders: DataFrame, nav: DataFrame, top_k: int = 20) -> DataFrame:
     """Fill rate, cash share and rejection counts per week."""
     buys = orders.where("side = 'buy'")
     kinds = ["filled", "rejected_adv", "insufficient_adv_history", "lot_too_small", "no_price"]
-    per = buys.groupBy("as_of").agg(F.count(F.lit(1)).alias("attempted_buys"), *[F.count_if(F.col("status") == k).alias(k) for k in kinds])
+    per = buys.groupBy("as_of").agg(F.lit(top_k).alias("intended_buys"), F.count(F.lit(1)).alias("attempted_buys"), *[F.count_if(F.col("status") == k).alias(k) for k in kinds])
     return per.join(nav.select("as_of", "nav", "cash"), "as_of", "left").withColumns({"fill_rate": F.col("filled") / top_k, "cash_fraction": F.try_divide("cash", F.nullif(F.col("nav"), F.lit(0.0)))})

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MIN_OBS, MIN_ENTITIES, MIN_PERIODS = 500, 20, 20
 
 
@@ -25,16 +27,27 @@ def gram(df: DataFrame, xs: list[str], y: str, weight: Column | None = None) ->
     return g, np.array([row[f"b{i}"] or 0.0 for i in range(len(xs))]), row["yy"] or 0.0, row["n"]
 
 
+#: Rounds of demeaning between two cuts of the plan, and the share of a column's deviation that may be left.
+ROUNDS_PER_CUT, LEFT = 4, 1e-9
+
+
 def two_way_demean(df: DataFrame, cols: list[str], entity: str = "ticker", time: str = "week", rounds: int = 1) -> DataFrame:
     """Alternating projections on entity and time means; one round is exact when balanced.
 
     A round is two shuffles; unbalanced panels need several (the error shrinks
-    geometrically with every round).
+    geometrically).  Every ``ROUNDS_PER_CUT`` rounds the plan is cut, and the rounds end as
+    soon as no entity mean is left.
     """
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         for key in (entity, time):
             g = Window.partitionBy(key)
             df = df.withColumns({c: F.col(c) - F.avg(c).over(g) for c in cols})
+        if done % ROUNDS_PER_CUT == 0 and done < rounds:
+            df = cut_lineage(df)
+            per = df.groupBy(entity).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.sum(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)], F.count(F.lit(1)).alias("n"))
+            row = per.agg(*[F.max(F.abs(f"m{i}")).alias(f"m{i}") for i in range(len(cols))], *[F.sqrt(F.sum(f"s{i}") / F.sum("n")).alias(f"s{i}") for i in range(len(cols))]).first()
+            if all((row[f"m{i}"] or 0.0) <= LEFT * (row[f"s{i}"] or 0.0) for i in range(len(cols))):
+                break
     return df
 
 
@@ -144,11 +157,9 @@ def fama_macbeth(df: DataFrame, y: str, xs: list[str], time: str = "week", least
             import pandas as pd
 
             for pdf in batches:
-                out = []
-                for _, r in pdf.iterrows():
-                    beta = np.linalg.lstsq(np.array(r["g"]).reshape(k, k), np.array(r["b"]), rcond=None)[0]
-                    out += [(r[time], t, float(c)) for t, c in zip(xs, beta[1:])]
-                yield pd.DataFrame(out, columns=[time, "term", "beta"])
+                g, b = np.stack(pdf["g"]).reshape(-1, k, k), np.stack(pdf["b"])
+                beta = np.einsum("nij,nj->ni", np.linalg.pinv(g, hermitian=True), b)[:, 1:]
+                yield pd.DataFrame({time: np.repeat(pdf[time].to_numpy(), k - 1), "term": np.tile(xs, len(pdf)), "beta": beta.reshape(-1)})
 
         per = sums.mapInPandas(solve, f"{time} {dict(df.dtypes)[time]}, term string, beta double")
     return newey_west(per, "beta", time, lags, ["term"]).where(F.col("n") >= least_weeks)
@@ -170,7 +181,7 @@ def logit(df: DataFrame, y: str, xs: list[str], rounds: int = 25, tol: float = 1
             if np.abs(delta).max() < tol:
                 break
         eta = sum((float(b) * F.col(c) for b, c in zip(beta, cols)), F.lit(0.0))
-        ll, n, m = d.agg(F.sum(F.col("__y") * eta - F.log1p(F.exp(eta))), F.count(F.lit(1)), F.avg("__y")).first()
+        ll, n, m = d.agg(F.sum(F.col("__y") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))), F.count(F.lit(1)), F.avg("__y")).first()
     finally:
         d.unpersist()
     se = np.sqrt(np.diag(np.linalg.pinv(h)))

@@ -12,6 +12,35 @@ from ..functions import windows as W
 from . import asof
 
 
+# ---- Fixed values: which features a set may use, and what may never be one.
+FEATURES = {
+    "A": (
+        "ret", "ret_lag1", "mom_4w", "mom_12w", "mom_26w", "vol_20d", "vol_60d", "log_adv20", "rel_volume_1w", "amihud_20d",
+        "zero_volume_share_20d", "mean_turnover_20d", "log_market_cap", "listing_age_years", "foreign_holding_pct",
+        "bench_ret_1w", "bench_vol_20d", "missing_market_cap", "missing_foreign_holding", "missing_amihud", "history_weeks_available",
+    ),
+    "attention": (
+        "log1p_att_all", "log1p_att_weekday", "log1p_att_weekend", "abn_attention_all", "abn_attention_weekday", "abn_attention_weekend",
+        "att_count_delta_1w", "att_count_trend_4w", "att_nonzero_weeks_52", "att_mean_level_52", "history_weeks_available",
+        "insufficient_history", "is_initiation", "att_zero_base", "log1p_att_high_effort", "log1p_att_mid_effort",
+        "log1p_att_low_effort", "weekend_share", "non_trading_share", "is_code_only_matched", "missing_attention_window",
+    ),
+    "news": ("log1p_news_count_1w", "log1p_news_count_4w", "missing_news"),
+    "revenue": ("revenue_yoy_latest", "revenue_mom_latest", "log_revenue_latest", "days_since_revenue_announce", "missing_revenue"),
+}
+FORBIDDEN = (
+    "ret_next", "non_inst_roi_next", "turnover_next", "ret_fwd2", "ret_fwd3", "ret_fwd4", "ret_fwd5", "ret_fwd6", "ret_fwd7", "ret_fwd8",
+    "y_excess_1w", "y_excess_4w", "y_outperform_1w", "y_stock_1w", "y_bench_1w", "label_status",
+)
+SETS = {"A": ("A",), "B": ("A", "attention"), "C": ("A", "news"), "D": ("A", "revenue"), "E": ("A", "revenue", "attention")}
+# ---- End of the fixed values.
+
+
+def feature_set(name: str) -> list[str]:
+    """The features of a set, each once."""
+    return list(dict.fromkeys(f for part in SETS[name.upper()] for f in FEATURES[part]))
+
+
 def check_columns(cols: list[str], allowed: set[str] | None = None, forbidden: set[str] = frozenset()) -> list[str]:
     """Feature names, guarded: none forbidden, none outside the whitelist."""
     bad = set(cols) & set(forbidden) | (set(cols) - set(allowed) if allowed is not None else set())
@@ -83,6 +112,19 @@ def labels(panel: DataFrame, daily: DataFrame, calendar: DataFrame, bench: DataF
     return out.select(entity, "week", T.as_of(F.col("week")).alias("as_of"), "entry_at", "label_end_at", T.available_at(F.col("label_end_at")).alias("label_available_at"), F.col("period_ret").alias("y_ret"), y.alias("y_excess"), (y > 0).cast("int").alias("y_outperform"), status.alias("label_status"))
 
 
+def panel_labels(built: DataFrame, panel: DataFrame, bench_weekly: DataFrame, entity: str = "ticker") -> DataFrame:
+    """One-week labels whose returns are those of the panel; dates and status stay as built.
+
+    ``panel``: entity, week, ret_next; ``bench_weekly``: week, bench_ret.  A status may thus say
+    ``ok`` where the panel has no next return, and the other way round: a quirk that is kept.
+    """
+    own = panel.select(entity, "week", F.col("ret_next").alias("y_ret"))
+    base = bench_weekly.select(F.date_sub("week", 7).alias("week"), F.col("bench_ret").alias("__b"))
+    out = built.drop("y_ret", "y_excess", "y_outperform").join(own, [entity, "week"], "left").join(F.broadcast(base), "week", "left")
+    y = F.col("y_ret") - F.col("__b")
+    return out.withColumns({"y_excess": y, "y_outperform": (y > 0).cast("int")}).drop("__b")
+
+
 def label_status(entry: Column, end: Column, own: Column, bench: Column, y: Column) -> Column:
     return F.when(entry.isNull() | end.isNull(), "schedule_skip").when(own.isNull(), "entry_unavailable_or_missing_stock").when(bench.isNull(), "benchmark_missing").when(y.isNull(), "label_missing").otherwise("ok")
 

@@ -25,15 +25,25 @@ def conflicts(new: DataFrame, old: DataFrame | None, keys: list[str] = KEYS) ->
 
 
 def append_immutable(spark: SparkSession, new: DataFrame, path: str, keys: list[str] = KEYS) -> None:
-    """Append, or fail and write nothing when a key is there already."""
+    """Append, or fail and write nothing when a key is there already.
+
+    The test and the append are two steps on a plain file table: one writer at a time.
+    """
     if not conflicts(new, read_or_none(spark, path), keys).isEmpty():
         raise ValueError("the ledger holds some of these keys already")
     new.write.mode("append").parquet(path)
 
 
 def append_missing(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose key is not there; nothing happens the second time."""
-    old = read_or_none(spark, path)
+    """Append the rows whose key is not there; nothing happens the second time.
+
+    Of new rows that share a key the smallest (by their other columns) is written.
+    """
+    old, rest = read_or_none(spark, path), [c for c in new.columns if c not in keys]
+    if rest:
+        new = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*").select(*new.columns)
+    else:
+        new = new.distinct()
     (new if old is None else new.join(old, keys, "left_anti")).write.mode("append").parquet(path)
 
 
@@ -70,12 +80,12 @@ def operational_status(expected: DataFrame, predictions: DataFrame, skips: DataF
 
 
 def save_model(spark: SparkSession, model, as_of: str, path: str) -> None:
-    """A ridge model as one row of maps."""
+    """A ridge model as one row of maps; a later model of the same date takes its place."""
     p = model.prepared
     spark.createDataFrame(
         [(as_of, model.alpha, model.intercept, model.weights, p.features, p.medians, p.indicators, p.centre, p.scale)],
         "as_of string, alpha double, intercept double, weights map<string,double>, features array<string>, medians map<string,double>, indicators array<string>, centre map<string,double>, scale map<string,double>",
-    ).write.mode("append").partitionBy("as_of").parquet(path)
+    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(path)
 
 
 def load_model(spark: SparkSession, as_of: str, path: str):
@@ -87,5 +97,15 @@ def load_model(spark: SparkSession, as_of: str, path: str):
     return Ridge(Prepared(r["features"], r["medians"], r["indicators"], r["centre"], r["scale"]), r["intercept"], r["weights"], r["alpha"])
 
 
-def coverage_row(source: str, as_of, n_rows: int, n_entities: int) -> dict:
-    return {"source": source, "as_of": as_of, "n_rows": n_rows, "n_entities": n_entities, "available": n_rows > 0}
+def coverage_metrics(predictions: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row: counts of predictions, scored ones and those without a usable label, and their rates."""
+    a = predictions.agg(F.count(F.lit(1)).alias("n_predictions"), F.count_if(F.coalesce(F.col("label_status"), F.lit("")) != "ok").alias("n_missing_label"))
+    b = scored.agg(F.count(F.lit(1)).alias("n_scored"))
+    return a.join(F.broadcast(b)).select("n_predictions", "n_scored", "n_missing_label", (F.col("n_predictions") > 0).cast("double").alias("prediction_rate"), F.try_divide("n_scored", "n_predictions").alias("scorable_rate"))
+
+
+def news_coverage(rows: DataFrame, matched: DataFrame, entity: str, count: str = "news_count_1w") -> DataFrame:
+    """One row: panel rows with news, their share, and the share of the matched items that one entity has."""
+    a = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(count) > 0).alias("n_with_news"))
+    b = matched.agg(F.avg((F.col("ticker") == entity).cast("double")).alias("entity_share"))
+    return a.join(F.broadcast(b)).select("n_rows", "n_with_news", F.try_divide("n_with_news", "n_rows").alias("news_share"), "entity_share")

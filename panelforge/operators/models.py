@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
 from . import evaluate, forecast
 from .estimators import gram, logit
 
@@ -38,9 +40,10 @@ class Prepared:
 
 def prepare(train: DataFrame, features: list[str]) -> Prepared:
     """Medians by percentile; all-missing features are dropped; scales use ddof 0."""
-    row = train.agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in features], *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in features]).first()
-    kept = [c for c in features if row[f"m_{c}"] is not None]
-    p = Prepared(kept, {c: float(row[f"m_{c}"]) for c in kept}, [c for c in kept if row[f"n_{c}"]], {}, {})
+    middle = {r["variable"]: r["q"][0] for r in exact_percentiles(train, features, [0.5]).collect()}  # a row a feature
+    row = train.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in features]).first()
+    kept = [c for c in features if middle[c] is not None]
+    p = Prepared(kept, {c: float(middle[c]) for c in kept}, [c for c in kept if row[f"n_{c}"]], {}, {})
     names = [*kept, *(f"miss_{c}" for c in p.indicators)]
     if names:
         s = p._imputed(train).agg(*[F.avg(c).alias(f"a_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
@@ -134,21 +137,94 @@ def select_alpha(xy: DataFrame, features: list[str], y: str, alphas=(0.1, 1.0, 1
     return max(means, key=lambda a: (means[a], a)) if means else max(alphas)
 
 
-def walk_forward(xy: DataFrame, features: list[str], y: str, refits: list, alpha: float = 10.0, horizon_end=None, sets: dict[str, list[str]] | None = None) -> DataFrame:
+def select_c(xy: DataFrame, features: list[str], y: str, values=(0.01, 0.1, 1.0, 10.0), n_blocks: int = 3, size: int = 26, least_weeks: int = 104) -> tuple[float, DataFrame]:
+    """C of the smallest mean Brier score over inner forward blocks (ties: the smaller), and the record of all.
+
+    Blocks with fewer than 100 training or 50 validation rows are passed over; without any
+    inner block the last quarter of the weeks (``size`` at most) is the one block.
+    """
+    spark = xy.sparkSession
+    blocks = validation_blocks(xy, n_blocks, size, least_weeks)
+    if not blocks:
+        return values[len(values) // 2], spark.createDataFrame([], "c double, mean_brier double, n_blocks int")
+    scores: dict[float, list[float]] = {c: [] for c in values}
+    for before, first, stop in blocks:
+        train, valid = forecast.mature(xy, before, y), _valid(xy, first, stop, y)
+        if train.count() < 100 or valid.count() < 50:
+            continue
+        for c in values:
+            scores[c].append(evaluate.brier(predict_probability(logistic(train, features, y, c), valid), "prob", y).first()["brier"])
+    record = [(float(c), sum(s) / len(s) if s else float("inf"), len(s)) for c, s in scores.items()]
+    best = min(record, key=lambda r: (r[1], r[0]))[0]
+    return best, spark.createDataFrame(record, "c double, mean_brier double, n_blocks int")
+
+
+def validation_blocks(xy: DataFrame, n_blocks: int = 3, size: int = 26, least_weeks: int = 104) -> list[tuple]:
+    """(train before, first, stop) of each inner block, the stop excluded; one block of the last weeks if there is none."""
+    weeks = sorted(r[0] for r in xy.select("as_of").where("as_of IS NOT NULL").distinct().collect())  # dates of a weekly panel
+    one = dt.timedelta(days=1)
+    blocks = [(b, first, last + one) for b, first, last in forecast.inner_blocks(weeks, n_blocks, size, least_weeks)]
+    if blocks or len(weeks) < 4:
+        return blocks
+    start = weeks[-min(size, len(weeks) // 4)]
+    return [(start, start, weeks[-1] + one)]
+
+
+def _valid(xy: DataFrame, first, stop, y: str) -> DataFrame:
+    return xy.where((F.col("as_of") >= F.lit(first)) & (F.col("as_of") < F.lit(stop)) & F.col(y).isNotNull() & (F.col("label_status") == "ok"))
+
+
+def predict_probability(fitted, rows: DataFrame, out: str = "prob") -> DataFrame:
+    """``rows`` with the probability of a fitted logistic regression."""
+    from pyspark.ml.functions import vector_to_array
+
+    p, vec, model = fitted
+    made = model.transform(vec.transform(p.apply(rows)))
+    return made.withColumn(out, vector_to_array("probability")[1]).select(*rows.columns, out)
+
+
+def out_of_fold(xy: DataFrame, features: list[str], y: str, c: float, **blocks) -> DataFrame | None:
+    """Rows of the inner blocks with the probability of the model that had not seen them; None without a usable block."""
+    out = None
+    for before, first, stop in validation_blocks(xy, **blocks):
+        train, valid = forecast.mature(xy, before, y), _valid(xy, first, stop, y)
+        if train.count() < 100 or valid.count() < 50:
+            continue
+        rows = predict_probability(logistic(train, features, y, c), valid).select("as_of", y, "prob")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def calibrated(xy: DataFrame, features: list[str], y: str, c: float, **blocks) -> tuple[float, float] | None:
+    """Platt slope and intercept on out-of-fold probabilities; None without support."""
+    rows = out_of_fold(xy, features, y, c, **blocks)
+    return None if rows is None else platt(rows, "prob", y)
+
+
+def walk_forward(xy: DataFrame, features: list[str], y: str, refits: list, alpha: float | None = 10.0, horizon_end=None, sets: dict[str, list[str]] | None = None) -> DataFrame:
     """Predictions between consecutive refit dates from models trained on mature rows only.
 
-    The input is persisted: every refit reads it several times.
+    ``alpha`` None: chosen at each refit by ``select_alpha`` on the mature rows.  Models are
+    fitted here, so the input is held for that long; the predictions are plain columns.
     """
     xy, out = xy.persist(), None
-    for i, start in enumerate(refits):
-        stop = refits[i + 1] if i + 1 < len(refits) else horizon_end
-        train = forecast.mature(xy, start, y)
-        rows = xy.where(F.col("as_of") >= F.lit(start))
-        rows = rows.where(F.col("as_of") < F.lit(stop)) if stop is not None else rows
-        for name, cols in (sets or {"A": features}).items():
-            pred = ridge(train, cols, y, alpha).predict(rows.select("*")).withColumns({"feature_set": F.lit(name), "refit_at": F.lit(start)})
-            pred = pred.select("ticker", "as_of", y, "pred", "feature_set", "refit_at")
-            out = pred if out is None else out.unionByName(pred)
+    try:
+        for i, start in enumerate(refits):
+            stop = refits[i + 1] if i + 1 < len(refits) else horizon_end
+            train = forecast.mature(xy, start, y)
+            if train.isEmpty():
+                continue
+            rows = xy.where(F.col("as_of") >= F.lit(start))
+            rows = rows.where(F.col("as_of") < F.lit(stop)) if stop is not None else rows
+            for name, cols in (sets or {"A": features}).items():
+                a = select_alpha(train, cols, y) if alpha is None else alpha
+                pred = ridge(train, cols, y, a).predict(rows.select("*")).withColumns({"feature_set": F.lit(name), "refit_at": F.lit(start), "alpha": F.lit(float(a))})
+                pred = pred.select("ticker", "as_of", y, "pred", "feature_set", "refit_at", "alpha")
+                out = pred if out is None else out.unionByName(pred)
+        if out is None:
+            out = xy.where("false").select("ticker", "as_of", y, *[F.lit(None).cast(t).alias(c) for c, t in (("pred", "double"), ("feature_set", "string"), ("refit_at", "date"), ("alpha", "double"))])
+    finally:
+        xy.unpersist()
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.quantiles import exact_percentiles
 
 PRE, POST, CALIPER = 4, 8, 0.010
 RETURN_VARS = ("ar_m1", "ar_m2", "pre_car_34")
@@ -26,27 +27,29 @@ def standardise(df: DataFrame, cols: list[str], group: list[str]) -> DataFrame:
 
 
 def winsorise(df: DataFrame, col: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    q = df.agg(F.percentile(col, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = exact_percentiles(df, [col], [low, high]).select(F.col("q").alias("__q"))
     return df.join(F.broadcast(q)).withColumn(f"{col}_w", F.greatest(F.least(col, F.col("__q")[1]), F.col("__q")[0])).drop("__q")
 
 
-def available_controls(df: DataFrame, controls: list[str], least: float = 0.5) -> list[str]:
-    row = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in controls]).first()
-    return [c for c in controls if (row[c] or 0) >= least]
+def control_shares(df: DataFrame, controls: list[str], least: float = 0.5) -> DataFrame:
+    """control, share of rows with a value, and whether it is enough to be used."""
+    one = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in controls])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("control"), F.coalesce(F.col(c), F.lit(0.0)).alias("share")) for c in controls])).alias("r"))
+    return rows.select("r.*").withColumn("available", F.col("share") >= least)
 
 
-def varying(df: DataFrame, cols: list[str]) -> list[str]:
-    row = df.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()
-    return [c for c in cols if (row[c] or 0) > 0]
+def available_controls(df: DataFrame, controls: list[str], least: float = 0.5) -> list[str]:
+    found = {r["control"] for r in control_shares(df, controls, least).where("available").collect()}  # a row a control
+    return [c for c in controls if c in found]
 
 
 # ------------------------------------------------------------------ reports
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """n, missing share, mean, sd, min, percentiles 1/25/50/75/99 and max per column."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")).select("r.*")
-    q = F.percentile("x", F.array(*[F.lit(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    out = long.groupBy("variable").agg(F.count("x").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("missing_share"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
-    return out.select("variable", "n", "missing_share", "mean", "sd", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p1", "p25", "p50", "p75", "p99"))], "max")
+    q = exact_percentiles(df, cols, [0.01, 0.25, 0.5, 0.75, 0.99]).select("variable", "q")
+    out = long.groupBy("variable").agg(F.count("x").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("missing_share"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return out.join(F.broadcast(q), "variable", "left").select("variable", "n", "missing_share", "mean", "sd", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p1", "p25", "p50", "p75", "p99"))], "max")
 
 
 def coverage(df: DataFrame, cols: list[str], entity: str) -> DataFrame:
@@ -144,6 +147,21 @@ def event_windows(panel: DataFrame, complete: bool = True, pre: int = PRE, post:
     return out.where(F.forall("path", lambda x: x.isNotNull())) if complete else out
 
 
+def initiation_counts(panel: DataFrame, event: str = "is_initiation", group: str = "sparsity_tier", entity: str = "ticker") -> DataFrame:
+    """Events, entities with one, and weeks with one, per group."""
+    e = F.col(event)
+    return panel.groupBy(group).agg(F.count_if(e).alias("n_events"), F.countDistinct(F.when(e, F.col(entity))).alias("n_entities"), F.countDistinct(F.when(e, F.col("week"))).alias("n_weeks"))
+
+
+def weekly_terciles(df: DataFrame, value: str) -> DataFrame:
+    """Rows with their weekly value tercile (1, 2, 3): ties stay together; null where the week's edges are not all different."""
+    e = F.col("__q")
+    q = df.where(F.col(value).isNotNull()).groupBy("week").agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in (0.0, 1 / 3, 2 / 3, 1.0)])).alias("__q"))  # names of a week
+    apart = (e[0] < e[1]) & (e[1] < e[2]) & (e[2] < e[3])
+    b = F.when(F.col(value) <= e[1], 1).when(F.col(value) <= e[2], 2).otherwise(3)
+    return df.where(F.col(value).isNotNull()).join(q, "week").withColumn("bucket", F.when(apart, b)).drop("__q")
+
+
 def path_stats(windows: DataFrame, pre: int = PRE) -> DataFrame:
     """tau, n, mean, se, t, and the cumulated mean."""
     long = windows.select(F.posexplode("path").alias("pos", "ar")).select((F.col("pos") - pre).alias("tau"), "ar").where("ar IS NOT NULL")
@@ -206,12 +224,41 @@ def did_path(pairs: DataFrame, pre: int = PRE, entity: str = "ticker") -> DataFr
     e = F.col("s") - F.col("k") * F.col("m")
     out = clusters.groupBy("pos").agg(F.first("m").alias("diff"), F.first("n").alias("n_events"), F.count(F.lit(1)).alias("n_weeks"), F.sum(e * e).alias("__ss"))
     g, n = F.col("n_weeks"), F.col("n_events")
-    se = F.sqrt(F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 1) * F.col("__ss")) / n
+    # The small-sample factor (n - 1) / (n - k) of a mean is one.
+    se = F.sqrt(F.try_divide(g, g - 1) * F.col("__ss")) / n
     out = out.withColumns({"tau": F.col("pos") - pre, "se": se})
     w = Window.orderBy("tau").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumns({"t": F.try_divide("diff", F.nullif(F.col("se"), F.lit(0.0))), "car_diff": F.sum("diff").over(w)}).drop("pos", "__ss")
 
 
+def clean_events(cands: DataFrame, pairs: DataFrame, entity: str = "ticker") -> DataFrame:
+    """Pairs whose treated row is in the middle third of the treated by its return before the event."""
+    treated = cands.where("treated")
+    q = exact_percentiles(treated, ["pre_car"], [1 / 3, 2 / 3]).select(F.col("q").alias("__q"))
+    calm = treated.join(F.broadcast(q)).where(F.col("pre_car").between(F.col("__q")[0], F.col("__q")[1]))
+    return pairs.join(calm.select("week", F.col(entity).alias(f"t_{entity}")).distinct(), ["week", f"t_{entity}"], "left_semi")
+
+
+def unmatched_path(cands: DataFrame, pre: int = PRE) -> DataFrame:
+    """tau, means of treated and other rows, their difference and its sum: the path before matching."""
+    long = cands.select("treated", F.posexplode("path").alias("pos", "ar")).groupBy("pos").agg(F.avg(F.when(F.col("treated"), F.col("ar"))).alias("treated_mean"), F.avg(F.when(~F.col("treated"), F.col("ar"))).alias("control_mean"), F.count_if("treated").alias("n_events"))
+    out = long.select((F.col("pos") - pre).alias("tau"), "treated_mean", "control_mean", (F.col("treated_mean") - F.col("control_mean")).alias("diff"), "n_events")
+    return out.withColumn("car_diff", F.sum("diff").over(Window.orderBy("tau").rowsBetween(Window.unboundedPreceding, 0)))  # pre + post + 1 rows
+
+
+def path_verdict(path: DataFrame, critical: float = 1.96) -> DataFrame:
+    """One row: n_pre_significant, n_post_significant, parallel, verdict of a path (tau, t).
+
+    Differences before the event mean that the design identifies nothing; without them,
+    differences after it speak for information beyond price momentum.
+    """
+    loud = F.coalesce(F.abs("t") > critical, F.lit(False))
+    one = path.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("tau") < 0) & ~F.coalesce(F.abs("t") < critical, F.lit(False))).alias("n_pre_significant"), F.count_if((F.col("tau") >= 1) & loud).alias("n_post_significant"))
+    parallel = F.col("n_pre_significant") == 0
+    verdict = F.when(F.col("n") == 0, "no_matched_events").when(~parallel, "not_identified").when(F.col("n_post_significant") > 0, "information").otherwise("momentum_only")
+    return one.select("n_pre_significant", "n_post_significant", parallel.alias("parallel"), verdict.alias("verdict"))
+
+
 # ------------------------------------------------------------------ screens and checks
 def powered_correlation(series: DataFrame, matches: DataFrame, a: str, b: str, entity: str = "ticker", least_matches: int = 30, least_weeks: int = 15, least_corr: float = 0.5) -> DataFrame:
     """Correlation of two series per entity, judged only where both have power."""

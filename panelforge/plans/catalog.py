@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_forecast, q_market, q_panel, q_research, q_text  # noqa: F401  (they register)
+from . import q_forecast, q_market, q_panel, q_reports, q_research, q_text  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 

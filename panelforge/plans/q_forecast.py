@@ -318,30 +318,57 @@ def backtest_candidates(spark, d):
 
 
 _OPT = dict(min_adv=1000.0, cash=1e6, adv_share=0.5)
-_COSTS = backtest.Costs(lot_size=1)
+
+
+def _schedule(spark):
+    """Costs that change inside the sample: a cheaper tariff from mid 1998 on, a dearer tax from 2000 on."""
+    rows = [(dt.date(1990, 1, 1), 0.001425, 0.6, 0.003, 20.0, 20.0, 1), (dt.date(1998, 7, 1), 0.001425, 0.28, 0.003, 10.0, 1.0, 1), (dt.date(2000, 1, 1), 0.001425, 0.28, 0.0045, 10.0, 1.0, 1)]
+    return spark.createDataFrame(rows, "effective_from date, fee_rate double, fee_discount double, tax_rate_sell double, slippage_bps double, min_fee double, lot_size int")
 
 
 @query()
 def rank_backtest(spark, d):
-    return backtest.simulate(_cands(spark, d), _COSTS, **_OPT)
+    return backtest.simulate(_cands(spark, d), _schedule(spark), **_OPT)
+
+
+@query()
+def rank_backtest_totals(spark, d):
+    return backtest.totals(backtest.simulate(_cands(spark, d), _schedule(spark), **_OPT), 1e6)
 
 
 @query()
 def execution_diagnostics(spark, d):
     c = _cands(spark, d)
-    return backtest.diagnostics(backtest.simulate(c, _COSTS, what="orders", **_OPT), backtest.simulate(c, _COSTS, **_OPT), 5)
+    return backtest.diagnostics(backtest.simulate(c, _schedule(spark), what="orders", **_OPT), backtest.simulate(c, _schedule(spark), **_OPT), 5)
 
 
 @query()
 def ridge_walk_forward(spark, d):
+    """Refits at the first Monday of every year that has two years behind it; alpha by inner forward blocks."""
     xy = _xy(spark, d).where("as_of IS NOT NULL")
-    refits = [dt.date(1998, 1, 5), dt.date(2000, 1, 3)]
-    return models.walk_forward(xy, ["mom_4w", "vol_60d", "log_adv20", "abn_att_all"], "y_excess", refits)
+    first, last = xy.agg(F.year(F.min("as_of")), F.year(F.max("as_of"))).first()
+    plans = forecast.year_plans(spark, list(range((first or 0) + 2, (last or 0) + 1)))
+    refits = [r["train_cutoff"] for r in plans.orderBy("train_cutoff").collect()]  # one a year
+    return models.walk_forward(xy, ["mom_4w", "vol_60d", "log_adv20", "abn_att_all"], "y_excess", refits, alpha=None)
 
 
-@query()
+_BH = """spans AS (SELECT week + 1 AS as_of, min(date) AS f, max(date) AS l FROM (SELECT date, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS week FROM bench) GROUP BY week),
+px AS (SELECT as_of, a.px AS px_in, b.px AS px_out FROM spans JOIN bench a ON a.date = f JOIN bench b ON b.date = l), buy AS (SELECT px_in * 1.002 AS price, floor(1e6 / (px_in * 1.002)) AS shares FROM px ORDER BY as_of LIMIT 1),
+hold AS (SELECT as_of, shares, price, px_out, shares * price AS gross, greatest(20.0, shares * price * (0.001425::DOUBLE * 0.6::DOUBLE)) AS fee, row_number() OVER (ORDER BY as_of) = 1 AS at_first FROM px, buy)"""
+
+
+@query(B.sql("bars", "SELECT as_of, round(1e6 - gross - fee + shares * px_out, 4) AS nav, round(1e6 - gross - fee, 4) AS cash, round(CASE WHEN at_first THEN fee ELSE 0 END, 6) AS fees, round(CASE WHEN at_first THEN gross ELSE 0 END, 4) AS turnover FROM hold", _BENCH, _BH))
 def benchmark_buy_hold(spark, d):
+    x = backtest.benchmark_account(_bench_spans(spark, d), _schedule(spark), hold=True)
+    return x.select("as_of", F.round("nav", 4).alias("nav"), F.round("cash", 4).alias("cash"), r6("fees").alias("fees"), F.round("turnover", 4).alias("turnover"))
+
+
+@query()
+def benchmark_weekly_account(spark, d):
+    return backtest.benchmark_account(_bench_spans(spark, d), _schedule(spark))
+
+
+def _bench_spans(spark, d):
     b = market.benchmark_weekly(benchmark(spark, d)).select(T.as_of(F.col("week")).alias("as_of"), "first_date", "last_date")
     px = benchmark(spark, d)
-    spans = b.join(px.select(F.col("date").alias("first_date"), F.col("adj_open").alias("px_in")), "first_date").join(px.select(F.col("date").alias("last_date"), F.col("adj_close").alias("px_out")), "last_date")
-    return backtest.benchmark_account(spans, _COSTS, hold=True)
+    return b.join(px.select(F.col("date").alias("first_date"), F.col("adj_open").alias("px_in")), "first_date").join(px.select(F.col("date").alias("last_date"), F.col("adj_close").alias("px_out")), "last_date")

@@ -14,9 +14,9 @@ r6 = lambda c: F.round(c, 6)
 _VARS = ["att_all", "abn_att_all", "ret", "volume"]
 
 
-@query(B.sql("weekly", "SELECT " + ", ".join(f"round(avg(({c} IS NOT NULL)::INT), 6) AS {c}" for c in _VARS) + " FROM weekly"))
+@query(B.sql("weekly", " UNION ALL ".join(f"SELECT '{c}' AS control, round(avg(({c} IS NOT NULL)::INT), 6) AS share, avg(({c} IS NOT NULL)::INT) >= 0.97 AS available FROM weekly" for c in _VARS)))
 def controls_coverage(spark, d):
-    return B.weekly(spark, d).agg(*[r6(F.avg(F.col(c).isNotNull().cast("double"))).alias(c) for c in _VARS])
+    return R.control_shares(B.weekly(spark, d), _VARS, 0.97).withColumn("share", r6("share"))
 
 
 @query(B.sql("weekly", " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n, round(count({c}) / count(*), 6) AS share, count(DISTINCT CASE WHEN {c} IS NOT NULL THEN ticker END) AS n_entities FROM weekly" for c in _VARS)))
@@ -132,12 +132,9 @@ def ols_by_entity(spark, d):
 @query(B.sql("weekly", """SELECT week, bucket, count(*) AS n, round(avg(ret_next), 6) AS r FROM (SELECT w.*, CASE WHEN v <= q1 THEN 1 WHEN v <= q2 THEN 2 ELSE 3 END AS bucket FROM (SELECT *, volume::DOUBLE AS v FROM weekly WHERE ret_next IS NOT NULL AND volume IS NOT NULL) w
     JOIN (SELECT week, quantile_cont(volume::DOUBLE, 1.0/3) AS q1, quantile_cont(volume::DOUBLE, 2.0/3) AS q2, min(volume) AS q0, max(volume) AS q3 FROM weekly WHERE ret_next IS NOT NULL AND volume IS NOT NULL GROUP BY week) q USING (week) WHERE q0 < q1 AND q1 < q2 AND q2 < q3) GROUP BY week, bucket"""))
 def tercile_by_week(spark, d):
-    """Value terciles: ties stay together; weeks with equal edges are skipped."""
-    x = B.weekly(spark, d).dropna(subset=["ret_next", "volume"]).withColumn("v", F.col("volume").cast("double"))
-    q = x.groupBy("week").agg(F.percentile("v", F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0))).alias("q"))
-    fine = (F.col("q")[0] < F.col("q")[1]) & (F.col("q")[1] < F.col("q")[2]) & (F.col("q")[2] < F.col("q")[3])
-    b = F.when(F.col("v") <= F.col("q")[1], 1).when(F.col("v") <= F.col("q")[2], 2).otherwise(3)
-    return x.join(q.where(fine), "week").groupBy("week", b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ret_next")).alias("r"))
+    """Value terciles: ties stay together; weeks with equal edges have none."""
+    x = R.weekly_terciles(B.weekly(spark, d).dropna(subset=["ret_next", "volume"]), "volume").where("bucket IS NOT NULL")
+    return x.groupBy("week", "bucket").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ret_next")).alias("r"))
 
 
 # ------------------------------------------------------------------ portfolios
@@ -199,10 +196,9 @@ def _windows(spark, d):
     return R.event_windows(x)
 
 
-@query(B.sql("weekly", "SELECT ticker, week, event, round(p0, 6) AS ar_m4, round(p4, 6) AS ar_0, round(p12, 6) AS ar_8 FROM ok", _AR, _WIN))
+@query(B.sql("weekly", "SELECT ticker, week, event, " + ", ".join(f"round(p{i}, 6) AS p{i}" for i in range(13)) + " FROM ok", _AR, _WIN))
 def event_windows(spark, d):
-    p = F.col("path")
-    return _windows(spark, d).select("ticker", "week", "event", r6(p[0]).alias("ar_m4"), r6(p[4]).alias("ar_0"), r6(p[12]).alias("ar_8"))
+    return _windows(spark, d).select("ticker", "week", "event", *[r6(F.col("path")[i]).alias(f"p{i}") for i in range(13)])
 
 
 _TAU = "tau AS (" + " UNION ALL ".join(f"SELECT {i - 4} AS tau, p{i} AS ar FROM ok WHERE event" for i in range(13)) + "), st AS (SELECT tau, count(*) AS n, avg(ar) AS mean, stddev_samp(ar) / sqrt(count(*)) AS se FROM tau GROUP BY tau)"
@@ -214,16 +210,20 @@ def car_path(spark, d):
 
 
 _MV = ("ar_m1", "ar_m2", "pre_car_34", "log_volume")
-_CAND = "cand AS (SELECT ticker, week, sparsity_tier, event AS treated, p3 AS ar_m1, p2 AS ar_m2, p0 + p1 AS pre_car_34, ln(volume) AS log_volume, p4, p12, " + "p0" + ", p8 FROM ok WHERE sparsity_tier IS NOT NULL)"
+_CAND = "cand AS (SELECT ticker, week, sparsity_tier, event AS treated, p3 AS ar_m1, p2 AS ar_m2, p0 + p1 AS pre_car_34, p0 + p1 + p2 + p3 AS pre_car, ln(volume) AS log_volume, " + ", ".join(f"p{i}" for i in range(13)) + " FROM ok WHERE sparsity_tier IS NOT NULL)"
 _ZC = "zc AS (SELECT *, " + ", ".join(f"coalesce(({v} - avg({v}) OVER g) / nullif(stddev_samp({v}) OVER g, 0), 0) AS z{i}" for i, v in enumerate(_MV)) + ", count(*) FILTER (WHERE treated) OVER g AS nt, count(*) FILTER (WHERE NOT treated) OVER g AS nc FROM cand WINDOW g AS (PARTITION BY week, sparsity_tier))"
-_PAIR = """pr AS (SELECT * FROM (SELECT t.week, t.sparsity_tier, t.ticker AS t_ticker, c.ticker AS c_ticker, sqrt(""" + " + ".join(f"(t.z{i} - c.z{i}) * (t.z{i} - c.z{i})" for i in range(4)) + """) AS distance, """ + ", ".join(f"t.{v} AS t_{v}, c.{v} AS c_{v}" for v in _MV) + """, t.p4 AS t4, c.p4 AS c4,
+_PAIR = """pr AS (SELECT * FROM (SELECT t.week, t.sparsity_tier, t.ticker AS t_ticker, c.ticker AS c_ticker, sqrt(""" + " + ".join(f"(t.z{i} - c.z{i}) * (t.z{i} - c.z{i})" for i in range(4)) + """) AS distance, """ + ", ".join(f"t.{v} AS t_{v}, c.{v} AS c_{v}" for v in _MV) + ", " + ", ".join(f"t.p{i} AS t{i}, c.p{i} AS c{i}" for i in range(13)) + """, t.pre_car AS t_pre_car,
     row_number() OVER (PARTITION BY t.week, t.sparsity_tier, t.ticker ORDER BY sqrt(""" + " + ".join(f"(t.z{i} - c.z{i}) * (t.z{i} - c.z{i})" for i in range(4)) + """), c.ticker) AS rank FROM zc t JOIN zc c ON t.week = c.week AND t.sparsity_tier = c.sparsity_tier AND t.treated AND NOT c.treated
     WHERE t.nc >= 2 AND """ + " AND ".join(f"abs(t.{v} - c.{v}) <= 0.5" for v in _MV[:3]) + ") WHERE rank <= 2)"
 
 
-def _pairs(spark, d):
+def _candidates(spark, d):
     w = _windows(spark, d).where("sparsity_tier IS NOT NULL").withColumn("log_volume", F.ln("volume"))
-    return R.match_pairs(R.candidates(w, "event"), k=2, caliper=0.5, variables=_MV)
+    return R.candidates(w, "event")
+
+
+def _pairs(spark, d):
+    return R.match_pairs(_candidates(spark, d), k=2, caliper=0.5, variables=_MV)
 
 
 @query(B.sql("weekly", "SELECT week, sparsity_tier, t_ticker, c_ticker, rank, round(distance, 6) AS distance FROM pr", _AR, _WIN, _CAND, _ZC, _PAIR))
@@ -237,10 +237,43 @@ def balance_table(spark, d):
     return x.select("variable", r6("mean_t").alias("mean_t"), r6("mean_c").alias("mean_c"), r6("smd").alias("smd"), "balanced")
 
 
-@query(B.sql("weekly", """SELECT n_events, n_weeks, round(m, 6) AS diff, round(sqrt(n_weeks / (n_weeks - 1.0) * ss) / n_events, 6) AS se FROM (SELECT any_value(m) AS m, any_value(n) AS n_events, count(*) AS n_weeks, sum((s - k * m) * (s - k * m)) AS ss FROM (SELECT week, sum(dd) AS s, count(*) AS k FROM pe GROUP BY week), (SELECT avg(dd) AS m, count(*) AS n FROM pe))""", _AR, _WIN, _CAND, _ZC, _PAIR, "pe AS (SELECT week, t_ticker, avg(t4) - avg(c4) AS dd FROM pr GROUP BY week, t_ticker)"))
+def _did(pairs: str, name: str = "dp") -> list[str]:
+    per = " UNION ALL ".join(f"SELECT {i - 4} AS tau, week, t_ticker, avg(t{i}) - avg(c{i}) AS dd FROM {pairs} GROUP BY week, t_ticker" for i in range(13))
+    return [f"{name}_e AS ({per})", f"{name}_m AS (SELECT tau, avg(dd) AS m, count(*) AS n FROM {name}_e GROUP BY tau)", f"{name}_c AS (SELECT tau, week, sum(dd) AS s, count(*) AS k FROM {name}_e GROUP BY tau, week)",
+        f"{name}_s AS (SELECT tau, any_value(m) AS diff, any_value(n) AS n_events, count(*) AS n_weeks, sum((s - k * m) * (s - k * m)) AS ss FROM {name}_c JOIN {name}_m USING (tau) GROUP BY tau)",
+        f"{name} AS (SELECT *, CASE WHEN n_weeks > 1 THEN sqrt(n_weeks / (n_weeks - 1.0) * ss) / n_events END AS se FROM {name}_s)"]
+
+
+_PATH = "SELECT tau, n_events, n_weeks, round(diff, 6) AS diff, round(se, 6) AS se, round(diff / nullif(se, 0), 4) AS t, round(sum(diff) OVER (ORDER BY tau), 6) AS car_diff FROM dp"
+
+
+def _path(x):
+    return x.select("tau", "n_events", "n_weeks", r6("diff").alias("diff"), r6("se").alias("se"), F.round("t", 4).alias("t"), r6("car_diff").alias("car_diff"))
+
+
+@query(B.sql("weekly", _PATH, _AR, _WIN, _CAND, _ZC, _PAIR, *_did("pr")))
 def did_path_clustered(spark, d):
-    x = R.did_path(_pairs(spark, d)).where("tau = 0")
-    return x.select("n_events", "n_weeks", r6("diff").alias("diff"), r6("se").alias("se"))
+    return _path(R.did_path(_pairs(spark, d)))
+
+
+_CLEAN = "cl AS (SELECT * FROM pr, (SELECT quantile_cont(pre_car, 1.0::DOUBLE / 3) AS lo, quantile_cont(pre_car, 2.0::DOUBLE / 3) AS hi FROM cand WHERE treated) WHERE t_pre_car BETWEEN lo AND hi)"
+
+
+@query(B.sql("weekly", _PATH, _AR, _WIN, _CAND, _ZC, _PAIR, _CLEAN, *_did("cl")))
+def did_path_clean_subset(spark, d):
+    return _path(R.did_path(R.clean_events(_candidates(spark, d), _pairs(spark, d))))
+
+
+@query(B.sql("weekly", "SELECT tau, n_events, round(a, 6) AS treated_mean, round(b, 6) AS control_mean, round(a - b, 6) AS diff, round(sum(a - b) OVER (ORDER BY tau), 6) AS car_diff FROM (" + " UNION ALL ".join(f"SELECT {i - 4} AS tau, avg(p{i}) FILTER (WHERE treated) AS a, avg(p{i}) FILTER (WHERE NOT treated) AS b, count(*) FILTER (WHERE treated) AS n_events FROM cand" for i in range(13)) + ")", _AR, _WIN, _CAND))
+def unmatched_path(spark, d):
+    x = R.unmatched_path(_candidates(spark, d))
+    return x.select("tau", "n_events", *[r6(c).alias(c) for c in ("treated_mean", "control_mean", "diff", "car_diff")])
+
+
+@query(B.sql("weekly", """SELECT pre AS n_pre_significant, post AS n_post_significant, pre = 0 AS parallel, CASE WHEN n = 0 THEN 'no_matched_events' WHEN pre > 0 THEN 'not_identified' WHEN post > 0 THEN 'information' ELSE 'momentum_only' END AS verdict
+    FROM (SELECT count(*) AS n, count(*) FILTER (WHERE tau < 0 AND NOT coalesce(abs(diff / nullif(se, 0)) < 1.96, false)) AS pre, count(*) FILTER (WHERE tau >= 1 AND coalesce(abs(diff / nullif(se, 0)) > 1.96, false)) AS post FROM dp)""", _AR, _WIN, _CAND, _ZC, _PAIR, *_did("pr")))
+def matched_event_verdict(spark, d):
+    return R.path_verdict(R.did_path(_pairs(spark, d)))
 
 
 @query(B.sql("weekly", """SELECT bool_or(block = 'A' AND beta < 0 AND t < -1.96) AS any_negative, bool_or(block = 'B' AND h = 1 AND abs(t) > 1.96) AS effect, bool_or(block = 'B' AND h > 1 AND t < -1.96) AS reversal,
@@ -252,33 +285,13 @@ def joint_reading_verdict(spark, d):
     return R.joint_reading(one("A", 0, "ret").unionByName(one("B", 1, "ret_next")).unionByName(one("B", 2, "ret_lag1")))
 
 
-@query(B.sql("weekly", """SELECT count(*) AS n, round(corr(ln(1 + att_all), abs(ret)), 6) AS same_week, round(corr(ln(1 + att_all), abs(ret_next)), 6) AS next_week, count(*) FILTER (WHERE ret_next IS NOT NULL) AS n_next, count(*) - count(DISTINCT ticker * 100000 + datediff('day', DATE '1990-01-01', week)) AS n_duplicate_keys FROM weekly"""))
-def lead_lag_checks(spark, d):
-    x = B.weekly(spark, d)
-    return x.agg(F.count(F.lit(1)).alias("n"), r6(W.safe_corr(F.log1p("att_all"), F.abs("ret"))).alias("same_week"), r6(W.safe_corr(F.log1p("att_all"), F.abs("ret_next"))).alias("next_week"), F.count("ret_next").alias("n_next"), (F.count(F.lit(1)) - F.countDistinct("ticker", "week")).alias("n_duplicate_keys"))
-
-
-@query(B.sql("weekly", """SELECT 'unique_keys' AS requirement, (count(*) - count(DISTINCT (ticker, week)))::DOUBLE AS observed, count(*) = count(DISTINCT (ticker, week)) AS passed FROM weekly
-    UNION ALL SELECT 'returns_bounded', round(max(abs(ret)), 6), max(abs(ret)) < 100 FROM weekly UNION ALL SELECT 'tiers_known', round(avg((sparsity_tier IS NOT NULL)::INT), 6), avg((sparsity_tier IS NOT NULL)::INT) > 0.9 FROM weekly
-    UNION ALL SELECT 'weeks_are_sundays', count(*) FILTER (WHERE isodow(week) <> 7)::DOUBLE, count(*) FILTER (WHERE isodow(week) <> 7) = 0 FROM weekly"""))
-def health_checks(spark, d):
-    x = B.weekly(spark, d)
-    row = x.agg(
-        (F.count(F.lit(1)) - F.countDistinct("ticker", "week")).cast("double").alias("dup"), F.max(F.abs("ret")).alias("big"),
-        F.avg(F.col("sparsity_tier").isNotNull().cast("double")).alias("tiers"), F.count_if(F.weekday("week") != 6).cast("double").alias("days"),
-    )
-    one = lambda n, v, ok: F.struct(F.lit(n).alias("requirement"), r6(v).alias("observed"), ok.alias("passed"))
-    c = F.col
-    return row.select(F.inline(F.array(one("unique_keys", c("dup"), c("dup") == 0), one("returns_bounded", c("big"), c("big") < 100), one("tiers_known", c("tiers"), c("tiers") > 0.9), one("weeks_are_sundays", c("days"), c("days") == 0))))
-
-
 # ------------------------------------------------------------------ estimators without a short SQL form
 @query()
 def two_way_fe_models(spark, d):
     """Fixed-effects regressions of next returns on attention, by tier."""
     x = B.weekly(spark, d).select("ticker", "week", "ret_next", "ret", "sparsity_tier", F.col("att_all").cast("double").alias("att_all"))
     z = R.standardise(x, ["att_all", "ret"], ["sparsity_tier"])
-    return E.fits_table(spark, [E.fit_two_way(z.where(F.col("sparsity_tier") == t), "ret_next", ["z_att_all", "z_ret"], t, rounds=8, gates=(100, 5, 20)) for t in ("dense", "sparse")])
+    return E.fits_table(spark, [E.fit_two_way(z.where(F.col("sparsity_tier") == t), "ret_next", ["z_att_all", "z_ret"], t, rounds=8, gates=(100, 5, 20)) for t in ("dense", "sparse", "silent")])
 
 
 @query()
@@ -317,5 +330,8 @@ def model_battery(spark, d):
     from ..operators import specs
 
     x = P.lead_lag(B.weekly(spark, d), horizons=(2, 3)).withColumn("abn_attention_weekend", F.col("abn_att_all")).cache()
-    fits = specs.run(x, [*specs.reversal(horizons=(2, 3)), *specs.main()], controls=("ret_lag1",), gates=(100, 5, 20), rounds=6)
+    try:
+        fits = specs.run(x, [*specs.reversal(horizons=(2, 3)), *specs.main()], controls=("ret_lag1",), gates=(100, 5, 20), rounds=6)
+    finally:
+        x.unpersist()
     return specs.summary(spark, fits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "panelforge", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +19,17 @@ def session(app: str = "panelforge", master: str | None = None, **conf: str) ->
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in ``spark.checkpoint.dir``; unchanged where the session names no such folder.
+
+    A long chain of steps is planned and, after a lost executor, repeated from there only.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(where)
+    return df.checkpoint()
