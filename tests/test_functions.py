@@ -68,8 +68,8 @@ def test_contiguous_lead(spark):
 
 def test_fills_products_and_momentum(spark):
     assert series(spark, [None, None, 1000.0, None], W.ffill) == [None, None, 1000.0, 1000.0]
-    assert series(spark, [None, 2.0, None], W.bfill) == [2.0, 2.0, None]
-    assert series(spark, [0.9, 2.0], W.suffix_product) == pytest.approx([1.8, 2.0])
+    assert series(spark, [None, 2.0, None], lambda x, w: W.bfill(x, "e", "week")) == [2.0, 2.0, None]
+    assert series(spark, [0.9, 2.0], lambda x, w: W.suffix_product(x, "e", "week")) == pytest.approx([1.8, 2.0])
     got = series(spark, [0.1, 0.2, None, 0.3], lambda x, w: W.momentum(x, 4, w))
     assert got[:2] == [None, None] and got[2] == pytest.approx(0.32) and got[3] == pytest.approx(0.32)
 
