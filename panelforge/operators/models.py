@@ -6,10 +6,11 @@ import datetime as dt
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
+from ..session import cut_lineage
 from . import evaluate, forecast
 from .estimators import gram, logit
 
@@ -59,25 +60,30 @@ class Ridge:
     weights: dict[str, float]
     alpha: float
 
+    def value(self) -> Column:
+        """The prediction, over the columns that ``prepared.apply`` makes."""
+        return sum((F.lit(w) * F.col(c) for c, w in self.weights.items()), F.lit(self.intercept))
+
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         z = self.prepared.apply(df)
-        value = sum((F.lit(w) * F.col(c) for c, w in self.weights.items()), F.lit(self.intercept))
         made = [*(f"miss_{c}" for c in self.prepared.indicators), *self.prepared.columns]
         originals = [F.col(c) for c in df.columns if c not in self.prepared.features]
-        return z.withColumn(out, value).select(*originals, out).drop(*made)
+        return z.withColumn(out, self.value()).select(*originals, out).drop(*made)
 
 
-def ridge(train: DataFrame, features: list[str], y: str, alpha: float) -> Ridge:
-    """Closed form from one Gram aggregate; the intercept is not penalised."""
+def ridges(train: DataFrame, features: list[str], y: str, alphas) -> list[Ridge]:
+    """Closed forms for several penalties from one Gram aggregate; the intercept is not penalised."""
     d = train.where(F.col(y).isNotNull())
     p = prepare(d, features)
-    z = p.apply(d)
-    mean = d.agg(F.avg(y)).first()[0] or 0.0
+    mean = float(d.agg(F.avg(y)).first()[0] or 0.0)
     if not p.columns:
-        return Ridge(p, mean, {}, alpha)
-    g, b, *_ = gram(z.withColumn("__y", F.col(y) - mean), p.columns, "__y")
-    w = np.linalg.solve(g + alpha * np.eye(len(b)), b)
-    return Ridge(p, float(mean), dict(zip(p.columns, map(float, w))), alpha)
+        return [Ridge(p, mean, {}, a) for a in alphas]
+    g, b, *_ = gram(p.apply(d).withColumn("__y", F.col(y) - mean), p.columns, "__y")
+    return [Ridge(p, mean, dict(zip(p.columns, map(float, np.linalg.solve(g + a * np.eye(len(b)), b)))), a) for a in alphas]
+
+
+def ridge(train: DataFrame, features: list[str], y: str, alpha: float) -> Ridge:
+    return ridges(train, features, y, [alpha])[0]
 
 
 def constant(train: DataFrame, y: str) -> float:
@@ -122,17 +128,18 @@ def select_alpha(xy: DataFrame, features: list[str], y: str, alphas=(0.1, 1.0, 1
     """Alpha of the best mean rank IC over inner forward blocks; ties take the larger."""
     weeks = [r[0] for r in xy.select("as_of").distinct().collect()]  # dates of a weekly panel
     blocks = forecast.inner_blocks(weeks, n_blocks, size, least_weeks)
-    scores = {a: [] for a in alphas}
+    scores: dict[float, list[float]] = {a: [] for a in alphas}
     for before, first, last in blocks:
         train = forecast.mature(xy, before, y)
-        test = xy.where(F.col("as_of").between(F.lit(first), F.lit(last)))
         if train.count() < 100:
             continue
-        for a in alphas:
-            ic = evaluate.weekly_rank_ic(ridge(train, features, y, a).predict(test), "pred", y, least)
-            got = ic.agg(F.avg("ic"), F.count("ic")).first()
-            if got[1] >= 5:
-                scores[a].append(got[0])
+        fitted = ridges(train, features, y, alphas)
+        test = fitted[0].prepared.apply(xy.where(F.col("as_of").between(F.lit(first), F.lit(last))))
+        # One pass for all penalties: a row per penalty, ranked within its week.
+        rows = test.select("as_of", y, F.explode(F.array(*[F.struct(F.lit(float(m.alpha)).alias("alpha"), m.value().alias("pred")) for m in fitted])).alias("m")).select("as_of", y, "m.*")
+        ic = evaluate.weekly_rank_ic(rows, "pred", y, least, ("alpha", "as_of")).groupBy("alpha").agg(F.avg("ic").alias("ic"), F.count("ic").alias("n"))
+        for r in ic.where("n >= 5").collect():  # a row a penalty
+            scores[next(a for a in alphas if float(a) == r["alpha"])].append(r["ic"])
     means = {a: sum(s) / len(s) for a, s in scores.items() if s}
     return max(means, key=lambda a: (means[a], a)) if means else max(alphas)
 
@@ -204,27 +211,26 @@ def calibrated(xy: DataFrame, features: list[str], y: str, c: float, **blocks) -
 def walk_forward(xy: DataFrame, features: list[str], y: str, refits: list, alpha: float | None = 10.0, horizon_end=None, sets: dict[str, list[str]] | None = None) -> DataFrame:
     """Predictions between consecutive refit dates from models trained on mature rows only.
 
-    ``alpha`` None: chosen at each refit by ``select_alpha`` on the mature rows.  Models are
-    fitted here, so the input is held for that long; the predictions are plain columns.
+    ``alpha`` None: chosen at each refit by ``select_alpha`` on the mature rows.  The input is
+    read many times and checkpointed for that; without a checkpoint folder it is persisted.
     """
-    xy, out = xy.persist(), None
-    try:
-        for i, start in enumerate(refits):
-            stop = refits[i + 1] if i + 1 < len(refits) else horizon_end
-            train = forecast.mature(xy, start, y)
-            if train.isEmpty():
-                continue
-            rows = xy.where(F.col("as_of") >= F.lit(start))
-            rows = rows.where(F.col("as_of") < F.lit(stop)) if stop is not None else rows
-            for name, cols in (sets or {"A": features}).items():
-                a = select_alpha(train, cols, y) if alpha is None else alpha
-                pred = ridge(train, cols, y, a).predict(rows.select("*")).withColumns({"feature_set": F.lit(name), "refit_at": F.lit(start), "alpha": F.lit(float(a))})
-                pred = pred.select("ticker", "as_of", y, "pred", "feature_set", "refit_at", "alpha")
-                out = pred if out is None else out.unionByName(pred)
-        if out is None:
-            out = xy.where("false").select("ticker", "as_of", y, *[F.lit(None).cast(t).alias(c) for c, t in (("pred", "double"), ("feature_set", "string"), ("refit_at", "date"), ("alpha", "double"))])
-    finally:
-        xy.unpersist()
+    held, out = cut_lineage(xy), None
+    if held is xy:
+        held = xy.persist()
+    for i, start in enumerate(refits):
+        stop = refits[i + 1] if i + 1 < len(refits) else horizon_end
+        train = forecast.mature(held, start, y)
+        if train.isEmpty():
+            continue
+        rows = held.where(F.col("as_of") >= F.lit(start))
+        rows = rows.where(F.col("as_of") < F.lit(stop)) if stop is not None else rows
+        for name, cols in (sets or {"A": features}).items():
+            a = select_alpha(train, cols, y) if alpha is None else alpha
+            pred = ridge(train, cols, y, a).predict(rows.select("*")).withColumns({"feature_set": F.lit(name), "refit_at": F.lit(start), "alpha": F.lit(float(a))})
+            pred = pred.select("ticker", "as_of", y, "pred", "feature_set", "refit_at", "alpha")
+            out = pred if out is None else out.unionByName(pred)
+    if out is None:
+        out = held.where("false").select("ticker", "as_of", y, *[F.lit(None).cast(t).alias(c) for c, t in (("pred", "double"), ("feature_set", "string"), ("refit_at", "date"), ("alpha", "double"))])
     return out
 
 

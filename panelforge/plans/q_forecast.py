@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import timeops as T
 from ..functions import windows as W
 from ..operators import backtest, evaluate, forecast, ledger, market, models
+from ..session import cut_lineage
 from . import base as B
 from .q_market import benchmark
 from .registry import query
@@ -345,11 +346,13 @@ def execution_diagnostics(spark, d):
 @query()
 def ridge_walk_forward(spark, d):
     """Refits at the first Monday of every year that has two years behind it; alpha by inner forward blocks."""
-    xy = _xy(spark, d).where("as_of IS NOT NULL")
+    cols = ["mom_4w", "vol_60d", "log_adv20", "abn_att_all"]
+    xy = _xy(spark, d).where("as_of IS NOT NULL").select("ticker", "as_of", "label_end_at", "label_available_at", "label_status", "y_excess", *cols)
+    xy = cut_lineage(xy)
     first, last = xy.agg(F.year(F.min("as_of")), F.year(F.max("as_of"))).first()
     plans = forecast.year_plans(spark, list(range((first or 0) + 2, (last or 0) + 1)))
     refits = [r["train_cutoff"] for r in plans.orderBy("train_cutoff").collect()]  # one a year
-    return models.walk_forward(xy, ["mom_4w", "vol_60d", "log_adv20", "abn_att_all"], "y_excess", refits, alpha=None)
+    return models.walk_forward(xy, cols, "y_excess", refits, alpha=None)
 
 
 _BH = """spans AS (SELECT week + 1 AS as_of, min(date) AS f, max(date) AS l FROM (SELECT date, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS week FROM bench) GROUP BY week),
