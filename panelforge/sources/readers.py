@@ -41,31 +41,52 @@ def prices(spark: SparkSession, path: str) -> DataFrame:
 def institutions(spark: SparkSession, path: str) -> DataFrame:
     """Long buy/sell rows by investor -> inst_buy, inst_sell per entity and day."""
     rows = _json(spark, path, INSTITUTION).select(F.explode("data").alias("d"))
+    if rows.isEmpty():
+        raise ValueError(f"no institution rows under {path}")
     return rows.groupBy(F.col("d.stock_id").alias("ticker"), F.to_date("d.date").alias("date")).agg(F.coalesce(F.sum("d.buy"), F.lit(0)).alias("inst_buy"), F.coalesce(F.sum("d.sell"), F.lit(0)).alias("inst_sell"))
 
 
-def positional(spark: SparkSession, path: str, code_field: str, wanted: dict[str, str]) -> DataFrame:
+def positional(spark: SparkSession, path: str, code_field: str, wanted: dict[str, str], tickers: DataFrame | None = None) -> DataFrame:
     """Tables whose columns are found by field name, whatever the layout's width.
 
-    ``wanted``: output name -> field name; four-digit codes only; the date is the
-    eight-digit part of the file name.
+    ``wanted``: output name -> field name; four-digit codes only, of ``tickers`` if given; the
+    date is the eight-digit part of the file name.
     """
     raw = _json(spark, path, POSITIONAL).withColumn("date", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1), "yyyyMMdd"))
     rows = raw.select("date", F.size("fields").alias("n_fields"), F.explode("data").alias("row"), "fields")
     m = F.map_from_arrays(F.transform("fields", lambda f: F.trim(f)), F.col("row"))
     cells = rows.withColumn("m", m).withColumn("ticker", F.trim(F.element_at("m", code_field)))
-    return cells.where(F.col("ticker").rlike(r"^\d{4}$")).select("date", "ticker", "n_fields", *[X.shares(F.try_element_at("m", F.lit(f))).alias(n) for n, f in wanted.items()])
+    cells = cells.where(F.col("ticker").rlike(r"^\d{4}$"))
+    cells = cells if tickers is None else cells.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
+    return cells.select("date", "ticker", "n_fields", *[X.shares(F.try_element_at("m", F.lit(f))).alias(n) for n, f in wanted.items()])
+
+
+def layouts(rows: DataFrame) -> DataFrame:
+    """How many days and rows came in each width, and from when to when."""
+    return rows.groupBy("n_fields").agg(F.countDistinct("date").alias("n_days"), F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 def vendor_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Third-party daily CSV (header, maybe a BOM); the first row of a date stays."""
-    raw = spark.read.csv(path, header=True)
-    raw = raw.toDF(*[c.lstrip("﻿").strip().lower().replace(" ", "_") for c in raw.columns])
-    rows = raw.withColumns({"date": F.to_date("date"), "__at": F.monotonically_increasing_id()})
-    w = Window.partitionBy("date").orderBy("__at")
+    """Third-party daily CSVs, one or a folder (header, maybe a BOM): the first row of a file's date stays.
+
+    ``ticker`` is the file's name without its ending.
+    """
+    raw = spark.read.csv(path, header=True, enforceSchema=False)
+    named = raw.toDF(*[c.lstrip("﻿").strip().lower().replace(" ", "_") for c in raw.columns])
+    rows = named.withColumns({"ticker": F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1), "date": F.to_date("date"), "__at": F.monotonically_increasing_id()})
+    w = Window.partitionBy("ticker", "date").orderBy("__at")
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__at")
 
 
+def vendor_prices(spark: SparkSession, path: str, events: DataFrame | None = None) -> DataFrame:
+    """Vendor CSVs as numbers (what is no number is missing), adjusted by ``events`` if given."""
+    from ..operators import market
+
+    raw = vendor_csv(spark, path)
+    out = raw.select("ticker", "date", *[F.col(c).try_cast("double").alias(c) for c in raw.columns if c not in ("ticker", "date")])
+    return out if events is None else market.adjust(out, market.factors(events))
+
+
 def month_revenue(spark: SparkSession, path: str) -> DataFrame:
     d = _json(spark, path, REVENUE).select(F.explode("data").alias("d"))
     month = F.make_date("d.revenue_year", "d.revenue_month", F.lit(1))
@@ -111,3 +132,9 @@ def batch_digest(files: DataFrame, batch: Column) -> DataFrame:
     """Per batch: SHA-256 over the raw digests in path order."""
     d = files.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"), F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("d"))
     return d.select("batch", "n_files", "bytes", F.sha2(F.unhex(F.array_join(F.col("d.sha256"), "")), 256).alias("sha256"))
+
+
+def archive_digest(batches: DataFrame) -> DataFrame:
+    """One row over all batches: SHA-256 over their raw digests in order of their names."""
+    d = batches.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("n_files").alias("n_files"), F.sum("bytes").alias("bytes"), F.array_sort(F.collect_list(F.struct("batch", "sha256"))).alias("d"))  # a row a batch
+    return d.select("n_batches", "n_files", "bytes", F.sha2(F.unhex(F.array_join(F.col("d.sha256"), "")), 256).alias("sha256"))

@@ -47,11 +47,19 @@ def test_positional_layouts(spark, tmp_path):
     put(tmp_path / "T_20180105.json", {"fields": ["code", "extra", "name", "buy"], "data": [["2330", "z", "n", ""]]})
     out = sorted((r.date, r.ticker, r.n_fields, r.bought) for r in readers.positional(spark, str(tmp_path), "code", {"bought": "buy"}).collect())
     assert out == [(D("2015-01-05"), "2330", 3, 1234.0), (D("2018-01-05"), "2330", 4, 0.0)]
+    rows = readers.positional(spark, str(tmp_path), "code", {"bought": "buy"}, spark.createDataFrame([("2330",), ("2330",)], "ticker string"))
+    assert sorted(tuple(r) for r in readers.layouts(rows).collect()) == [(3, 1, 1, D("2015-01-05"), D("2015-01-05")), (4, 1, 1, D("2018-01-05"), D("2018-01-05"))]
+    assert readers.positional(spark, str(tmp_path), "code", {"bought": "buy"}, spark.createDataFrame([("1101",)], "ticker string")).count() == 0
 
 
 def test_vendor_csv_revenue_events(spark, tmp_path):
     put(tmp_path / "v.csv", "﻿Date,Adj Close\n2024-05-06,1\n2024-05-06,2\n2024-05-07,3\n")
     assert [(r.date, r.adj_close) for r in readers.vendor_csv(spark, str(tmp_path / "v.csv")).orderBy("date").collect()] == [(D("2024-05-06"), "1"), (D("2024-05-07"), "3")]
+    put(tmp_path / "w/0050.csv", "Date,Open,Close\n2024-05-06,10,9\n2024-05-07,x,20\n")
+    put(tmp_path / "w/1101.csv", "Date,Open,Close\n2024-05-06,1,2\n")
+    ev = spark.createDataFrame([("0050", D("2024-05-07"), "reduction", 10.0, 20.0)], "ticker string, date date, kind string, before_price double, after_price double")
+    got = sorted((r.ticker, r.date.day, r.open, r.adj_close) for r in readers.vendor_prices(spark, str(tmp_path / "w"), ev).collect())
+    assert got == [("0050", 6, 10.0, 18.0), ("0050", 7, None, 20.0), ("1101", 6, 1.0, 2.0)]
     put(tmp_path / "r/1.json", {"data": [{"date": "2024-05-10", "stock_id": "1", "revenue": 5.0, "revenue_month": 4, "revenue_year": 2024}]})
     r = readers.month_revenue(spark, str(tmp_path / "r")).first()
     assert (r.month, r.announce_date, r.revenue_yoy) == (D("2024-04-01"), D("2024-05-10"), None)
