@@ -151,11 +151,13 @@ def folds(xy: DataFrame, years: list[int], horizon: str = "1w", tiers: list[str]
     plans = F.broadcast(year_plans(xy.sparkSession, years))  # one row a year
     c = F.col("train_cutoff")
     known = (F.col("label_end_at") < c) & (F.col("label_available_at") < c) & (F.col("label_status") == "ok") & F.col(y).isNotNull() & (F.col("as_of") < c)
-    out = lambda df, split, reason: df.select(F.concat(F.lit("outer_"), F.col("outer_year")).alias("fold_id"), "as_of", entity, F.lit(horizon).alias("horizon"), F.lit(split).alias("split"), reason.alias("exclude_reason"), "outer_year")
-    train = out(rows.join(plans, known), "train", F.lit(""))
     why = F.when(F.coalesce(F.col("label_status"), F.lit("")) != "ok", F.coalesce("label_status", F.lit("label_not_ok"))).when(F.col(y).isNull(), "label_immature_or_missing").otherwise("")
-    test = out(rows.join(plans, F.year("as_of") == F.col("outer_year")), "test", why)
-    return train.unionByName(test)
+    # One pass over the rows: each meets the plans it trains or tests, and says which.
+    known, tested = F.coalesce(known, F.lit(False)), F.coalesce(F.year("as_of") == F.col("outer_year"), F.lit(False))
+    role = lambda split, reason: F.struct(F.lit(split).alias("split"), reason.alias("exclude_reason"))
+    met = rows.join(plans, known | tested)
+    roles = F.explode(F.array_compact(F.array(F.when(known, role("train", F.lit(""))), F.when(tested, role("test", why))))).alias("role")
+    return met.select(F.concat(F.lit("outer_"), F.col("outer_year")).alias("fold_id"), "as_of", entity, F.lit(horizon).alias("horizon"), roles, "outer_year").select("fold_id", "as_of", entity, "horizon", "role.split", "role.exclude_reason", "outer_year")
 
 
 def inner_blocks(weeks: list[dt.date], n_blocks: int = 3, size: int = 26, least: int = 104) -> list[tuple[dt.date, dt.date, dt.date]]:
