@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from . import secrets
 from .ann import neighbours
 from .common import table
@@ -12,10 +13,13 @@ from .dedup_exact import exact_dedup
 from .langid import identify
 from .mixing import mix
 from .packing import pack
+from .periodic import periodic_runs
 from .pii import pseudonymise
+from .quality import judge
 from .sharding import feistel_shards
 from .simhash import near_components
 from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, judge_urls
+from .vector_codes import compress, digest, hex_code
 
 
 def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +79,42 @@ def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight")
 
 
+def op11_vantage_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = compress(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), hex_code().alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def with_planted_run(id_col: str = "doc_id", text: str = "text") -> Column:
+    """The text; in one document of ten a run of words is written over its end, as a place and a period drawn from its identifier say."""
+    h = F.crc32(F.col(id_col).cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def over(ws: Column) -> Column:
+        n = F.size(ws)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, a + (i - a) % p))), " ")
+
+    planted = once(words, lambda ws: F.when(F.size(ws) > 0, over(ws)).otherwise(F.lit("")))
+    return F.when(h % 10 == 0, planted).otherwise(F.col(text))
+
+
+def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(table(spark, sf_dir, "documents"), with_planted_run())
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise(F.lit(""))
+    return out.select(
+        "row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def _url_sql() -> str:
     low = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     hit = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
@@ -119,7 +159,7 @@ SELECT doc_id, source, unnest(range(1, copies + 1))::BIGINT AS copy, copies, rou
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_bktree, op2_multi_index_hashing, op3_zstd_language, op4_poisson_mixture, op5_feistel_pseudonyms, op6_lp_packing, op7_randomness_battery, op8_exact_dedup, op9_feistel_shards, op10_url_vocabulary)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_multi_index_hashing, op3_zstd_language, op4_poisson_mixture, op5_feistel_pseudonyms, op6_lp_packing, op7_randomness_battery, op8_exact_dedup, op9_feistel_shards, op10_url_vocabulary, op11_vantage_codes, op12_harmonic_runs, op13_ngram_ratio)}
 
 
 def oracle_sql() -> dict[str, str]:
