@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ACCURACY = 10_000
 
 
@@ -19,6 +21,7 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> Dat
 
     Nulls do not count; a column without a value has n 0 and null percentiles.
     """
+    df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(cols)]))  # read five times
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")).select("r.*").where("x IS NOT NULL")
     low = F.percentile_approx("x", [max(0.0, p - 2 / ACCURACY) for p in probs], ACCURACY)
     high = F.percentile_approx("x", [min(1.0, p + 2 / ACCURACY) for p in probs], ACCURACY)

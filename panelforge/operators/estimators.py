@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-MIN_OBS, MIN_ENTITIES, MIN_PERIODS = 500, 20, 20
+from .absorb import MIN_ENTITIES, MIN_OBS, MIN_PERIODS, Fit, fit_many, long_rows
 
 
 def gram(df: DataFrame, xs: list[str], y: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -27,85 +24,10 @@ def gram(df: DataFrame, xs: list[str], y: str, weight: Column | None = None) ->
     return g, np.array([row[f"b{i}"] or 0.0 for i in range(len(xs))]), row["yy"] or 0.0, row["n"]
 
 
-#: Rounds of demeaning between two cuts of the plan, and the share of a column's deviation that may be left.
-ROUNDS_PER_CUT, LEFT = 4, 1e-9
-
-
-def two_way_demean(df: DataFrame, cols: list[str], entity: str = "ticker", time: str = "week", rounds: int = 1) -> DataFrame:
-    """Alternating projections on entity and time means; one round is exact when balanced.
-
-    A round is two shuffles; unbalanced panels need several (the error shrinks
-    geometrically).  Every ``ROUNDS_PER_CUT`` rounds the plan is cut, and the rounds end as
-    soon as no entity mean is left.
-    """
-    for done in range(1, rounds + 1):
-        for key in (entity, time):
-            g = Window.partitionBy(key)
-            df = df.withColumns({c: F.col(c) - F.avg(c).over(g) for c in cols})
-        if done % ROUNDS_PER_CUT == 0 and done < rounds:
-            df = cut_lineage(df)
-            per = df.groupBy(entity).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.sum(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)], F.count(F.lit(1)).alias("n"))
-            row = per.agg(*[F.max(F.abs(f"m{i}")).alias(f"m{i}") for i in range(len(cols))], *[F.sqrt(F.sum(f"s{i}") / F.sum("n")).alias(f"s{i}") for i in range(len(cols))]).first()
-            if all((row[f"m{i}"] or 0.0) <= LEFT * (row[f"s{i}"] or 0.0) for i in range(len(cols))):
-                break
-    return df
-
-
-def _meat(df: DataFrame, scores: list[str], cluster: list[str]) -> np.ndarray:
-    """Sum over clusters of the outer product of their score sums."""
-    sums = df.groupBy(*cluster).agg(*[F.sum(s).alias(s) for s in scores])
-    k = len(scores)
-    row = sums.agg(*[F.sum(F.col(scores[i]) * F.col(scores[j])).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-    return np.array([[row[f"m{i}_{j}"] for j in range(k)] for i in range(k)], float)
-
-
-@dataclass
-class Fit:
-    name: str
-    status: str
-    n_obs: int = 0
-    n_entities: int = 0
-    n_periods: int = 0
-    params: dict[str, float] = field(default_factory=dict)
-    stderr: dict[str, float] = field(default_factory=dict)
-    r2_within: float | None = None
-    note: str = ""
-
-    def t(self, x: str) -> float:
-        return self.params[x] / self.stderr[x]
-
-
-def fit_two_way(df: DataFrame, y: str, xs: list[str], name: str = "", entity: str = "ticker", time: str = "week", cluster_time: bool = True, rounds: int = 30, gates=(MIN_OBS, MIN_ENTITIES, MIN_PERIODS)) -> Fit:
-    """Entity and time fixed effects, errors clustered by entity (and time).
-
-    Two-way covariance: entity + time - intersection; scaled by n / (n - k).
-    """
-    d = df.select(entity, time, y, *dict.fromkeys(xs)).dropna()
-    row = d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(entity).alias("e"), F.countDistinct(time).alias("t"), *[F.stddev_samp(x).alias(f"sd_{i}") for i, x in enumerate(xs)]).first()
-    if row["n"] < gates[0] or row["e"] < gates[1] or row["t"] < gates[2]:
-        return Fit(name, "SKIPPED", row["n"], row["e"], row["t"], note="too few observations, entities or periods")
-    xs = [x for i, x in enumerate(xs) if (row[f"sd_{i}"] or 0) > 0]
-    if not xs:
-        return Fit(name, "SKIPPED", row["n"], row["e"], row["t"], note="no variation")
-    d = two_way_demean(d, [y, *xs], entity, time, rounds).cache()
-    try:
-        g, b, yy, n = gram(d, xs, y)
-        beta = np.linalg.lstsq(g, b, rcond=None)[0]
-        resid = F.col(y) - sum((float(c) * F.col(x) for c, x in zip(beta, xs)), F.lit(0.0))
-        names = [f"__s{i}" for i in range(len(xs))]
-        s = d.withColumns({v: F.col(x) * resid for v, x in zip(names, xs)})
-        meat = _meat(s, names, [entity])
-        if cluster_time:
-            meat = meat + _meat(s, names, [time]) - _meat(s, names, [entity, time])
-        bread = np.linalg.pinv(g)
-        cov = bread @ meat @ bread * n / (n - len(xs))
-        r2 = float(beta @ b / yy) if yy else None
-        se = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        return Fit(name, "OK", n, row["e"], row["t"], dict(zip(xs, map(float, beta))), dict(zip(xs, map(float, se))), r2)
-    except np.linalg.LinAlgError as e:
-        return Fit(name, "FAILED", row["n"], row["e"], row["t"], note=str(e)[:200])
-    finally:
-        d.unpersist()
+def fit_two_way(df: DataFrame, y: str, xs: list[str], name: str = "", entity: str = "ticker", time: str = "week", cluster_time: bool = True, gates=(MIN_OBS, MIN_ENTITIES, MIN_PERIODS)) -> Fit:
+    """Entity and time fixed effects, absorbed exactly; errors clustered by entity (and time)."""
+    xs = list(dict.fromkeys(xs))
+    return fit_many(long_rows(df, [y, *xs], entity, time), {0: (name, xs)}, gates, cluster_time)[0]
 
 
 def fits_table(spark, fits: list[Fit]) -> DataFrame:

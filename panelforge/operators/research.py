@@ -26,9 +26,11 @@ def standardise(df: DataFrame, cols: list[str], group: list[str]) -> DataFrame:
     return df.dropna(subset=group).withColumns({f"z_{c}": W.zscore(F.col(c), g) for c in cols})
 
 
-def winsorise(df: DataFrame, col: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    q = exact_percentiles(df, [col], [low, high]).select(F.col("q").alias("__q"))
-    return df.join(F.broadcast(q)).withColumn(f"{col}_w", F.greatest(F.least(col, F.col("__q")[1]), F.col("__q")[0])).drop("__q")
+def winsorise(df: DataFrame, cols: str | list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Adds ``<col>_w``, cut at its percentiles; the two edges of each column are found in one pass over all and become literals."""
+    cols = [cols] if isinstance(cols, str) else list(dict.fromkeys(cols))
+    edges = {r["variable"]: r["q"] for r in exact_percentiles(df, cols, [low, high]).collect()}  # a row a column
+    return df.withColumns({f"{c}_w": F.greatest(F.least(c, F.lit(edges[c][1])), F.lit(edges[c][0])) for c in cols}) if cols else df
 
 
 def control_shares(df: DataFrame, controls: list[str], least: float = 0.5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..operators import absorb
 from ..operators import estimators as E
 from ..operators import research as R
 from . import base as B
@@ -120,7 +121,7 @@ def newey_west_mean(spark, d):
 @query(B.sql("attention", """SELECT round(sum(x * y) / sum(x * x), 6) AS beta, count(*) AS n FROM (SELECT att_all - avg(att_all) OVER i - avg(att_all) OVER t + avg(att_all) OVER () AS x, att_high - avg(att_high) OVER i - avg(att_high) OVER t + avg(att_high) OVER () AS y FROM filled WINDOW i AS (PARTITION BY ticker), t AS (PARTITION BY week))"""))
 def balanced_twoway_fe_beta(spark, d):
     x = B.attention(spark, d).select("ticker", "week", F.col("att_all").cast("double").alias("x"), F.col("att_high").cast("double").alias("y"))
-    dm = E.two_way_demean(x, ["x", "y"])
+    dm = absorb.demeaned(x, ["x", "y"])
     return dm.agg(r6(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("beta"), F.count(F.lit(1)).alias("n"))
 
 
@@ -286,12 +287,33 @@ def joint_reading_verdict(spark, d):
 
 
 # ------------------------------------------------------------------ estimators without a short SQL form
-@query()
+#: Both effects by 80 rounds of alternating means, then two regressors in closed form with two-way clusters.
+_FE = ["z AS (SELECT ticker, week, sparsity_tier AS model, ret_next AS y, (att_all - avg(att_all) OVER t) / nullif(stddev_samp(att_all) OVER t, 0) AS a, (ret - avg(ret) OVER t) / nullif(stddev_samp(ret) OVER t, 0) AS b FROM weekly WHERE sparsity_tier IS NOT NULL WINDOW t AS (PARTITION BY sparsity_tier))",
+    "d AS (SELECT * FROM z WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL)",
+    "shape AS (SELECT m.model, count(d.y) AS n, count(DISTINCT ticker) AS e, count(DISTINCT week) AS t FROM (VALUES ('dense'), ('sparse'), ('silent')) m(model) LEFT JOIN d USING (model) GROUP BY ALL)",
+    "go AS (SELECT model, n FROM shape WHERE n >= 100 AND e >= 5 AND t >= 20)",
+    "it AS (SELECT 0 AS k, model, ticker, week, y, a, b FROM d SEMI JOIN go USING (model) UNION ALL SELECT k + 1, model, ticker, week, y - avg(y) OVER t, a - avg(a) OVER t, b - avg(b) OVER t FROM (SELECT k, model, ticker, week, y - avg(y) OVER i AS y, a - avg(a) OVER i AS a, b - avg(b) OVER i AS b FROM it WHERE k < 80 WINDOW i AS (PARTITION BY model, ticker)) WINDOW t AS (PARTITION BY model, week))",
+    "m AS (SELECT * FROM it WHERE k = 80)",
+    "g AS (SELECT model, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS byy, sum(y * y) AS yy FROM m GROUP BY model)",
+    "c AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * byy) / (aa * bb - ab * ab) AS ba, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS bc FROM g)",
+    "sc AS (SELECT model, ticker, week, a * (y - ba * a - bc * b) AS sa, b * (y - ba * a - bc * b) AS sb FROM m JOIN c USING (model))",
+    "cl AS (SELECT model, 1 AS sign, sum(sa) AS sa, sum(sb) AS sb FROM sc GROUP BY model, ticker UNION ALL SELECT model, 1, sum(sa), sum(sb) FROM sc GROUP BY model, week UNION ALL SELECT model, -1, sum(sa), sum(sb) FROM sc GROUP BY model, ticker, week)",
+    "me AS (SELECT model, sum(sign * sa * sa) AS va, sum(sign * sa * sb) AS vab, sum(sign * sb * sb) AS vb FROM cl GROUP BY model)",
+    "f AS (SELECT model, ba, bc, (ba * ay + bc * byy) / yy AS r2, sqrt(greatest((bb * bb * va - 2 * bb * ab * vab + ab * ab * vb) / (det * det) * n / (n - 2), 0)) AS sea, sqrt(greatest((ab * ab * va - 2 * aa * ab * vab + aa * aa * vb) / (det * det) * n / (n - 2), 0)) AS seb FROM c JOIN me USING (model) JOIN go USING (model))"]
+
+
+@query(B.sql("weekly", "SELECT model, CASE WHEN ba IS NULL THEN 'SKIPPED' ELSE 'OK' END AS status, n AS n_obs, e AS n_entities, t AS n_periods, u.term, round(u.beta, 6) AS beta, round(u.se, 6) AS se, round(r2, 6) AS r2_within FROM shape LEFT JOIN f USING (model), LATERAL (SELECT 'z_att_all' AS term, ba AS beta, sea AS se WHERE ba IS NOT NULL UNION ALL SELECT 'z_ret', bc, seb WHERE ba IS NOT NULL UNION ALL SELECT NULL, NULL, NULL WHERE ba IS NULL) u", *_FE).replace("WITH ", "WITH RECURSIVE ", 1))
 def two_way_fe_models(spark, d):
-    """Fixed-effects regressions of next returns on attention, by tier."""
+    """Fixed-effects regressions of next returns on attention, by tier, on unbalanced samples."""
     x = B.weekly(spark, d).select("ticker", "week", "ret_next", "ret", "sparsity_tier", F.col("att_all").cast("double").alias("att_all"))
     z = R.standardise(x, ["att_all", "ret"], ["sparsity_tier"])
-    return E.fits_table(spark, [E.fit_two_way(z.where(F.col("sparsity_tier") == t), "ret_next", ["z_att_all", "z_ret"], t, rounds=8, gates=(100, 5, 20)) for t in ("dense", "sparse", "silent")])
+    tiers = ("dense", "sparse", "silent")
+    spec = F.array_position(F.array(*map(F.lit, tiers)), F.col("sparsity_tier")).cast("int")
+    cols = ["ret_next", "z_att_all", "z_ret"]
+    rows = z.dropna(subset=cols).select(spec.alias("spec"), F.col("ticker").alias("entity"), F.col("week").alias("time"), F.array(*cols).alias("c"))
+    fits = absorb.fit_many(rows, {i: (t, cols[1:]) for i, t in enumerate(tiers, 1)}, (100, 5, 20))
+    out = E.fits_table(spark, fits)
+    return out.select("model", "status", "n_obs", "n_entities", "n_periods", "term", *[r6(c).alias(c) for c in ("beta", "se", "r2_within")])
 
 
 @query()
@@ -331,7 +353,7 @@ def model_battery(spark, d):
 
     x = P.lead_lag(B.weekly(spark, d), horizons=(2, 3)).withColumn("abn_attention_weekend", F.col("abn_att_all")).cache()
     try:
-        fits = specs.run(x, [*specs.reversal(horizons=(2, 3)), *specs.main()], controls=("ret_lag1",), gates=(100, 5, 20), rounds=6)
+        fits = specs.run(x, [*specs.reversal(horizons=(2, 3)), *specs.main()], controls=("ret_lag1",), gates=(100, 5, 20))
     finally:
         x.unpersist()
     return specs.summary(spark, fits)

@@ -96,7 +96,7 @@ def test_batteries(spark):
     pdf = pdf.assign(abn_attention_weekend=rng.normal(size=n), abn_attention_weekday=rng.normal(size=n), ret_lag1=rng.normal(size=n), sparsity_tier=np.where(pdf.ticker < 6, "dense", "sparse"), att_nonzero_weeks_52=np.where(pdf.ticker < 6, 45, 20), att_all=rng.integers(0, 9, n), turnover=rng.random(n), ret=rng.normal(size=n), moderator=rng.normal(size=n))
     pdf["ret_next"] = 0.5 * pdf.abn_attention_weekend + 0.1 * rng.normal(size=n)
     d = spark.createDataFrame(pdf).cache()
-    kw = {"controls": ("ret_lag1", "absent"), "gates": (50, 5, 10), "rounds": 2}
+    kw = {"controls": ("ret_lag1", "absent"), "gates": (50, 5, 10)}
     fits = {f.name: f for f in specs.run(d, specs.main(), **kw)}
     assert fits["weekend"].status == "OK" and fits["weekend"].t(specs.WEEKEND) > 5 and "absent" in fits["weekend"].note
     assert fits["session"].status == "SKIPPED" and specs.run(d, specs.main(), diagnostic=False, **kw)[1].status == "SKIPPED"
