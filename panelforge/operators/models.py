@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
-from ..session import cut_lineage
-from . import evaluate, forecast
+from . import evaluate, forecast, prefix
 from .estimators import gram, logit
 
 
@@ -124,24 +123,13 @@ def platt(df: DataFrame, score: str, y: str, least: int = 100) -> tuple[float, f
     return fit["beta"][1], fit["beta"][0]
 
 
-def select_alpha(xy: DataFrame, features: list[str], y: str, alphas=(0.1, 1.0, 10.0, 100.0), entity: str = "ticker", n_blocks: int = 3, size: int = 26, least_weeks: int = 104, least: int = 30) -> float:
+def select_alpha(xy: DataFrame, features: list[str], y: str, alphas=(0.1, 1.0, 10.0, 100.0), n_blocks: int = 3, size: int = 26, least_weeks: int = 104, least: int = 30) -> float:
     """Alpha of the best mean rank IC over inner forward blocks; ties take the larger."""
-    weeks = [r[0] for r in xy.select("as_of").distinct().collect()]  # dates of a weekly panel
-    blocks = forecast.inner_blocks(weeks, n_blocks, size, least_weeks)
-    scores: dict[float, list[float]] = {a: [] for a in alphas}
-    for before, first, last in blocks:
-        train = forecast.mature(xy, before, y)
-        if train.count() < 100:
-            continue
-        fitted = ridges(train, features, y, alphas)
-        test = fitted[0].prepared.apply(xy.where(F.col("as_of").between(F.lit(first), F.lit(last))))
-        # One pass for all penalties: a row per penalty, ranked within its week.
-        rows = test.select("as_of", y, F.explode(F.array(*[F.struct(F.lit(float(m.alpha)).alias("alpha"), m.value().alias("pred")) for m in fitted])).alias("m")).select("as_of", y, "m.*")
-        ic = evaluate.weekly_rank_ic(rows, "pred", y, least, ("alpha", "as_of")).groupBy("alpha").agg(F.avg("ic").alias("ic"), F.count("ic").alias("n"))
-        for r in ic.where("n >= 5").collect():  # a row a penalty
-            scores[next(a for a in alphas if float(a) == r["alpha"])].append(r["ic"])
-    means = {a: sum(s) / len(s) for a, s in scores.items() if s}
-    return max(means, key=lambda a: (means[a], a)) if means else max(alphas)
+    blocks = prefix.blocks_before(prefix.training_weeks(xy, y), prefix.NEVER, n_blocks, size, least_weeks)
+    if not blocks:
+        return max(alphas)
+    sums = prefix.Prefix(xy, features, y, [b[0] for b in blocks])
+    return prefix.select_alphas(xy, sums, {prefix.NEVER: blocks}, {"": list(features)}, alphas, least)[prefix.NEVER, ""]
 
 
 def select_c(xy: DataFrame, features: list[str], y: str, values=(0.01, 0.1, 1.0, 10.0), n_blocks: int = 3, size: int = 26, least_weeks: int = 104) -> tuple[float, DataFrame]:
@@ -208,30 +196,13 @@ def calibrated(xy: DataFrame, features: list[str], y: str, c: float, **blocks) -
     return None if rows is None else platt(rows, "prob", y)
 
 
-def walk_forward(xy: DataFrame, features: list[str], y: str, refits: list, alpha: float | None = 10.0, horizon_end=None, sets: dict[str, list[str]] | None = None) -> DataFrame:
+def walk_forward(xy: DataFrame, features: list[str], y: str, refits: list, alpha: float | None = 10.0, horizon_end=None, sets: dict[str, list[str]] | None = None, n_blocks: int = 3, size: int = 26, least_weeks: int = 104) -> DataFrame:
     """Predictions between consecutive refit dates from models trained on mature rows only.
 
-    ``alpha`` None: chosen at each refit by ``select_alpha`` on the mature rows.  The input is
-    read many times and checkpointed for that; without a checkpoint folder it is persisted.
+    ``alpha`` None: chosen at each refit by inner forward blocks of the mature rows.  The number
+    of jobs does not depend on the number of refits (see ``prefix``).
     """
-    held, out = cut_lineage(xy), None
-    if held is xy:
-        held = xy.persist()
-    for i, start in enumerate(refits):
-        stop = refits[i + 1] if i + 1 < len(refits) else horizon_end
-        train = forecast.mature(held, start, y)
-        if train.isEmpty():
-            continue
-        rows = held.where(F.col("as_of") >= F.lit(start))
-        rows = rows.where(F.col("as_of") < F.lit(stop)) if stop is not None else rows
-        for name, cols in (sets or {"A": features}).items():
-            a = select_alpha(train, cols, y) if alpha is None else alpha
-            pred = ridge(train, cols, y, a).predict(rows.select("*")).withColumns({"feature_set": F.lit(name), "refit_at": F.lit(start), "alpha": F.lit(float(a))})
-            pred = pred.select("ticker", "as_of", y, "pred", "feature_set", "refit_at", "alpha")
-            out = pred if out is None else out.unionByName(pred)
-    if out is None:
-        out = held.where("false").select("ticker", "as_of", y, *[F.lit(None).cast(t).alias(c) for c, t in (("pred", "double"), ("feature_set", "string"), ("refit_at", "date"), ("alpha", "double"))])
-    return out
+    return prefix.walk_forward(xy, y, list(refits), sets or {"A": list(features)}, alpha, horizon_end=horizon_end, n_blocks=n_blocks, size=size, least_weeks=least_weeks)
 
 
 def compare_sets(pred: DataFrame, y: str, base: str, candidate: str, least: int = 30, reps: int = 2000) -> dict:

@@ -343,16 +343,38 @@ def execution_diagnostics(spark, d):
     return backtest.diagnostics(backtest.simulate(c, _schedule(spark), what="orders", **_OPT), backtest.simulate(c, _schedule(spark), **_OPT), 5)
 
 
+def _refits(spark, xy) -> list:
+    """First Mondays of the years that have two years of the panel behind them."""
+    first, last = xy.agg(F.year(F.min("as_of")), F.year(F.max("as_of"))).first()
+    plans = forecast.year_plans(spark, list(range((first or 0) + 2, (last or 0) + 1)))
+    return [r["train_cutoff"] for r in plans.orderBy("train_cutoff").collect()]  # one a year
+
+
 @query()
 def ridge_walk_forward(spark, d):
     """Refits at the first Monday of every year that has two years behind it; alpha by inner forward blocks."""
     cols = ["mom_4w", "vol_60d", "log_adv20", "abn_att_all"]
-    xy = _xy(spark, d).where("as_of IS NOT NULL").select("ticker", "as_of", "label_end_at", "label_available_at", "label_status", "y_excess", *cols)
-    xy = cut_lineage(xy)
-    first, last = xy.agg(F.year(F.min("as_of")), F.year(F.max("as_of"))).first()
-    plans = forecast.year_plans(spark, list(range((first or 0) + 2, (last or 0) + 1)))
-    refits = [r["train_cutoff"] for r in plans.orderBy("train_cutoff").collect()]  # one a year
-    return models.walk_forward(xy, cols, "y_excess", refits, alpha=None)
+    xy = cut_lineage(_xy(spark, d).where("as_of IS NOT NULL").select("ticker", "as_of", "label_end_at", "label_available_at", "label_status", "y_excess", *cols))
+    return models.walk_forward(xy, cols, "y_excess", _refits(spark, xy), alpha=None)
+
+
+_RIDGE = ["yr AS (SELECT unnest(generate_series((SELECT min(year(as_of)) FROM xy) + 2, (SELECT max(year(as_of)) FROM xy))) AS y)",
+    "cuts AS (SELECT c, lead(c) OVER (ORDER BY c) AS stop FROM (SELECT (DATE '1970-01-05' + (7 * ceil(datediff('day', DATE '1970-01-05', make_date(y::INT, 1, 1)) / 7.0))::INT)::DATE AS c FROM yr))",
+    "tr AS (SELECT c, vol_60d AS x, y_excess AS y FROM xy JOIN cuts ON label_end_at < c AND label_available_at < c AND as_of < c WHERE label_status = 'ok' AND y_excess IS NOT NULL)",
+    "md AS (SELECT c, median(x) AS med, avg(y) AS my FROM tr GROUP BY c)",
+    "im AS (SELECT tr.c, coalesce(x, med) AS v, (x IS NULL)::INT AS m, y - my AS e FROM tr JOIN md USING (c))",
+    "st AS (SELECT c, avg(v) AS cv, avg(m) AS cm, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS sv, CASE WHEN stddev_pop(m) > 0 THEN stddev_pop(m) ELSE 1 END AS sm FROM im GROUP BY c)",
+    "gm AS (SELECT im.c, sum((v - cv) / sv * (v - cv) / sv) + 10 AS vv, sum((v - cv) / sv * (m - cm) / sm) AS vm, sum((m - cm) / sm * (m - cm) / sm) + 10 AS mm, sum((v - cv) / sv * e) AS ve, sum((m - cm) / sm * e) AS me FROM im JOIN st USING (c) GROUP BY im.c)",
+    "wt AS (SELECT *, (mm * ve - vm * me) / (vv * mm - vm * vm) AS wv, (vv * me - vm * ve) / (vv * mm - vm * vm) AS wm FROM gm)"]
+
+
+@query(B.sql("weekly", """SELECT ticker, as_of, c AS refit_at, round(my + wv * (coalesce(vol_60d, med) - cv) / sv + wm * ((vol_60d IS NULL)::INT - cm) / sm, 6) AS pred, round(y_excess, 6) AS y_excess
+    FROM xy JOIN cuts ON as_of >= c AND (stop IS NULL OR as_of < stop) JOIN md USING (c) JOIN st USING (c) JOIN wt USING (c)""", _FEAT, _lab(1), "xy AS (SELECT f.ticker, f.vol_60d, l.* EXCLUDE (ticker) FROM feat f JOIN labels l USING (ticker, week) WHERE l.as_of IS NOT NULL)", *_RIDGE))
+def ridge_walk_forward_one(spark, d):
+    """Yearly refits on one feature with its missing flag; penalty 10."""
+    xy = cut_lineage(_xy(spark, d).where("as_of IS NOT NULL").select("ticker", "as_of", "label_end_at", "label_available_at", "label_status", "y_excess", "vol_60d"))
+    out = models.walk_forward(xy, ["vol_60d"], "y_excess", _refits(spark, xy), alpha=10.0)
+    return out.select("ticker", "as_of", "refit_at", r6("pred").alias("pred"), r6("y_excess").alias("y_excess"))
 
 
 _BH = """spans AS (SELECT week + 1 AS as_of, min(date) AS f, max(date) AS l FROM (SELECT date, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS week FROM bench) GROUP BY week),
