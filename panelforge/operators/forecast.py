@@ -50,33 +50,47 @@ def check_columns(cols: list[str], allowed: set[str] | None = None, forbidden: s
 
 
 def engineer(panel: DataFrame, bench: DataFrame | None = None, entity: str = "ticker") -> DataFrame:
-    """All price, liquidity, history and attention features in one window pass."""
-    w = W.by(entity, "week")
+    """All price, liquidity, history and attention features in one window pass.
+
+    Inputs that the panel does not have (market value, turnover, foreign holding, counts by
+    window and effort) give features without a value, so a feature set is always complete.
+    """
+    w, have = W.by(entity, "week"), set(panel.columns)
+    col = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
     r, v, a = F.col("ret"), F.col("value"), F.col("att_all").cast("double")
-    past = W.trailing(v, 4, 2, w)
+    past, some = W.trailing(v, 4, 2, w), F.nullif(a, F.lit(0.0))
     age = F.row_number().over(w) - 1
+    missing = lambda c: col(c).isNull().cast("int")
     out = panel.withColumns(
         {
             **{f"mom_{k}w": W.momentum(r, k, w) for k in (4, 12, 26)},
             "log_adv20": F.when(v > 0, F.ln(v)),
+            "log_market_cap": F.when(col("market_cap") > 0, F.ln(col("market_cap"))),
             "rel_volume_1w": F.try_divide(v, F.nullif(past, F.lit(0.0))),
             "vol_20d": W.volatility(r, 4, 2, w),
             "vol_60d": W.volatility(r, 12, 4, w),
             "amihud_20d": W.trailing(F.col("amihud"), 4, 2, w),
             "zero_volume_share_20d": W.trailing(F.col("zero_volume_days"), 4, 2, w),
+            "mean_turnover_20d": W.trailing(col("turnover"), 4, 2, w),
             "history_weeks_available": age,
             "insufficient_history": (age < 8).cast("int"),
-            "log1p_att_all": F.log1p(a),
+            **{f"log1p_{c}": F.log1p(col(c)) for c in ("att_all", "att_weekday", "att_weekend", "att_high_effort", "att_mid_effort", "att_low_effort")},
             "att_count_delta_1w": a - F.lag(a).over(w),
             "att_count_trend_4w": a - W.trailing(a, 4, 2, w),
+            "weekend_share": F.try_divide(col("att_weekend"), some),
+            "non_trading_share": F.try_divide(col("att_non_trading"), some),
             "missing_attention_window": F.coalesce((a == 0) | a.isNull(), F.lit(True)).cast("int"),
-            "missing_amihud": F.col("amihud").isNull().cast("int"),
+            "missing_market_cap": missing("market_cap"),
+            "missing_foreign_holding": missing("foreign_holding_pct"),
+            "missing_amihud": missing("amihud"),
+            "is_code_only_matched": F.coalesce(col("is_code_only_matched").cast("int"), F.lit(0)),
         }
     )
-    for c in [c for c in out.columns if c.startswith("abn_att")]:
-        out = out.withColumn(c, F.when(F.col("insufficient_history") == 0, F.col(c)))
-    if "att_weekend" in panel.columns:
-        out = out.withColumn("weekend_share", F.try_divide(F.col("att_weekend").cast("double"), F.nullif(a, F.lit(0.0))))
+    if "listing_age_years" not in have:
+        age_years = T.age_years(F.col("listing_date"), F.col("week")) if "listing_date" in have else F.lit(None).cast("double")
+        out = out.withColumn("listing_age_years", age_years)
+    warm = [c for c in have if c.startswith("abn_att")]
+    out = out.withColumns({c: F.when(F.col("insufficient_history") == 0, F.col(c)) for c in warm}) if warm else out
     if bench is not None:
         bw = Window.orderBy("week")  # one row a week
         state = bench.select("week", F.col("bench_ret").alias("bench_ret_1w"), W.volatility(F.col("bench_ret"), 4, 2, bw).alias("bench_vol_20d"))
@@ -84,6 +98,34 @@ def engineer(panel: DataFrame, bench: DataFrame | None = None, entity: str = "ti
     return out
 
 
+def attach_sources(rows: DataFrame, news: DataFrame | None = None, revenue: DataFrame | None = None, entity: str = "ticker") -> DataFrame:
+    """``rows`` (entity, as_of) with the supplemental features of both sources under their names in the sets.
+
+    ``news``: entity, publish_at; ``revenue``: entity, announce_date, revenue, revenue_yoy,
+    revenue_mom.  A source that is absent or empty gives no values and says that it is missing;
+    with news at hand, no item means a count of zero.
+    """
+    none = F.lit(None).cast("double")
+    if news is None or news.isEmpty():
+        out = rows.withColumns({"log1p_news_count_1w": none, "log1p_news_count_4w": none, "missing_news": F.lit(1)})
+    else:
+        out = news_counts(rows, news, entity).drop("news_count_1w", "news_count_4w").withColumn("missing_news", F.lit(0))
+    if revenue is None or revenue.isEmpty():
+        return out.withColumns({**{c: none for c in ("revenue_yoy_latest", "revenue_mom_latest", "log_revenue_latest")}, "days_since_revenue_announce": F.lit(None).cast("int"), "missing_revenue": F.lit(1)})
+    out = revenue_features(out, revenue, entity)
+    named = {"revenue_yoy_latest": W.finite(F.col("revenue_yoy").cast("double")), "revenue_mom_latest": W.finite(F.col("revenue_mom").cast("double")), "log_revenue_latest": W.finite(F.col("log_revenue_latest"))}
+    return out.withColumns(named).withColumnRenamed("days_since_announce", "days_since_revenue_announce").drop("revenue", "revenue_yoy", "revenue_mom", "announce_date")
+
+
+def feature_matrix(rows: DataFrame, name: str, keys: tuple[str, ...] = ("ticker", "week")) -> DataFrame:
+    """``keys`` and the columns of a feature set, guarded by the whitelist and the forbidden names."""
+    cols = check_columns(feature_set(name), {f for part in FEATURES.values() for f in part}, set(FORBIDDEN))
+    absent = [c for c in cols if c not in rows.columns]
+    if absent:
+        raise ValueError(f"features not built: {absent}")
+    return rows.select(*keys, *cols)
+
+
 # ------------------------------------------------------------------ labels
 def entry_exit(weeks: DataFrame, calendar: DataFrame, horizon: int) -> DataFrame:
     """entry_at: first session of the next week; label_end_at: last session up to ``horizon`` weeks on."""

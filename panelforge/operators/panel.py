@@ -45,6 +45,35 @@ def attention_fields(panel: DataFrame, entity: str = "ticker", level: str = "att
     return out.withColumn("sparsity_tier", W.sparsity_tier(F.col("att_nonzero_weeks_52")))
 
 
+#: Labels whose abnormal level is also taken from logs of positive counts only.
+POSITIVE_ONLY = ("all", "weekend", "weekday")
+
+
+def attention_block(panel: DataFrame, entity: str = "ticker", lookback: int = 8, long: int = 52) -> DataFrame:
+    """``attention_fields`` and, for every count ``att_<label>``, its abnormal level ``abn_attention_<label>``;
+    initiations by part of the week.  All look-backs share one window."""
+    labels = [c.removeprefix("att_") for c in panel.columns if c.startswith("att_")]
+    w = W.by(entity, "week")
+    level = {f"abn_attention_{x}": W.abnormal(F.col(f"att_{x}"), w, lookback, lookback) for x in labels}
+    level |= {f"abn_attention_{x}_posonly": W.abnormal(F.col(f"att_{x}"), w, lookback, lookback, True) for x in POSITIVE_ONLY if x in labels}
+    out = attention_fields(panel.withColumns(level), entity, "att_all", lookback, long)
+    return out.withColumns({f"is_initiation_{x}": F.col("is_initiation") & (F.col(f"att_{x}") > 0) for x in ("weekend", "weekday") if x in labels})
+
+
+def mechanism_fields(panel: DataFrame, entity: str = "ticker", horizons=range(2, 9)) -> DataFrame:
+    """Guarded leads and lags of returns, imbalance and abnormal turnover that the batteries read.
+
+    ``panel``: entity, week, ret, turnover, non_inst_roi.  Abnormal turnover is the log less its
+    trailing mean of eight weeks.
+    """
+    w, week = W.by(entity, "week"), F.col("week")
+    out = panel.withColumn("abn_turnover", W.abnormal(F.col("turnover").cast("double"), w))
+    ahead = {"ret_next": W.lead_contiguous(F.col("ret"), week, 1, w), "non_inst_roi_next": W.lead_contiguous(F.col("non_inst_roi"), week, 1, w), "turnover_next": W.lead_contiguous(F.col("abn_turnover"), week, 1, w)}
+    ahead |= {f"ret_next_{h}": W.lead_contiguous(F.col("ret"), week, h, w) for h in horizons}
+    back = {"ret_lag1": F.lag("ret").over(w), "ret_lag4": W.trailing(F.col("ret"), 4, 2, w), "ret_lag25": W.trailing(F.col("ret"), 25, 12, w), "non_inst_roi_lag1": F.lag("non_inst_roi").over(w), "turnover_lag1": F.lag("abn_turnover").over(w)}
+    return out.withColumns(ahead | back)
+
+
 def weekly_bars(daily: DataFrame, entity: str = "ticker") -> DataFrame:
     """Weekly market rows; first and last skip missing values, sums of nothing are zero."""
     week = T.week_of(F.col("date"))

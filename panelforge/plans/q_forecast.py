@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeops as T
 from ..functions import windows as W
-from ..operators import backtest, evaluate, forecast, ledger, market, models
+from ..operators import backtest, evaluate, forecast, ledger, market, models, panel
 from ..session import cut_lineage
 from . import base as B
 from .q_market import benchmark
@@ -84,6 +84,80 @@ def forecast_features(spark, d):
     return x.select("ticker", "week", *[r6(c).alias(c) for c in ("mom_4w", "log_adv20", "rel_volume_1w", "vol_60d")], F.round("amihud_20d", 4).alias("amihud_20d"), F.col("history_weeks_available").cast("bigint").alias("history"), "insufficient_history", r6("abn_att_all").alias("abn_att_all"), F.col("att_count_delta_1w").alias("delta"), r6("weekend_share").alias("weekend_share"), "missing_amihud")
 
 
+_REV = """om AS (SELECT o_custkey AS ticker, date_trunc('month', o_orderdate)::DATE AS month, sum(round(o_totalprice * 100)::BIGINT)::BIGINT / 100.0::DOUBLE AS revenue FROM orders GROUP BY ALL),
+rev AS (SELECT *, (month + INTERVAL 1 MONTH + INTERVAL 9 DAY)::DATE AS announce_date, revenue / lag(revenue, 12) OVER w - 1 AS revenue_yoy, revenue / lag(revenue, 1) OVER w - 1 AS revenue_mom FROM om WINDOW w AS (PARTITION BY ticker ORDER BY month)),
+ask AS (SELECT DISTINCT ticker, ((date_trunc('week', month::DATE) + INTERVAL 7 DAY))::DATE AS as_of FROM om)"""
+
+
+def attention_panel(spark, d):
+    """The weekly analogue with every count of the attention block: line parity stands for trading hours, the return flag for effort."""
+    flag, odd, end = F.col("flag"), F.col("line") % 2 == 1, T.is_weekend(F.col("date"))
+    efforts = {"high_effort": flag == "R", "mid_effort": flag == "A", "low_effort": flag == "N"}
+    kinds = {"weekday": ~end, "weekend": end, "intraday": odd, "non_trading": ~odd, **efforts}
+    kinds |= {f"{e}_{x}": c & b for e, c in efforts.items() for x, b in (("weekend", end), ("weekday", ~end))}
+    rows = B.lines(spark, d).withColumn("week", T.week_of(F.col("date")))
+    counted = panel.counts(rows, ["ticker", "week"], {"att_all": None, **{f"att_{k}": c for k, c in kinds.items()}})
+    a, b = B.span(spark, d)
+    cells = panel.grid(B.lines(spark, d).select("ticker").distinct(), "ticker", F.lit(a), F.lit(b))
+    return panel.attention_block(panel.fill_counts(cells, counted, ["ticker", "week"]))
+
+
+def market_panel(spark, d):
+    """Weekly bars with market value, turnover, foreign holding and imbalance; one company in seven has no market value."""
+    daily = B.daily(spark, d)
+    week = T.week_of(F.col("date")).alias("week")
+    sums = daily.groupBy("ticker", week).agg(F.sum("inst_buy").alias("b"), F.sum("volume").alias("v"))
+    roi = panel.weekly_imbalance(daily, min_volume=10, min_days=1).select("ticker", "week", F.col("roi").alias("non_inst_roi"))
+    first = daily.groupBy("ticker").agg(F.min("date").alias("listing_date"))
+    sectors = B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("ticker"), F.col("s_nationkey").alias("sector"))
+    x = B.bars(spark, d).join(sums, ["ticker", "week"], "left").join(roi, ["ticker", "week"], "left").join(first, "ticker", "left").join(sectors, "ticker", "left")
+    cap = F.when(F.col("ticker") % 7 != 0, F.col("week_close") * 1e6)
+    return x.withColumns({"market_cap": cap, "turnover": F.col("volume").cast("double"), "foreign_holding_pct": F.when(F.col("b") > 0, 100.0 * F.col("b") / F.col("v")), "is_code_only_matched": (F.col("ticker") % 5 == 0).cast("int")}).drop("b", "v")
+
+
+def full_panel(spark, d):
+    """Attention block and market panel with the leads and lags of the batteries."""
+    x = attention_panel(spark, d).join(market_panel(spark, d), ["ticker", "week"], "left")
+    return panel.mechanism_fields(x).withColumn("log_market_cap", F.when(F.col("market_cap") > 0, F.ln("market_cap")))
+
+
+_ABN = lambda x: f"ln(1 + {x}) - CASE WHEN count(*) OVER w8 >= 8 THEN avg(ln(1 + {x})) OVER w8 END"
+_SETE = [
+    "cx AS (SELECT ticker, week, count(*) FILTER (WHERE line % 2 = 1) AS att_intraday, count(*) FILTER (WHERE line % 2 = 0) AS att_non_trading FROM lines GROUP BY ALL)",
+    "mx AS (SELECT ticker, week, sum(inst_buy)::BIGINT AS b, sum(volume)::BIGINT AS v FROM daily GROUP BY ALL)",
+    "ls AS (SELECT ticker, min(date) AS listing_date FROM daily GROUP BY ticker)",
+    f"ab AS (SELECT ticker, week, {_ABN('att_all')} AS abn_attention_all, {_ABN('att_weekday')} AS abn_attention_weekday, {_ABN('att_weekend')} AS abn_attention_weekend FROM filled WINDOW w8 AS (PARTITION BY ticker ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))",
+    "fw AS (SELECT w.*, coalesce(cx.att_non_trading, 0) AS att_non_trading, abn_attention_all, abn_attention_weekday, abn_attention_weekend, CASE WHEN w.ticker % 7 <> 0 THEN week_close * 1e6::DOUBLE END AS market_cap, volume::DOUBLE AS turnover, CASE WHEN b > 0 THEN 100.0::DOUBLE * b / v END AS foreign_holding_pct, datediff('day', listing_date, w.week) / 365.25::DOUBLE AS listing_age_years FROM weekly w LEFT JOIN cx USING (ticker, week) LEFT JOIN mx USING (ticker, week) LEFT JOIN ls USING (ticker) JOIN ab USING (ticker, week) WHERE ret IS NOT NULL)",
+    "bw AS (SELECT week, arg_max(px, date) / arg_min(px, date) - 1 AS bench_ret_1w FROM (SELECT *, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS week FROM bench) GROUP BY week)",
+    f"bv AS (SELECT *, CASE WHEN count(bench_ret_1w) OVER f >= 2 THEN stddev_samp(bench_ret_1w) OVER f END AS bench_vol_20d FROM bw WINDOW f AS (ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))",
+    f"""ft AS (SELECT ticker, week, week + 1 AS as_of, ret, ret_lag1, exp({_t('ln(1 + ret)', 4, 2, 'sum')}) - 1 AS mom_4w, exp({_t('ln(1 + ret)', 12, 6, 'sum')}) - 1 AS mom_12w, exp({_t('ln(1 + ret)', 26, 13, 'sum')}) - 1 AS mom_26w,
+    {_t('ret', 4, 2, 'stddev_samp')} AS vol_20d, {_t('ret', 12, 4, 'stddev_samp')} AS vol_60d, ln(CASE WHEN value > 0 THEN value END) AS log_adv20, value / nullif({_t('value', 4, 2)}, 0) AS rel_volume_1w, {_t('amihud', 4, 2)} AS amihud_20d,
+    {_t('zero_volume_days', 4, 2)} AS zero_volume_share_20d, {_t('turnover', 4, 2)} AS mean_turnover_20d, ln(market_cap) AS log_market_cap, listing_age_years, foreign_holding_pct, bench_ret_1w, bench_vol_20d,
+    (market_cap IS NULL)::INT AS missing_market_cap, (foreign_holding_pct IS NULL)::INT AS missing_foreign_holding, (amihud IS NULL)::INT AS missing_amihud, row_number() OVER w - 1 AS history_weeks_available, (row_number() OVER w - 1 < 8)::INT AS insufficient_history,
+    ln(1 + att_all) AS log1p_att_all, ln(1 + att_weekday) AS log1p_att_weekday, ln(1 + att_weekend) AS log1p_att_weekend, ln(1 + att_high) AS log1p_att_high_effort, ln(1 + att_mid) AS log1p_att_mid_effort, ln(1 + att_low) AS log1p_att_low_effort,
+    CASE WHEN row_number() OVER w > 8 THEN abn_attention_all END AS abn_attention_all, CASE WHEN row_number() OVER w > 8 THEN abn_attention_weekday END AS abn_attention_weekday, CASE WHEN row_number() OVER w > 8 THEN abn_attention_weekend END AS abn_attention_weekend,
+    (att_all - lag(att_all) OVER w)::DOUBLE AS att_count_delta_1w, att_all - {_t('att_all', 4, 2)} AS att_count_trend_4w, att_nonzero_weeks_52, att_mean_level_52, is_initiation::INT AS is_initiation, zero_base::INT AS att_zero_base,
+    att_weekend / nullif(att_all, 0) AS weekend_share, att_non_trading / nullif(att_all, 0) AS non_trading_share, (ticker % 5 = 0)::INT AS is_code_only_matched, (att_all = 0)::INT AS missing_attention_window FROM fw LEFT JOIN bv USING (week) WINDOW w AS (PARTITION BY ticker ORDER BY week))"""]
+#: Set E and the news of set C.
+_SETE_COLS = [*forecast.feature_set("E"), *forecast.FEATURES["news"]]
+_WHOLE = ("missing_", "insufficient_", "is_", "att_zero_base", "history_", "att_nonzero_weeks_52", "days_since")
+
+
+@query(B.sql("weekly", "SELECT ticker, week, " + ", ".join(f"{c}::BIGINT AS {c}" if c.startswith(_WHOLE) else f"round({c}, 5) AS {c}" for c in _SETE_COLS) + """ FROM (SELECT ft.*, r.revenue_yoy AS revenue_yoy_latest, r.revenue_mom AS revenue_mom_latest, ln(CASE WHEN r.revenue > 0 THEN r.revenue END) AS log_revenue_latest, datediff('day', r.announce_date, as_of) AS days_since_revenue_announce, (r.revenue_yoy IS NULL)::INT AS missing_revenue
+    FROM ft ASOF LEFT JOIN rev r ON ft.ticker = r.ticker AND ft.as_of > r.announce_date) f LEFT JOIN nc USING (ticker, week)""", _BENCH, *_SETE, _REV,
+    "nx AS (SELECT ticker, date::TIMESTAMP AS ts FROM lines WHERE flag = 'R')",
+    "nc AS (SELECT f.ticker, f.week, ln(1 + count(n.ts) FILTER (WHERE n.ts >= f.as_of::TIMESTAMP - INTERVAL 7 DAY)) AS log1p_news_count_1w, ln(1 + count(n.ts)) AS log1p_news_count_4w, 0 AS missing_news FROM ft f LEFT JOIN nx n ON n.ticker = f.ticker AND n.ts >= f.as_of::TIMESTAMP - INTERVAL 28 DAY AND n.ts <= f.as_of::TIMESTAMP - INTERVAL 1 DAY GROUP BY ALL)"))
+def feature_sets(spark, d):
+    """Every feature of sets C and E: panel features, revenue known before the date, news counts; guarded by the whitelist."""
+    rows = full_panel(spark, d).where("ret IS NOT NULL")
+    x = forecast.engineer(rows, market.benchmark_weekly(benchmark(spark, d))).withColumn("as_of", T.as_of(F.col("week")))
+    _, rev = _revenue(spark, d)
+    news = B.lines(spark, d).where("flag = 'R'").select("ticker", F.col("date").cast("timestamp").alias("publish_at"))
+    x = forecast.attach_sources(x, news, rev)
+    e = forecast.feature_matrix(x, "E", ("ticker", "week", *forecast.FEATURES["news"]))
+    return e.select("ticker", "week", *[F.col(c).cast("bigint").alias(c) if c.startswith(_WHOLE) else F.round(c, 5).alias(c) for c in _SETE_COLS])
+
+
 def _xy(spark, d, horizon=1):
     f = forecast.engineer(_panel(spark, d))
     return f.join(_labels(spark, d, horizon), ["ticker", "week"], "left")
@@ -118,11 +192,6 @@ def universe_snapshots(spark, d):
     return forecast.members(uni, ven, at).select("ticker", "as_of", "status", "sector", "venue")
 
 
-_REV = """om AS (SELECT o_custkey AS ticker, date_trunc('month', o_orderdate)::DATE AS month, sum(round(o_totalprice * 100)::BIGINT)::BIGINT / 100.0::DOUBLE AS revenue FROM orders GROUP BY ALL),
-rev AS (SELECT *, (month + INTERVAL 1 MONTH + INTERVAL 9 DAY)::DATE AS announce_date, revenue / lag(revenue, 12) OVER w - 1 AS revenue_yoy, revenue / lag(revenue, 1) OVER w - 1 AS revenue_mom FROM om WINDOW w AS (PARTITION BY ticker ORDER BY month)),
-ask AS (SELECT DISTINCT ticker, ((date_trunc('week', month::DATE) + INTERVAL 7 DAY))::DATE AS as_of FROM om)"""
-
-
 def _revenue(spark, d):
     o = B.read(spark, d, "orders")
     m = o.groupBy(F.col("o_custkey").alias("ticker"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100.0).alias("revenue"))

@@ -347,13 +347,11 @@ def comovement_screen(spark, d):
 
 @query()
 def model_battery(spark, d):
-    """Reversal and sub-sample specs of the analogue panel, skipped ones included."""
+    """Every battery over the full panel of the analogue, skipped specs included: one pass over all of them."""
     from ..operators import panel as P
     from ..operators import specs
+    from .q_forecast import full_panel
 
-    x = P.lead_lag(B.weekly(spark, d), horizons=(2, 3)).withColumn("abn_attention_weekend", F.col("abn_att_all")).cache()
-    try:
-        fits = specs.run(x, [*specs.reversal(horizons=(2, 3)), *specs.main()], controls=("ret_lag1",), gates=(100, 5, 20))
-    finally:
-        x.unpersist()
-    return specs.summary(spark, fits)
+    x = P.sector_peers(full_panel(spark, d), "abn_attention_weekend")
+    battery = [*specs.main(), *specs.mechanism(), *specs.effort(), *specs.initiation(), *specs.reversal(horizons=range(2, 9)), *specs.spillover()]
+    return specs.summary(spark, specs.run(x, battery, controls=("ret_lag1", "ret_lag4", "log_market_cap", "amihud"), gates=(100, 5, 20)))

@@ -13,7 +13,7 @@ from panelforge.streaming.weekly import to_ledger, weekly_counts
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A cross-section of the catalogue; the whole is compared at a larger size outside the tests.
-CHECKED = ["week_label", "abnormal_attention_weekly", "pit_vs_research_diff", "next_trading_day", "trading_session_count", "sector_peer_attention", "adjusted_prices", "price_validation", "contiguous_lead_returns", "venue_validity", "tercile_by_week", "labels_4w", "folds", "universe_snapshots", "revenue_asof", "news_counts_1w_4w", "weekly_rank_ic", "auc_balanced_accuracy", "backtest_candidates", "title_parse", "roc_date_parse", "number_clean", "html_strip_basic", "ledger_append_guard", "matcher_classes", "title_parser_agreement", "venue_validity_nested", "health_checks", "lead_lag_checks", "matched_event_verdict", "benchmark_buy_hold", "labels_1w_of_panel", "years_covered", "month_gaps"]
+CHECKED = ["week_label", "abnormal_attention_weekly", "pit_vs_research_diff", "next_trading_day", "trading_session_count", "sector_peer_attention", "adjusted_prices", "price_validation", "contiguous_lead_returns", "venue_validity", "tercile_by_week", "labels_4w", "folds", "universe_snapshots", "revenue_asof", "news_counts_1w_4w", "weekly_rank_ic", "auc_balanced_accuracy", "backtest_candidates", "title_parse", "roc_date_parse", "number_clean", "html_strip_basic", "ledger_append_guard", "matcher_classes", "title_parser_agreement", "venue_validity_nested", "health_checks", "lead_lag_checks", "matched_event_verdict", "benchmark_buy_hold", "labels_1w_of_panel", "years_covered", "month_gaps", "two_way_fe_models", "ridge_walk_forward_one", "feature_sets"]
 
 
 @pytest.fixture(scope="module")
