@@ -35,8 +35,10 @@ def effort_tier(category: Column, reply: Column) -> Column:
 
 def strip_template(text: Column) -> Column:
     """Example lines of a posting form, and the line about its deletion key."""
-    text = F.regexp_replace(text, r"(?md)^.*(?:\(例|（例|ex\s*\[標的\]|例\s*[:：]).*$", "")
-    return F.regexp_replace(text, r"(?md)^.*按\s*[Cc]trl\+[yY].*$", "")
+    # Every such line holds one of these words; other texts are not searched line by line.
+    example = F.regexp_replace(text, r"(?md)^.*(?:\(例|（例|ex\s*\[標的\]|例\s*[:：]).*$", "")
+    text = F.when(F.contains(text, F.lit("例")) | F.contains(text, F.lit("標的")), example).otherwise(text)
+    return F.when(F.contains(text, F.lit("按")), F.regexp_replace(text, r"(?md)^.*按\s*[Cc]trl\+[yY].*$", "")).otherwise(text)
 
 
 def strip_html(s: Column) -> Column:

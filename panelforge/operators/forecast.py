@@ -86,6 +86,8 @@ def engineer(panel: DataFrame, bench: DataFrame | None = None, entity: str = "ti
             "is_code_only_matched": F.coalesce(col("is_code_only_matched").cast("int"), F.lit(0)),
         }
     )
+    if "foreign_holding_pct" not in have:
+        out = out.withColumn("foreign_holding_pct", col("foreign_holding_pct"))
     if "listing_age_years" not in have:
         age_years = T.age_years(F.col("listing_date"), F.col("week")) if "listing_date" in have else F.lit(None).cast("double")
         out = out.withColumn("listing_age_years", age_years)
