@@ -1,21 +1,87 @@
-"""Append-only prediction ledger, skip log, scores and model store as Parquet tables."""
+"""Append-only prediction ledger, skip log, scores and model store as Parquet tables.
+
+A ledger table is a folder of batches and of numbered manifests.  A writer stages its batch
+under a name of its own, checks its keys against the batches committed so far, and commits by
+creating the next manifest, which succeeds for one writer only; who comes second checks against
+what was committed meanwhile and tries the next number.  Readers follow the manifests, so a
+batch is there whole or not at all, and a batch whose writer died is never seen.
+"""
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 KEYS = ["run_id", "as_of", "ticker", "horizon", "model_version"]
+_MANIFESTS, _BATCHES = "_manifests", "batches"
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+# ------------------------------------------------------------------ files of a table
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def committed(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, batch) in the order of the commits; a manifest a batch."""
+    fs, at = _fs(spark, f"{path}/{_MANIFESTS}")
+    if not fs.exists(at) or not any(s.getPath().getName().endswith(".json") for s in fs.listStatus(at)):
+        return []
+    lines = spark.read.text(f"{path}/{_MANIFESTS}/*.json").collect()  # one line a batch
+    return sorted((m["version"], m["batch"]) for m in (json.loads(r["value"]) for r in lines))
+
+
+def _create(spark: SparkSession, path: str, version: int, batch: str) -> bool:
+    """Manifest ``version`` with its content, unless it exists; whole from the moment it is visible.
+
+    A local file becomes visible by a hard link, one elsewhere by a rename that does not
+    overwrite: both fail for the second writer.
+    """
+    jvm, body = spark.sparkContext._jvm, json.dumps({"version": version, "batch": batch})
+    folder = f"{path}/{_MANIFESTS}"
+    fs, at = _fs(spark, folder)
+    fs.mkdirs(at)
+    staged, final = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{version:012d}.json"
+    sp, fp = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, final))
+    out = fs.create(sp, False)
+    out.write(bytearray(body.encode()))
+    out.close()
     try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+        if fs.getScheme() == "file":
+            try:
+                os.link(sp.toUri().getPath(), fp.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        if fs.exists(fp):
+            return False
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(sp, fp, options)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+    finally:
+        if fs.exists(sp):
+            fs.delete(sp, False)
+
+
+def _read(spark: SparkSession, path: str, batches: list[str]) -> DataFrame | None:
+    if not batches:
+        return None
+    return spark.read.option("mergeSchema", "true").parquet(*[f"{path}/{_BATCHES}/{b}" for b in batches])
+
+
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """All committed rows; None before the first commit."""
+    return _read(spark, path, [b for _, b in committed(spark, path)])
 
 
 def conflicts(new: DataFrame, old: DataFrame | None, keys: list[str] = KEYS) -> DataFrame:
@@ -24,27 +90,67 @@ def conflicts(new: DataFrame, old: DataFrame | None, keys: list[str] = KEYS) ->
     return twice if old is None else twice.unionByName(new.select(*keys).join(old, keys, "left_semi")).distinct()
 
 
-def append_immutable(spark: SparkSession, new: DataFrame, path: str, keys: list[str] = KEYS) -> None:
-    """Append, or fail and write nothing when a key is there already.
+def _commit(spark: SparkSession, path: str, stage, attempts: int = 100) -> bool:
+    """Commit what ``stage(old)`` returns for the rows committed so far: a frame, or None for nothing to add.
 
-    The test and the append are two steps on a plain file table: one writer at a time.
+    ``stage`` is called again with what others committed since, when they were first.
     """
-    if not conflicts(new, read_or_none(spark, path), keys).isEmpty():
-        raise ValueError("the ledger holds some of these keys already")
-    new.write.mode("append").parquet(path)
+    seen: list[tuple[int, str]] = []
+    frame, name = None, ""
+    for _ in range(attempts):
+        now = committed(spark, path)
+        fresh = [b for v in now if v not in seen for b in [v[1]]]
+        if frame is None or fresh:
+            source = spark.read.parquet(f"{path}/{_BATCHES}/{name}") if frame is not None else None
+            frame = stage(_read(spark, path, fresh), source)
+            if frame is None:
+                return False
+            staged = uuid.uuid4().hex
+            frame.write.parquet(f"{path}/{_BATCHES}/{staged}")
+            if name:
+                _drop(spark, path, name)
+            name = staged
+        seen = now
+        if _create(spark, path, (now[-1][0] if now else 0) + 1, name):
+            return True
+    raise RuntimeError("the ledger was busy")
+
+
+def _drop(spark: SparkSession, path: str, batch: str) -> None:
+    fs, at = _fs(spark, f"{path}/{_BATCHES}/{batch}")
+    fs.delete(at, True)
+
+
+def append_immutable(spark: SparkSession, new: DataFrame, path: str, keys: list[str] = KEYS) -> None:
+    """Append, or fail and add nothing when a key is there already; of two writers of a key one fails."""
+
+    def stage(old: DataFrame | None, own: DataFrame | None) -> DataFrame:
+        rows = new if own is None else own
+        if not conflicts(rows, old, keys).isEmpty():
+            raise ValueError("the ledger holds some of these keys already")
+        return rows
+
+    _commit(spark, path, stage)
 
 
 def append_missing(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
     """Append the rows whose key is not there; nothing happens the second time.
 
-    Of new rows that share a key the smallest (by their other columns) is written.
+    Of new rows that share a key the smallest (by their other columns as text) is written.
     """
-    old, rest = read_or_none(spark, path), [c for c in new.columns if c not in keys]
+    rest = [c for c in new.columns if c not in keys]
     if rest:
-        new = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*").select(*new.columns)
+        one = F.min_by(F.struct(*rest), F.to_json(F.struct(*rest)))
+        new = new.groupBy(*keys).agg(one.alias("__r")).select(*keys, "__r.*").select(*new.columns)
     else:
         new = new.distinct()
-    (new if old is None else new.join(old, keys, "left_anti")).write.mode("append").parquet(path)
+
+    def stage(old: DataFrame | None, own: DataFrame | None) -> DataFrame | None:
+        rows = new if own is None else own
+        left = rows if old is None else rows.join(old, keys, "left_anti")
+        return None if left.isEmpty() else left
+
+    _commit(spark, path, stage)
 
 
 def keep_last(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

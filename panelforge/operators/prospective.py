@@ -1,7 +1,7 @@
 """The prospective loop: predict for a date once, keep it, score it when its label is known.
 
-State is three tables under one folder: ``predictions`` (append-only), ``skips`` (one row a
-date) and ``models`` (one ridge a date and feature set).  A date is predicted at most once;
+State is four tables under one folder: ``predictions`` and ``scores`` (append-only), ``skips``
+(one row a date) and ``models`` (one ridge a date and feature set).  A date is predicted at most once;
 every reason not to is written down.
 """
 
@@ -85,11 +85,16 @@ def backfill(spark: SparkSession, features: DataFrame, labels: DataFrame, weeks:
     return [predict(spark, features, labels, d, loop) for d in dates[-weeks:]]
 
 
-def score(spark: SparkSession, labels: DataFrame, cutoff: dt.date, loop: Loop) -> DataFrame:
-    """Kept predictions with the labels known before ``cutoff``; nothing is rewritten."""
-    kept = spark.read.parquet(loop.table("predictions"))
-    ripe = labels.withColumn("horizon", F.lit(loop.horizon)).withColumnRenamed(loop.entity, "ticker")
-    return ledger.score_mature(kept, ripe, cutoff)
+def score(spark: SparkSession, labels: DataFrame, cutoff: dt.date, loop: Loop) -> DataFrame | None:
+    """Kept predictions with the labels known before ``cutoff``, appended to ``scores`` once each; all scores so far.
+
+    Nothing is rewritten: a prediction that has its score keeps it.  None before the first.
+    """
+    kept = ledger.read_or_none(spark, loop.table("predictions"))
+    if kept is not None:
+        ripe = labels.withColumn("horizon", F.lit(loop.horizon)).withColumnRenamed(loop.entity, "ticker")
+        ledger.append_missing(spark, ledger.score_mature(kept, ripe, cutoff), loop.table("scores"), list(loop.keys))
+    return ledger.read_or_none(spark, loop.table("scores"))
 
 
 def report(spark: SparkSession, expected: DataFrame, loop: Loop) -> DataFrame:

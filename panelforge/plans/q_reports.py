@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeops as T
 from ..operators import asof, forecast, ledger, panel, prospective, reports
+from ..session import cut_lineage, shared_dir
 from . import base as B
 from . import q_forecast as QF
 from .registry import query
@@ -166,18 +167,35 @@ def news_coverage(spark, d):
 _LOOP_SQL = "ft AS (SELECT week + 1 AS as_of, count(*) AS n, count(*) FILTER (WHERE sparsity_tier IN ('dense', 'sparse')) AS ok FROM weekly WHERE ret IS NOT NULL GROUP BY week), lastw AS (SELECT *, row_number() OVER (ORDER BY as_of DESC) AS rn FROM ft)"
 
 
+def _looped(spark, d, dates: int):
+    """The loop over the last dates under the session's shared folder, its features and its labels; the state goes with the application."""
+    x = forecast.engineer(B.weekly(spark, d).where("ret IS NOT NULL")).withColumn("as_of", T.as_of(F.col("week")))
+    where = f"{shared_dir(spark)}/prospective-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    loop = prospective.Loop(where, {"A": ["mom_4w", "log_adv20"], "B": ["mom_4w", "log_adv20", "abn_att_all"]}, least_names=5, alpha=10.0)
+    feats = cut_lineage(x.select("ticker", "as_of", "sparsity_tier", "mom_4w", "log_adv20", "abn_att_all"))
+    labels = cut_lineage(QF._labels(spark, d).drop("week"))
+    prospective.backfill(spark, feats, labels, dates, loop)
+    return loop, feats, labels
+
+
 @query(B.sql("weekly", "SELECT as_of, CASE WHEN rn <= 2 AND ok >= 5 THEN n ELSE 0 END AS n_predictions, CASE WHEN rn > 2 THEN 'missing' WHEN ok >= 5 THEN 'predicted' ELSE 'skipped' END AS status FROM lastw WHERE rn <= 4", _LOOP_SQL))
 def prospective_status(spark, d):
     """The loop over the last two dates, then the status of the last four."""
-    x = forecast.engineer(B.weekly(spark, d).where("ret IS NOT NULL")).withColumn("as_of", T.as_of(F.col("week")))
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/panelforge"
-    loop = prospective.Loop(f"{where.rstrip('/')}/prospective-{uuid.uuid4().hex}", {"A": ["mom_4w", "log_adv20"], "B": ["mom_4w", "log_adv20", "abn_att_all"]}, least_names=5, alpha=10.0)
-    feats = x.select("ticker", "as_of", "sparsity_tier", "mom_4w", "log_adv20", "abn_att_all").persist()
-    labels = QF._labels(spark, d).drop("week").persist()
-    try:
-        prospective.backfill(spark, feats, labels, 2, loop)
-        dates = sorted((r[0] for r in feats.select("as_of").distinct().collect()), reverse=True)[:4]
-    finally:
-        feats.unpersist()
-        labels.unpersist()
+    loop, feats, _ = _looped(spark, d, 2)
+    dates = sorted((r[0] for r in feats.select("as_of").distinct().collect()), reverse=True)[:4]  # dates of a weekly panel
     return prospective.report(spark, spark.createDataFrame([(x,) for x in dates], "as_of date"), loop)
+
+
+@query(B.sql("weekly", """SELECT w.as_of, count(*) AS n_scored, round(avg(l.y_excess), 6) AS mean_excess FROM lastw w JOIN labels l USING (as_of) JOIN (SELECT ticker, week + 1 AS as_of FROM weekly WHERE ret IS NOT NULL) p USING (ticker, as_of)
+    WHERE w.rn <= 3 AND w.ok >= 5 AND l.label_status = 'ok' AND l.label_available_at < (SELECT max(as_of) FROM ft) GROUP BY w.as_of""", _LOOP_SQL, QF._lab(1)))
+def prospective_scores(spark, d):
+    """The loop over the last three dates, scored twice: each prediction has one score."""
+    loop, feats, labels = _looped(spark, d, 3)
+    cutoff = feats.agg(F.max("as_of")).first()[0]
+    for _ in range(2):
+        scores = prospective.score(spark, labels, cutoff, loop)
+    if scores is None:
+        return spark.createDataFrame([], "as_of date, n_scored long, mean_excess double")
+    return scores.groupBy("as_of").agg(F.count(F.lit(1)).alias("n_scored"), r6(F.avg("y_excess")).alias("mean_excess"))
