@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
-from . import evaluate, forecast, prefix
+from . import boosting, evaluate, forecast, prefix
 from .estimators import gram, logit
 
 
@@ -102,16 +102,16 @@ def logistic(train: DataFrame, features: list[str], y: str, c: float = 1.0):
     return p, vec, model
 
 
-def boosted_trees(train: DataFrame, features: list[str], y: str, iterations: int = 200, rate: float = 0.05, depth: int = 4, least_leaf: int = 100):
-    """Gradient-boosted trees; an approximation of histogram boosting with 15 leaves."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+def boosted_trees(train: DataFrame, features: list[str], y: str, iterations: int = 200, rate: float = 0.05, max_leaves: int = 15, least_leaf: int = 100, l2: float = 10.0) -> tuple[Prepared, boosting.Boosted]:
+    """Histogram boosting behind in-fold medians and missing indicators."""
     d = train.where(F.col(y).isNotNull())
     p = prepare(d, features)
-    vec = VectorAssembler(inputCols=p.columns, outputCol="__x")
-    gbt = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=iterations, stepSize=rate, maxDepth=depth, minInstancesPerNode=least_leaf, seed=42)
-    return p, vec, gbt.fit(vec.transform(p.apply(d)))
+    return p, boosting.fit(p.apply(d), p.columns, y, iterations, rate, max_leaves, least_leaf, l2)
+
+
+def predict_boosted(fitted: tuple[Prepared, boosting.Boosted], rows: DataFrame, keep: list[str], out: str = "pred") -> DataFrame:
+    p, model = fitted
+    return model.predict(p.apply(rows), keep, out)
 
 
 def platt(df: DataFrame, score: str, y: str, least: int = 100) -> tuple[float, float] | None:

@@ -446,6 +446,15 @@ def ridge_walk_forward_one(spark, d):
     return out.select("ticker", "as_of", "refit_at", r6("pred").alias("pred"), r6("y_excess").alias("y_excess"))
 
 
+@query()
+def boosted_forecast(spark, d):
+    """Histogram boosting on four-week labels known before 1998, ten trees; predictions of every later week."""
+    cols = ["mom_4w", "vol_60d", "log_adv20", "abn_att_all"]
+    xy = cut_lineage(_xy(spark, d, 4).where("as_of IS NOT NULL").select("ticker", "as_of", "label_end_at", "label_available_at", "label_status", "y_excess", *cols))
+    fitted = models.boosted_trees(forecast.mature(xy, "1998-01-05"), cols, "y_excess", iterations=10)
+    return models.predict_boosted(fitted, xy.where("as_of >= DATE '1998-01-05'"), ["ticker", "as_of", "y_excess"])
+
+
 _BH = """spans AS (SELECT week + 1 AS as_of, min(date) AS f, max(date) AS l FROM (SELECT date, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS week FROM bench) GROUP BY week),
 px AS (SELECT as_of, a.px AS px_in, b.px AS px_out FROM spans JOIN bench a ON a.date = f JOIN bench b ON b.date = l), buy AS (SELECT px_in * 1.002 AS price, floor(1e6 / (px_in * 1.002)) AS shares FROM px ORDER BY as_of LIMIT 1),
 hold AS (SELECT as_of, shares, price, px_out, shares * price AS gross, greatest(20.0, shares * price * (0.001425::DOUBLE * 0.6::DOUBLE)) AS fee, row_number() OVER (ORDER BY as_of) = 1 AS at_first FROM px, buy)"""
