@@ -221,6 +221,11 @@ def text_node(text_col: str):
     return F.xxhash64(text_col, F.col(text_col).isNull())
 
 
+def text_check(text_col: str):
+    """A second, independent hash, by which two texts of one node are told apart."""
+    return F.hash(text_col, F.col(text_col).isNull())
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """node, component over the fingerprint links and the links of shingle similarity.
 
@@ -239,14 +244,16 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     """``docs`` with one row of each component of near copies: the smallest id stays.
 
     Rows that repeat an id are judged by their texts, each on its own; of those in one
-    component the one with the smallest hash of its text stays.
+    component the one with the smallest hash of its text stays.  Should two different texts share
+    a node, one of them (by a second hash) stands for it, and rows of the other are kept.
     """
-    key = [row_key(id_col, text_col).alias("id"), text_node(text_col).alias("node")]
+    keys = ["id", "node", "check"]
+    key = [row_key(id_col, text_col).alias("id"), text_node(text_col).alias("node"), text_check(text_col).alias("check")]
     labels = similar_components(docs, words, similarity, text_col)
-    rows = materialize(docs.select(*key).groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")))
+    rows = materialize(docs.select(*key).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     # Most rows of a node bear one text; a text that fills a third of the table is dealt over parts.
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(labels, "node")
-    found = materialize(spread_join(rows.withColumnRenamed("n", "times"), sizes, "node", rows.count(), "id"))
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("main")).join(labels, "node")
+    found = materialize(spread_join(rows.withColumnRenamed("n", "times"), sizes, "node", rows.count(), "id").where("check = main"))
     first = found.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first")).select("first.*")
     said = found.join(first.withColumn("kept", F.lit(True)), ["id", "node"], "left")
-    return drop_keys(docs.select(F.struct("*").alias("row"), *key), ["id", "node"], said.where("kept IS NULL").select("id", "node"), said.where("kept AND times > 1").select("id", "node")).select("row.*")
+    return drop_keys(docs.select(F.struct("*").alias("row"), *key), keys, said.where("kept IS NULL").select(*keys), said.where("kept AND times > 1").select(*keys)).select("row.*")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm.langid import MIN_MARGIN, Classifier, fit, held_out
 
@@ -98,3 +99,13 @@ def test_planted_near_copies_go_and_clean_documents_stay(spark, sf):
     sets = {i: shingles(t) for i, t, *_ in rows}
     missed = [i for i in kept if i not in originals and len(sets[i] & sets[i - i % 1000]) >= 0.85 * len(sets[i] | sets[i - i % 1000])]
     assert len(missed) <= 2
+
+
+def test_texts_that_share_a_hash_are_both_kept(spark, monkeypatch):
+    """Two unlike texts of one node: neither is dropped as a copy of the other."""
+    from panelforge.llm import simhash
+
+    monkeypatch.setattr(simhash, "text_node", lambda c: F.lit(7).cast("bigint"))
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (2, "one two three four five six seven"), (3, "one two three four five six seven")]
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect())
+    assert 1 in kept and len(set(kept) & {2, 3}) >= 1
