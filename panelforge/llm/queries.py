@@ -15,7 +15,7 @@ from .mixing import mix
 from .packing import pack
 from .periodic import periodic_runs
 from .pii import pseudonymise
-from .quality import judge
+from .quality import BUCKETS, CLEAN_WEIGHT, MAX_REPEAT_PERCENT, MIN_WORDS, MIX, judge
 from .sharding import feistel_shards
 from .simhash import near_components
 from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, judge_urls
@@ -158,9 +158,52 @@ SELECT doc_id, source, unnest(range(1, copies + 1))::BIGINT AS copy, copies, rou
     {_H.format(f"'{MIX_SEED}|place|' || doc_id || '|' || copy")} AS shuffle_key FROM x WHERE copies > 0"""
 
 
+def _codes_sql() -> str:
+    floor_mean = "((s - ((s % n) + n) % n) // n)"
+    nearest = lambda books: f"SELECT vec_id, part, any_value(p.x) AS x, min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * 64 + e) AS de FROM p JOIN {books} b USING (part) GROUP BY vec_id, part"
+    refined = lambda found, books: f"SELECT part, e, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (SELECT part, e, list({floor_mean}::BIGINT ORDER BY i) AS x FROM (SELECT part, (de % 64)::INT AS e, i, sum(x[i]) AS s, count(*)::HUGEINT AS n FROM {found}, range(1, 1 + (SELECT max(len(x)) FROM p)) t(i) GROUP BY ALL) GROUP BY part, e) m USING (part, e)"
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT vec_id, k::INT AS part, v[k * (len(v) // 16) + 1:(k + 1) * (len(v) // 16)] AS x FROM kept, range(16) t(k)),
+ids AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::INT AS e FROM kept ORDER BY vec_id LIMIT 64),
+b0 AS MATERIALIZED (SELECT part, e, x FROM p JOIN ids USING (vec_id)),
+f0 AS MATERIALIZED ({nearest("b0")}), b1 AS MATERIALIZED ({refined("f0", "b0")}),
+f1 AS MATERIALIZED ({nearest("b1")}), b2 AS MATERIALIZED ({refined("f1", "b1")}),
+f2 AS MATERIALIZED ({nearest("b2")}),
+c AS (SELECT vec_id, string_agg(printf('%02x', (de % 64)::INT), '' ORDER BY part) AS code, sum(de // 64)::BIGINT AS error FROM f2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256 FROM c JOIN kept USING (vec_id)"""
+
+
+def _quality_sql() -> str:
+    ws = r"\x20\x09-\x0D"
+    wide = r"a-z0-9\x{80}-\x{10FFFF}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT doc_id, min((quality = 1 AND toxic = 0)::INT) FILTER (WHERE quality IS NOT NULL AND toxic IS NOT NULL) AS good, min((quality = 1)::INT) FILTER (WHERE quality IS NOT NULL) AS fine FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT rid, list_transform(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{wide}]+|[^{wide}{ws}]+'), lambda t: ('0x' || substr(md5(t), 1, 7))::BIGINT) AS h FROM d),
+n AS (SELECT rid, unnest(list_concat(list_transform(h, lambda x: x % {BUCKETS}), list_transform(list_zip(h[:-2], h[2:]), lambda z: (z[1] * {MIX} + z[2] + 1) % {BUCKETS}))) AS bucket FROM h),
+c AS (SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE good = 1) AS target FROM n JOIN d USING (rid) LEFT JOIN g USING (doc_id) GROUP BY bucket),
+t AS (SELECT sum(raw)::BIGINT AS raw_all, sum(target)::BIGINT AS target_all FROM c),
+r AS (SELECT bucket, CASE WHEN target_all > 0 THEN floor(ln(((target * raw_all)::DOUBLE / target_all / raw + 1.0::DOUBLE) / 2.0::DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT ELSE 0 END AS micro FROM c, t),
+sc AS (SELECT rid, floor(sum(micro)::DOUBLE / (count(*) * 1000))::BIGINT AS step FROM n JOIN r USING (bucket) GROUP BY rid),
+w AS (SELECT rid, regexp_extract_all(text, '[^{ws}]+') AS w FROM d),
+x AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i FROM x QUALIFY count(*) OVER (PARTITION BY rid, s) > 1), range(3) o(k) GROUP BY rid),
+b AS (SELECT rid, doc_id, len(w) AS n_words, length(regexp_replace(text, '[{ws}]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+    FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{ws}]')) AS l FROM d) JOIN w USING (rid) LEFT JOIN rep USING (rid)),
+j AS (SELECT b.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, step, fine FROM b LEFT JOIN sc USING (rid) LEFT JOIN g USING (doc_id)),
+e AS (SELECT step, sum(fine) AS fine, sum(1 - fine) AS poor FROM j WHERE NOT base_failed AND step IS NOT NULL AND fine IS NOT NULL GROUP BY step),
+k AS (SELECT arg_min(step, cost * 1000000 + o) AS cut, max(any_fine) AS any_fine FROM (SELECT step, row_number() OVER (ORDER BY step) AS o, sum(fine) OVER () AS any_fine,
+    {CLEAN_WEIGHT} * coalesce(sum(fine) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(poor) OVER (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS cost FROM e))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(any_fine IS NULL OR any_fine = 0 OR step >= cut, true) AS kept, step / 1000.0::DOUBLE AS score FROM j, k"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash_bktree, op2_multi_index_hashing, op3_zstd_language, op4_poisson_mixture, op5_feistel_pseudonyms, op6_lp_packing, op7_randomness_battery, op8_exact_dedup, op9_feistel_shards, op10_url_vocabulary, op11_vantage_codes, op12_harmonic_runs, op13_ngram_ratio)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixture": _MIX_SQL, "op8_exact_dedup": _EXACT_SQL, "op10_url_vocabulary": _url_sql()}
+    return {"op4_poisson_mixture": _MIX_SQL, "op8_exact_dedup": _EXACT_SQL, "op10_url_vocabulary": _url_sql(), "op11_vantage_codes": _codes_sql(), "op13_ngram_ratio": _quality_sql()}
