@@ -113,7 +113,7 @@ def block_bootstrap(weekly: DataFrame, x: str, order: str = "as_of", block: int
     spark = weekly.sparkSession
     plan = spark.range(reps).crossJoin(F.broadcast(size)).withColumn("b", F.greatest(F.lit(1), F.least(F.lit(block), F.col("n"))))
     plan = plan.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("b")) - 1)))
-    plan = plan.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.greatest(F.lit(1), F.col("n") - F.col("b") + 1)))
+    plan = plan.withColumn("start", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "id", "k")), 1, 15), 16, 10).cast("bigint"), F.greatest(F.lit(1), F.col("n") - F.col("b") + 1)))
     draws = plan.select("id", "n", "mean", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("i"), "k", "b", "start").where(F.col("k") * F.col("b") + F.col("i") < F.col("n"))
     means = draws.select("id", "n", "mean", (F.col("start") + F.col("i")).alias("pos")).join(F.broadcast(s), "pos").groupBy("id").agg(F.avg("x").alias("m"), F.first("n").alias("n"), F.first("mean").alias("mean"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeops as T
 from ..functions import windows as W
-from ..operators import backtest, evaluate, forecast, ledger, market, models, panel
+from ..operators import backtest, classify, evaluate, forecast, ledger, market, models, panel
 from ..session import cut_lineage
 from . import base as B
 from .q_market import benchmark
@@ -334,9 +334,16 @@ def non_overlap_subsample(spark, d):
     return evaluate.non_overlapping(evaluate.weekly_rank_ic(_pred(spark, d), "a", "y", 20)).select("as_of", "n", r6("ic").alias("ic"))
 
 
-@query()
+_BOOT = ["s AS (SELECT row_number() OVER (ORDER BY as_of) - 1 AS pos, ic AS x FROM i WHERE ic IS NOT NULL)", "z AS (SELECT count(*) AS n, avg(x) AS mean, greatest(1, least(8, count(*))) AS b FROM s)",
+    "dr AS (SELECT id, n, (('0x' || substr(md5('42|' || id || '|' || k), 1, 15))::BIGINT % greatest(1, n - b + 1)) + i AS pos FROM z, range(500) r(id), range(0, 1000) t(k), range(8) u(i) WHERE k < ceil(n / b::DOUBLE) AND i < b AND k * b + i < n)",
+    "mm AS (SELECT id, avg(x) AS m FROM dr JOIN s USING (pos) GROUP BY id)"]
+
+
+@query(B.sql("weekly", "SELECT (SELECT n FROM z) AS n, round((SELECT mean FROM z), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM mm HAVING count(*) > 0", _PRED, f"i AS ({_ic('a')})", *_BOOT))
 def block_bootstrap_ci(spark, d):
-    return evaluate.block_bootstrap(evaluate.weekly_rank_ic(_pred(spark, d), "a", "y", 20), "ic", reps=500)
+    """500 replicates whose block starts are hashed from replicate and block, so that they can be drawn again."""
+    out = evaluate.block_bootstrap(evaluate.weekly_rank_ic(_pred(spark, d), "a", "y", 20), "ic", reps=500)
+    return out.where("n IS NOT NULL").select("n", *[r6(c).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
 # ------------------------------------------------------------------ ledger
@@ -446,6 +453,14 @@ def ridge_walk_forward_one(spark, d):
     return out.select("ticker", "as_of", "refit_at", r6("pred").alias("pred"), r6("y_excess").alias("y_excess"))
 
 
+@query()
+def logistic_walk_forward(spark, d):
+    """Yearly refits of the chance to beat the benchmark; C by inner blocks, calibrated on their out-of-fold probabilities."""
+    cols = ["mom_4w", "vol_60d", "log_adv20", "abn_att_all"]
+    xy = cut_lineage(_xy(spark, d).where("as_of IS NOT NULL").select("ticker", "as_of", "label_end_at", "label_available_at", "label_status", F.col("y_outperform").cast("double").alias("y_outperform"), *cols))
+    return classify.walk_forward(xy, "y_outperform", _refits(spark, xy), {"A": cols[:3], "B": cols})
+
+
 @query()
 def boosted_forecast(spark, d):
     """Histogram boosting on four-week labels known before 1998, ten trees; predictions of every later week."""

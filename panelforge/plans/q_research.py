@@ -316,12 +316,23 @@ def two_way_fe_models(spark, d):
     return out.select("model", "status", "n_obs", "n_entities", "n_periods", "term", *[r6(c).alias(c) for c in ("beta", "se", "r2_within")])
 
 
-@query()
+#: Fifteen Newton steps of a three-parameter logistic regression; 3 x 3 systems by cofactors.
+_ADJ3 = {"c00": "h11 * h22 - h12 * h12", "c01": "h02 * h12 - h01 * h22", "c02": "h01 * h12 - h02 * h11", "c11": "h00 * h22 - h02 * h02", "c12": "h02 * h01 - h00 * h12", "c22": "h00 * h11 - h01 * h01"}
+_SUMS3 = "sum(y - p) AS g0, sum((y - p) * v) AS g1, sum((y - p) * r) AS g2, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * v) AS h01, sum(p * (1 - p) * r) AS h02, sum(p * (1 - p) * v * v) AS h11, sum(p * (1 - p) * v * r) AS h12, sum(p * (1 - p) * r * r) AS h22"
+_LOGIT = ["lg AS (SELECT (att_all > 2)::INT::DOUBLE AS y, ln(1 + CASE WHEN count(volume) OVER f >= 2 THEN avg(volume) OVER f END) AS v, ret_lag1 AS r FROM weekly WINDOW f AS (PARTITION BY ticker ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))",
+    "ld AS (SELECT * FROM lg WHERE v IS NOT NULL AND r IS NOT NULL)",
+    f"nt AS (SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 UNION ALL SELECT k + 1, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _ADJ3.items())} FROM (SELECT k, b0, b1, b2, {_SUMS3} FROM (SELECT k, b0, b1, b2, y, v, r, 1 / (1 + exp(-(b0 + b1 * v + b2 * r))) AS p FROM nt, ld WHERE k < 15) GROUP BY k, b0, b1, b2))))",
+    f"fi AS (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _ADJ3.items())} FROM (SELECT b0, b1, b2, {_SUMS3}, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta)))) AS ll, count(*) AS n, avg(y) AS m FROM (SELECT *, b0 + b1 * v + b2 * r AS eta, 1 / (1 + exp(-(b0 + b1 * v + b2 * r))) AS p FROM nt, ld WHERE k = 15) GROUP BY b0, b1, b2)))",
+    "te AS (SELECT u.term, u.beta, sqrt(u.c / det) AS se, 1 - ll / (n * (m * ln(m) + (1 - m) * ln(1 - m))) AS pseudo_r2, n FROM fi, LATERAL (VALUES ('const', b0, c00), ('lv', b1, c11), ('lr', b2, c22)) u(term, beta, c))"]
+
+
+@query(B.sql("weekly", "SELECT term, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 4) AS z, round(exp(beta), 6) AS odds_ratio, round(pseudo_r2, 6) AS pseudo_r2, n FROM te", *_LOGIT).replace("WITH ", "WITH RECURSIVE ", 1))
 def propensity_logit(spark, d):
     x = B.weekly(spark, d).withColumns({"y": (F.col("att_all") > 2).cast("int"), "lv": F.log1p("vol_lag4"), "lr": F.col("ret_lag1")})
     f = E.logit(x, "y", ["lv", "lr"])
-    rows = list(zip(f["term"], f["beta"], f["se"], f["z"], f["p"], f["odds_ratio"]))
-    return spark.createDataFrame(rows, "term string, beta double, se double, z double, p double, odds_ratio double").withColumns({"pseudo_r2": F.lit(float(f["pseudo_r2"])), "n": F.lit(f["n"])})
+    rows = list(zip(f["term"], f["beta"], f["se"], f["z"], f["odds_ratio"]))
+    out = spark.createDataFrame(rows, "term string, beta double, se double, z double, odds_ratio double")
+    return out.select("term", r6("beta").alias("beta"), r6("se").alias("se"), F.round("z", 4).alias("z"), r6("odds_ratio").alias("odds_ratio"), r6(F.lit(float(f["pseudo_r2"]))).alias("pseudo_r2"), F.lit(f["n"]).alias("n"))
 
 
 @query()
@@ -337,12 +348,39 @@ def tier_sector_rollup(spark, d):
     return B.weekly(spark, d).rollup("sparsity_tier", "sector").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ret")).alias("mean_ret"))
 
 
-@query()
+_LAGS = range(1, 5)
+_CO = ["r0 AS (SELECT ticker, week, ln(1 + att_all) AS y, ln(1 + volume::DOUBLE / 1e4 * 1e4) AS x1, abs(ret) AS x2, att_all FROM weekly WHERE volume IS NOT NULL AND ret IS NOT NULL)",
+    "r1 AS (SELECT ticker, week, y - avg(y) OVER g AS y, x1 - avg(x1) OVER g AS x1, x2 - avg(x2) OVER g AS x2, count(*) OVER g AS n, stddev_samp(att_all) OVER g AS sd FROM r0 WINDOW g AS (PARTITION BY ticker))",
+    "r2 AS (SELECT ticker, any_value(n) AS n, any_value(sd) AS sd, sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x2 * x2) AS c, sum(x1 * y) AS p, sum(x2 * y) AS q FROM r1 GROUP BY ticker)",
+    "r3 AS (SELECT ticker, n, a, b, c, CASE WHEN n >= 30 AND sd > 0 AND a * c - b * b > 1e-12 * a * c THEN a * c - b * b END AS det, p, q FROM r2)",
+    "r4 AS (SELECT *, (c * p - b * q) / det AS b1, (a * q - b * p) / det AS b2 FROM r3)",
+    "r5 AS (SELECT ticker, week, x1 * (y - b1 * x1 - b2 * x2) AS s1, x2 * (y - b1 * x1 - b2 * x2) AS s2 FROM r1 JOIN r4 USING (ticker))",
+    "r6 AS (SELECT *, " + ", ".join(f"lag({s}, {k}) OVER w AS {s}_{k}" for s in ("s1", "s2") for k in _LAGS) + " FROM r5 WINDOW w AS (PARTITION BY ticker ORDER BY week))",
+    "r7 AS (SELECT ticker, " + ", ".join(f"sum({i} * {j}) + " + " + ".join(f"{1 - k / 5} * coalesce(sum({i} * {j}_{k} + {j} * {i}_{k}), 0)" for k in _LAGS) + f" AS {m}" for i, j, m in (("s1", "s1", "m11"), ("s1", "s2", "m12"), ("s2", "s2", "m22"))) + " FROM r6 GROUP BY ticker)",
+    "r8 AS (SELECT ticker, n AS n_obs, b1, b1 / sqrt(greatest((c * c * m11 - 2 * c * b * m12 + b * b * m22) / (det * det), 1e-300)) AS t1, b2, b2 / sqrt(greatest((b * b * m11 - 2 * a * b * m12 + a * a * m22) / (det * det), 1e-300)) AS t2 FROM r4 JOIN r7 USING (ticker))"]
+
+
+@query(B.sql("weekly", "SELECT ticker, n_obs, round(b1, 6) AS beta_turnover, round(t1, 4) AS t_turnover, round(b2, 6) AS beta_absret, round(t2, 4) AS t_absret, coalesce(t1 > 1.96 OR t2 > 1.96, false) AS passed FROM r8", *_CO))
 def comovement_screen(spark, d):
     """Per-entity regressions of log attention on log turnover and absolute return."""
     from ..operators import specs
 
-    return specs.comovement(B.weekly(spark, d).withColumn("turnover", F.col("volume") / 1e4))
+    x = specs.comovement(B.weekly(spark, d).withColumn("turnover", F.col("volume") / 1e4))
+    return x.select("ticker", "n_obs", r6("beta_turnover").alias("beta_turnover"), F.round("t_turnover", 4).alias("t_turnover"), r6("beta_absret").alias("beta_absret"), F.round("t_absret", 4).alias("t_absret"), "passed")
+
+
+_FM2 = ["fm AS (SELECT week, ret_next AS y, att_all::DOUBLE AS u, ret AS v FROM weekly WHERE ret_next IS NOT NULL AND ret IS NOT NULL)",
+    "fs AS (SELECT week, covar_pop(u, u) AS a, covar_pop(u, v) AS b, covar_pop(v, v) AS c, covar_pop(u, y) AS p, covar_pop(v, y) AS q FROM fm GROUP BY week HAVING count(*) >= 20)",
+    "fb AS (SELECT week, unnest(['att_all', 'ret']) AS term, unnest([(c * p - b * q) / (a * c - b * b), (a * q - b * p) / (a * c - b * b)]) AS b FROM fs)",
+    "fe AS (SELECT *, b - avg(b) OVER (PARTITION BY term) AS e FROM fb)",
+    "fl AS (SELECT term, " + ", ".join(f"coalesce(sum(e * e{k}), 0) AS s{k}" for k in range(5)) + ", count(*) AS n, avg(b) AS mean FROM (SELECT term, b, e, e AS e0, " + ", ".join(f"lag(e, {k}) OVER (PARTITION BY term ORDER BY week) AS e{k}" for k in range(1, 5)) + " FROM fe) GROUP BY term)"]
+
+
+@query(B.sql("weekly", f"SELECT term, n, round(mean, 6) AS mean, round({_NWSE}, 6) AS se, round(mean / nullif({_NWSE}, 0), 4) AS t FROM fl WHERE n >= 10", *_FM2))
+def fama_macbeth_two(spark, d):
+    """Weekly cross-sections on attention and the week's return together."""
+    x = B.weekly(spark, d).withColumn("att_all", F.col("att_all").cast("double"))
+    return E.fama_macbeth(x, "ret_next", ["att_all", "ret"]).select("term", "n", r6("mean").alias("mean"), r6("se").alias("se"), F.round("t", 4).alias("t"))
 
 
 @query()
