@@ -6,7 +6,7 @@ non-equi join would compare every pair.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,6 +93,48 @@ def range_first_last(ranges: DataFrame, daily: DataFrame, key: str, start: str,
     return both.select(key, start, end, ret.alias("period_ret"))
 
 
+#: Levels of blocks of 1, 2, 4, ... rows: enough for a billion rows of one key.
+LEVELS = 30
+
+
+def range_aggregate(ranges: DataFrame, daily: DataFrame, key: str, start: str, end: str, value: str, date: str = "date") -> DataFrame:
+    """n, total, least and most of ``value`` over the rows in [start, end] of each distinct (key, start, end).
+
+    A key's rows are summed up in blocks of 1, 2, 4, ... rows; a range is put together from at
+    most two blocks of each size, found by an equi-join, so neither a long range nor many of
+    them meet every row.  ``n`` counts rows, the others pass over nulls (no value: null).
+    """
+    w = Window.partitionBy(key).orderBy(date)
+    rows = daily.select(key, F.col(date).alias("__d"), F.col(value).alias("v"), (F.row_number().over(w) - 1).cast("bigint").alias("p"))  # a key is one task
+    # Blocks of a size are built only for keys that are that long.
+    size = F.count(F.lit(1)).over(Window.partitionBy(key))
+    rows = rows.withColumn("__top", F.floor(F.log2(size)).cast("int"))
+    tall = rows.select(key, "p", "v", F.explode(F.sequence(F.lit(0), F.col("__top"))).alias("h"))
+    blocks = tall.groupBy(key, "h", F.expr("shiftright(p, h)").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
+    spans = ranges.select(key, start, end).distinct()
+    at = rows.groupBy(key, "__d").agg(F.struct(F.min("p").alias("first"), F.max("p").alias("last")).alias("__at"))
+    found = forward(spans, at.withColumnRenamed("__d", "__d1").withColumnRenamed("__at", "__f"), [key], start, "__d1", ["__f"], strict=False)
+    found = backward(found, at.withColumnRenamed("__d", "__d2").withColumnRenamed("__at", "__l"), [key], end, "__d2", ["__l"], strict=False)
+    inside = (F.col("__d1") <= F.col(end)) & (F.col("__d2") >= F.col(start))
+    found = found.select(key, start, end, F.when(inside, F.col("__f.first")).alias("i"), F.when(inside, F.col("__l.last") + 1).alias("j"))
+
+    kind = "array<struct<h:int,b:bigint>>"
+
+    def step(s: Column, h: Column) -> Column:
+        low, high = s["l"], s["r"]
+        odd_l, odd_r = (low < high) & (low % 2 == 1), (low < high) & (high % 2 == 1)
+        taken = lambda odd, b: F.when(odd, F.array(F.struct(h.alias("h"), b.alias("b")))).otherwise(F.array()).cast(kind)
+        out = F.concat(s["out"], taken(odd_l, low), taken(odd_r, high - 1))
+        return F.struct(F.shiftright(F.when(odd_l, low + 1).otherwise(low), 1).alias("l"), F.shiftright(F.when(odd_r, high - 1).otherwise(high), 1).alias("r"), out.alias("out"))
+
+    state = F.struct(F.col("i").alias("l"), F.col("j").alias("r"), F.array().cast(kind).alias("out"))
+    parts = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), state, step, lambda s: s["out"])
+    pieces = found.where("i IS NOT NULL AND i < j").select(key, start, end, F.explode(parts).alias("__p")).select(key, start, end, F.col("__p.h").alias("h"), F.col("__p.b").alias("b"))
+    sums = pieces.join(blocks, [key, "h", "b"]).groupBy(key, start, end).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+    none = spans.join(sums, [key, start, end], "left_anti").select(key, start, end, F.lit(0).cast("bigint").alias("n"), *[F.lit(None).cast(dict(sums.dtypes)[c]).alias(c) for c in ("total", "least", "most")])
+    return sums.unionByName(none)
+
+
 def dense_calendar(days: DataFrame, day: str = "date") -> DataFrame:
     """Every date of the calendar's span: d, is_trading, n_upto (sessions to d), next_day (first session after d).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..functions.quantiles import exact_percentiles
+from ..session import cut_lineage
 
 PRE, POST, CALIPER = 4, 8, 0.010
 RETURN_VARS = ("ar_m1", "ar_m2", "pre_car_34")
@@ -178,12 +179,46 @@ def candidates(windows: DataFrame, event: str, pre: int = PRE) -> DataFrame:
     return windows.withColumns({"treated": F.coalesce(F.col(event), F.lit(False)), "pre_car": total(0, pre), "ar_m1": p[pre - 1], "ar_m2": p[pre - 2], "pre_car_34": total(0, pre - 2)})
 
 
+#: Controls in a box of the nearest-neighbour search, and the slack that rounding may need.
+BOX_ROWS, ROUNDING = 32, 1e-9
+
+
+def nearest_pairs(t: DataFrame, c: DataFrame, group: list[str], zs: list[str], k: int, entity: str = "ticker") -> DataFrame:
+    """(group, t_entity, c_entity): every pair that can be among the ``k`` nearest of its treated row; exact.
+
+    Controls of a block are packed into boxes of about ``BOX_ROWS`` by sorting along three
+    variables in turn.  A treated row first meets its nearest box, whose k-th distance bounds
+    the search, then only boxes that come as near.
+    """
+    w = lambda part, z: Window.partitionBy(*group, *part).orderBy(f"c_{z}", f"c_{entity}")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    own = c.select(*group, f"c_{entity}", *[f"c_{z}" for z in zs]).withColumn("__m", F.ceil(F.pow(n / max(BOX_ROWS, 2 * k), F.lit(1 / min(3, len(zs))))))
+    part: list[str] = []
+    for i, z in enumerate(zs[:3]):
+        size = F.count(F.lit(1)).over(Window.partitionBy(*group, *part))
+        own = own.withColumn(f"__s{i}", F.floor((F.row_number().over(w(part, z)) - 1) * F.col("__m") / size))
+        part = [*part, f"__s{i}"]
+    boxes = own.groupBy(*group, *part).agg(F.count(F.lit(1)).alias("__n"), *[F.min(f"c_{z}").alias(f"__lo_{z}") for z in zs], *[F.max(f"c_{z}").alias(f"__hi_{z}") for z in zs])
+    gap = lambda z: F.greatest(F.col(f"__lo_{z}") - F.col(f"t_{z}"), F.col(f"t_{z}") - F.col(f"__hi_{z}"), F.lit(0.0))
+    total = lambda f: sum((f(z) * f(z) for z in zs[1:]), f(zs[0]) * f(zs[0]))
+    asks = t.select(*group, f"t_{entity}", *[f"t_{z}" for z in zs])
+    met = asks.join(boxes.select(*group, *part, "__n", *[f"__{e}_{z}" for e in ("lo", "hi") for z in zs]), list(group)).withColumn("__gap", total(gap)).select(*asks.columns, *part, "__n", "__gap")
+    first = met.groupBy(*asks.columns).agg(F.min_by(F.struct(*part, "__n"), F.struct("__gap", *part)).alias("__b")).select(*asks.columns, "__b.*")
+    square = total(lambda z: F.col(f"t_{z}") - F.col(f"c_{z}"))
+    seen = first.where(F.col("__n") >= k).join(own, [*group, *part]).withColumn("__d", square)
+    bound = seen.groupBy(*group, f"t_{entity}").agg(F.get(F.sort_array(F.collect_list("__d")), F.lit(k - 1)).alias("__k"))  # the rows of one box
+    # Without k rows in the nearest box nothing is ruled out.
+    close = met.join(bound, [*group, f"t_{entity}"], "left").where(F.col("__k").isNull() | (F.col("__gap") <= F.col("__k") * (1 + ROUNDING) + ROUNDING**2))
+    return close.join(own.select(*group, *part, f"c_{entity}"), [*group, *part]).select(*group, f"t_{entity}", f"c_{entity}")
+
+
 def match_pairs(cands: DataFrame, k: int = 1, caliper: float | None = CALIPER, group=("week", "sparsity_tier"), variables=MATCH_VARS, entity: str = "ticker") -> DataFrame:
     """k nearest controls of every treated row in its block, inside the caliper.
 
     Distances are over block z-scores (missing counts 0).  With a caliper, treated and
     controls meet only in equal or adjacent cells of one caliper's width of the first
-    return variable, so a block is never compared pair by pair.
+    return variable; without one, only where the nearest can be (``nearest_pairs``).  A block
+    is never compared pair by pair.
     """
     g = Window.partitionBy(*group)
     rows = cands.dropna(subset=list(variables))
@@ -192,17 +227,16 @@ def match_pairs(cands: DataFrame, k: int = 1, caliper: float | None = CALIPER, g
     cols = [*group, entity, *z, *variables, "path"]
     t = rows.where("treated").select(*[F.col(c).alias(c if c in group else f"t_{c}") for c in cols])
     c = rows.where("NOT treated").select(*[F.col(x).alias(x if x in group else f"c_{x}") for x in cols])
-    keys = list(group)
     if caliper is not None:
         cell = lambda col: F.floor(F.col(col) / caliper)
         t = t.withColumn("__cell", F.explode(F.array(*[cell(f"t_{variables[0]}") + d for d in (-1, 0, 1)])))
-        c = c.withColumn("__cell", cell(f"c_{variables[0]}"))
-        keys.append("__cell")
-    pairs = t.join(c, keys)
-    if caliper is not None:
+        pairs = t.join(c.withColumn("__cell", cell(f"c_{variables[0]}")), [*group, "__cell"])
         for v in RETURN_VARS:
             if v in variables:
                 pairs = pairs.where(F.abs(F.col(f"t_{v}") - F.col(f"c_{v}")) <= caliper)
+    else:
+        t, c = cut_lineage(t), cut_lineage(c)
+        pairs = nearest_pairs(t, c, list(group), list(z), k, entity).join(t, [*group, f"t_{entity}"]).join(c, [*group, f"c_{entity}"])
     square = sum(((F.col(f"t_z{i}") - F.col(f"c_z{i}")) ** 2 for i in range(1, len(variables))), (F.col("t_z0") - F.col("c_z0")) ** 2)
     pairs = pairs.withColumn("distance", F.sqrt(square))
     w = Window.partitionBy(*group, f"t_{entity}").orderBy("distance", f"c_{entity}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeops as T
 from ..functions import windows as W
-from ..operators import backtest, classify, evaluate, forecast, ledger, market, models, panel
+from ..operators import asof, backtest, classify, evaluate, forecast, ledger, market, models, panel
 from ..session import cut_lineage
 from . import base as B
 from .q_market import benchmark
@@ -55,6 +55,15 @@ def labels_4w(spark, d):
     return _label_out(_labels(spark, d, 4))
 
 
+@query(B.sql("bars", "SELECT l.ticker, l.entry_at, l.label_end_at, count(d.date) AS n, round(sum(d.value), 2) AS total, round(min(d.close), 6) AS least, round(max(d.close), 6) AS most FROM (SELECT DISTINCT ticker, entry_at, label_end_at FROM labels) l LEFT JOIN daily d ON d.ticker = l.ticker AND d.date BETWEEN l.entry_at AND l.label_end_at GROUP BY ALL", _lab(4)))
+def holding_range_stats(spark, d):
+    """Sessions, traded value and the range of closes over each four-week holding period."""
+    spans, daily = _labels(spark, d, 4).select("ticker", "entry_at", "label_end_at"), B.daily(spark, d)
+    price = asof.range_aggregate(spans, daily, "ticker", "entry_at", "label_end_at", "close").select("ticker", "entry_at", "label_end_at", "n", r6("least").alias("least"), r6("most").alias("most"))
+    value = asof.range_aggregate(spans, daily, "ticker", "entry_at", "label_end_at", "value").select("ticker", F.col("entry_at").alias("__a"), F.col("label_end_at").alias("__b"), F.round("total", 2).alias("total"))
+    return price.join(value.withColumnRenamed("ticker", "__t"), (F.col("ticker") == F.col("__t")) & F.col("entry_at").eqNullSafe(F.col("__a")) & F.col("label_end_at").eqNullSafe(F.col("__b"))).drop("__t", "__a", "__b")
+
+
 @query(B.sql("bars", "SELECT label_status, count(*) AS n FROM labels GROUP BY 1", _lab(1)))
 def label_status_counts(spark, d):
     return _labels(spark, d).groupBy("label_status").agg(F.count(F.lit(1)).alias("n"))

@@ -223,6 +223,17 @@ def _candidates(spark, d):
     return R.candidates(w, "event")
 
 
+_NEAR = _PAIR.replace("pr AS (", "nr AS (", 1)
+_NEAR = _NEAR[: _NEAR.index("WHERE t.nc >= 2")] + "WHERE t.nc >= 2) WHERE rank <= 2)"
+
+
+@query(B.sql("weekly", "SELECT week, sparsity_tier, t_ticker, c_ticker, rank, round(distance, 6) AS distance FROM nr", _AR, _WIN, _CAND, _ZC, _NEAR))
+def matched_pairs_nearest(spark, d):
+    """The two nearest controls without a caliper."""
+    x = R.match_pairs(_candidates(spark, d), k=2, caliper=None, variables=_MV)
+    return x.select("week", "sparsity_tier", "t_ticker", "c_ticker", "rank", r6("distance").alias("distance"))
+
+
 def _pairs(spark, d):
     return R.match_pairs(_candidates(spark, d), k=2, caliper=0.5, variables=_MV)
 
