@@ -51,6 +51,13 @@ def brier(df: DataFrame, p: str, y: str) -> DataFrame:
     return df.dropna(subset=[p, y]).agg(F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"), F.count(F.lit(1)).alias("n"))
 
 
+def paired_brier(df: DataFrame, a: str, b: str, y: str, group: list[str] | None = None) -> DataFrame:
+    """Brier scores of two forecasts on the rows that have both, and how much better the second is."""
+    square = lambda p: F.avg((F.col(p) - F.col(y)) ** 2)
+    out = df.dropna(subset=[a, b, y]).groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("n"), square(a).alias("brier_a"), square(b).alias("brier_b"))
+    return out.withColumn("delta_b_minus_a", F.col("brier_a") - F.col("brier_b"))
+
+
 def reliability(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Uniform bins, a probability on an edge in the lower one; empty bins are absent."""
     b = F.greatest(F.ceil(F.col(p) * bins) - 1, F.lit(0)).cast("int")

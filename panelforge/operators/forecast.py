@@ -191,17 +191,17 @@ def year_plans(spark, years: list[int]) -> DataFrame:
 
 def folds(xy: DataFrame, years: list[int], horizon: str = "1w", tiers: list[str] | None = None, y: str = "y_excess", entity: str = "ticker") -> DataFrame:
     """Train pools before each year's cutoff and the year's test rows with their reasons."""
-    rows = xy.where(F.col("sparsity_tier").isin(tiers)) if tiers else xy
-    plans = F.broadcast(year_plans(xy.sparkSession, years))  # one row a year
-    c = F.col("train_cutoff")
-    known = (F.col("label_end_at") < c) & (F.col("label_available_at") < c) & (F.col("label_status") == "ok") & F.col(y).isNotNull() & (F.col("as_of") < c)
+    rows = xy.where(F.col("sparsity_tier").isin(*tiers)) if tiers else xy
+    role = lambda split, year, reason: F.struct(F.lit(split).alias("split"), F.lit(year).alias("outer_year"), reason.alias("exclude_reason"))
     why = F.when(F.coalesce(F.col("label_status"), F.lit("")) != "ok", F.coalesce("label_status", F.lit("label_not_ok"))).when(F.col(y).isNull(), "label_immature_or_missing").otherwise("")
-    # One pass over the rows: each meets the plans it trains or tests, and says which.
-    known, tested = F.coalesce(known, F.lit(False)), F.coalesce(F.year("as_of") == F.col("outer_year"), F.lit(False))
-    role = lambda split, reason: F.struct(F.lit(split).alias("split"), reason.alias("exclude_reason"))
-    met = rows.join(plans, known | tested)
-    roles = F.explode(F.array_compact(F.array(F.when(known, role("train", F.lit(""))), F.when(tested, role("test", why))))).alias("role")
-    return met.select(F.concat(F.lit("outer_"), F.col("outer_year")).alias("fold_id"), "as_of", entity, F.lit(horizon).alias("horizon"), roles, "outer_year").select("fold_id", "as_of", entity, "horizon", "role.split", "role.exclude_reason", "outer_year")
+    # The years are few: each row says which of them it trains and which it tests, without a join.
+    roles = []
+    for year in years:
+        c = T.first_monday(F.lit(year))
+        known = (F.col("label_status") == "ok") & F.col(y).isNotNull() & (F.col("label_end_at") < c) & (F.col("label_available_at") < c) & (F.col("as_of") < c)
+        roles += [F.when(known, role("train", year, F.lit(""))), F.when(F.year("as_of") == year, role("test", year, why))]
+    met = rows.select("as_of", entity, F.explode(F.array_compact(F.array(*roles))).alias("role"))
+    return met.select(F.concat(F.lit("outer_"), F.col("role.outer_year")).alias("fold_id"), "as_of", entity, F.lit(horizon).alias("horizon"), "role.split", "role.exclude_reason", "role.outer_year")
 
 
 def inner_blocks(weeks: list[dt.date], n_blocks: int = 3, size: int = 26, least: int = 104) -> list[tuple[dt.date, dt.date, dt.date]]:

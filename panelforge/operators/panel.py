@@ -142,5 +142,16 @@ def bulk_flag(bridge: DataFrame, article: str, entity: str, most: int) -> DataFr
     return bridge.join(n, article).withColumn("is_bulk", F.col("n_entities") > most)
 
 
+def bulk_sensitivity(bridge: DataFrame, article: str, thresholds: list[int], entity: str = "ticker") -> DataFrame:
+    """threshold, entity, week, att_all: attention rebuilt for every bulk threshold in one pass.
+
+    ``bridge``: article, entity, week.  A mention counts under each threshold that its article's
+    number of entities does not exceed.
+    """
+    rows = bulk_flag(bridge, article, entity, max(thresholds))
+    under = F.explode(F.filter(F.array(*[F.lit(k) for k in sorted(thresholds)]), lambda k: F.col("n_entities") <= k)).alias("threshold")
+    return rows.select(entity, "week", under).groupBy("threshold", entity, "week").agg(F.count(F.lit(1)).alias("att_all"))
+
+
 def regime_flags(panel: DataFrame, cutovers: dict[str, str]) -> DataFrame:
     return panel.withColumns({n: (F.col("week") >= F.lit(d).cast("date")) for n, d in cutovers.items()})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.quantiles import exact_percentiles
+from . import specs
 
 
 def check(name: str, requirement: str, observed: Column, passed: Column) -> Column:
@@ -165,12 +167,41 @@ def title_agreement_rates(parsed: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ data of the figures
+def placed(totals: DataFrame, entity: str, total: str = "total") -> DataFrame:
+    """``totals`` with ``place`` from 1: the largest total first, ties by entity; numbered by size class, not in one task.
+
+    A class holds totals of one power of two; the classes before it shift its numbers.
+    """
+    cls = F.coalesce(F.floor(F.log2(F.col(total) + 1)), F.lit(-1)).cast("int")
+    rows = totals.withColumn("__c", cls).withColumn("__r", F.row_number().over(Window.partitionBy("__c").orderBy(F.desc(total), entity)))
+    sizes = rows.groupBy("__c").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__c", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # 65 classes
+    return rows.join(F.broadcast(before), "__c").withColumn("place", (F.col("__r") + F.col("__b")).cast("int")).drop("__c", "__r", "__b")
+
+
 def coverage_map(panel: DataFrame, entity: str = "ticker") -> DataFrame:
     """entity, week, log count, and the entity's place by total count."""
     cells = panel.groupBy(entity, "week").agg(F.sum("att_all").alias("att"))
-    total = cells.groupBy(entity).agg(F.sum("att").alias("total"))
-    place = total.select(entity, F.row_number().over(Window.orderBy(F.desc("total"), entity)).alias("place"))  # one row an entity
-    return cells.join(F.broadcast(place), entity).select(entity, "week", F.log1p(F.coalesce("att", F.lit(0))).alias("log_att"), "place")
+    place = placed(cells.groupBy(entity).agg(F.sum("att").alias("total")), entity).select(entity, "place")
+    return cells.join(place, entity).select(entity, "week", F.log1p(F.coalesce("att", F.lit(0))).alias("log_att"), "place")
+
+
+def bin_betas(panel: DataFrame, x: str, level: str, n_bins: int = 5, controls=(), **kw) -> DataFrame:
+    """bin, beta, se, mean_level, n_obs: the effect of ``x`` by bins of equal counts of ``level``.
+
+    Edges are exact percentiles, equal values share the lower bin; all bins are one battery.
+    """
+    rows = panel.where(F.col(level).isNotNull())
+    edges = exact_percentiles(rows, [level], [i / n_bins for i in range(1, n_bins)]).first()["q"]
+    at = F.lit(n_bins)
+    for i in reversed(range(n_bins - 1)):
+        at = F.when(F.col(level) <= F.lit(edges[i]), i + 1).otherwise(at)
+    rows = rows.withColumn("bin", at)
+    means = rows.groupBy("bin").agg(F.avg(level).alias("mean_level"))
+    battery = [specs.Spec(f"bin{i}", "ret_next", (x,), where=F.col("bin") == i) for i in range(1, n_bins + 1)]
+    fits = [(i, f.params.get(x), f.stderr.get(x), f.n_obs) for i, f in enumerate(specs.run(rows, battery, controls, **kw), 1) if f.status == "OK"]
+    out = panel.sparkSession.createDataFrame(fits, "bin int, beta double, se double, n_obs long")
+    return out.join(means, "bin").select("bin", "beta", "se", "mean_level", "n_obs")
 
 
 def weekly_totals(panel: DataFrame) -> DataFrame:

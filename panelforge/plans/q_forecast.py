@@ -298,6 +298,13 @@ def brier_reliability(spark, d):
     return evaluate.reliability(x, "p", "hit").withColumns({"mean_pred": r6("mean_pred"), "frac_pos": r6("frac_pos")}).join(b, "bin")
 
 
+@query(B.sql("weekly", "SELECT year(as_of) AS year, count(*) AS n, round(avg((pa - hit) * (pa - hit)), 6) AS brier_a, round(avg((pb - hit) * (pb - hit)), 6) AS brier_b, round(avg((pa - hit) * (pa - hit)) - avg((pb - hit) * (pb - hit)), 6) AS delta_b_minus_a FROM (SELECT as_of, round(1 / (1 + exp(-3 * a)), 4) AS pa, round(1 / (1 + exp(-3 * b)), 4) AS pb, (y > 0)::INT AS hit FROM pd WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL) GROUP BY 1", _PRED))
+def paired_brier_by_year(spark, d):
+    p = lambda c: F.round(1 / (1 + F.exp(-3 * F.col(c))), 4)
+    x = _pred(spark, d).dropna(subset=["a", "b", "y"]).select(F.year("as_of").alias("year"), p("a").alias("pa"), p("b").alias("pb"), (F.col("y") > 0).cast("int").alias("hit"))
+    return evaluate.paired_brier(x, "pa", "pb", "hit", ["year"]).select("year", "n", *[r6(c).alias(c) for c in ("brier_a", "brier_b", "delta_b_minus_a")])
+
+
 @query(B.sql("weekly", """SELECT count(*) AS n, round(avg(hit), 6) AS positive_rate, round(avg((p - hit) * (p - hit)), 6) AS brier, round((avg((p >= 0.5)::INT) FILTER (WHERE hit = 1) + avg((p < 0.5)::INT) FILTER (WHERE hit = 0)) / 2, 6) AS balanced_accuracy,
     round((sum(r) FILTER (WHERE hit = 1) - sum(hit) * (sum(hit) + 1) / 2) / (sum(hit) * (count(*) - sum(hit))), 6) AS roc_auc FROM (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM pb)""", _PROB))
 def auc_balanced_accuracy(spark, d):

@@ -169,6 +169,13 @@ def bulk_threshold_grid(spark, d):
     return one.select("n", rows.alias("r")).select("r.threshold", "r.n_kept", r6(F.col("r.n_kept") / F.col("n")).alias("share"))
 
 
+@query(B.sql("lines", "SELECT k AS threshold, ticker, week, count(*) AS att_all FROM (SELECT DISTINCT article, ticker, week FROM lines) JOIN (SELECT article, count(DISTINCT ticker) AS n FROM lines GROUP BY article) USING (article), (VALUES (2), (4), (6), (999)) t(k) WHERE n <= k GROUP BY ALL"))
+def bulk_threshold_attention(spark, d):
+    """Weekly attention under every threshold of entities an article."""
+    x = B.lines(spark, d).select("article", "ticker", T.week_of(F.col("date")).alias("week")).distinct()
+    return panel.bulk_sensitivity(x, "article", [2, 4, 6, 999])
+
+
 @query(B.sql("lines", "SELECT m::DATE AS month FROM (SELECT unnest(generate_series((SELECT min(m) FROM f)::TIMESTAMP, (SELECT max(m) FROM f)::TIMESTAMP, INTERVAL 1 MONTH)) AS m) WHERE m::DATE NOT IN (SELECT m FROM f)", "f AS (SELECT DISTINCT date_trunc('month', date)::DATE AS m FROM lines WHERE month(date) % 5 <> 0 AND ticker % 3 = 0)"))
 def month_gaps(spark, d):
     return research.month_gaps(B.lines(spark, d).where("month(date) % 5 <> 0 AND ticker % 3 = 0"), F.col("date"))

@@ -87,6 +87,29 @@ def vendor_prices(spark: SparkSession, path: str, events: DataFrame | None = Non
     return out if events is None else market.adjust(out, market.factors(events))
 
 
+#: Numbers may come as text; they are coerced, and what is no number is missing.
+BENCHMARK = "data array<struct<date:string,stock_id:string,Trading_Volume:string,Trading_money:string,open:string,max:string,min:string,close:string>>"
+
+
+def benchmark_prices(spark: SparkSession, path: str, events: DataFrame | None = None) -> DataFrame:
+    """One series of daily prices from a JSON document, adjusted by ``events`` (ticker, date, factor); zero prices are missing.
+
+    Factors outside (0.3, 1.05] are errors of the source and are left out.  No row is an error.
+    """
+    from ..operators import market
+
+    d = _json(spark, path, BENCHMARK).select(F.explode("data").alias("d"))
+    number = lambda c: F.col(f"d.{c}").try_cast("double")
+    price = lambda c, name: F.nullif(number(c), F.lit(0.0)).alias(name)
+    rows = d.select(F.col("d.stock_id").alias("ticker"), F.to_date("d.date").alias("date"), price("open", "open"), price("max", "high"), price("min", "low"), price("close", "close"), number("Trading_Volume").alias("volume"), number("Trading_money").alias("value"))
+    if rows.isEmpty():
+        raise FileNotFoundError(f"no benchmark prices in {path}")
+    if events is None:
+        return rows.withColumns({"adj_factor": F.lit(1.0), "adj_open": F.col("open"), "adj_close": F.col("close")})
+    own = events.where("factor > 0.3 AND factor <= 1.05").select("ticker", "date", F.lit("exright").alias("kind"), F.lit(1.0).alias("before_price"), F.col("factor").alias("after_price"))
+    return market.adjust(rows, market.factors(own))
+
+
 def month_revenue(spark: SparkSession, path: str) -> DataFrame:
     d = _json(spark, path, REVENUE).select(F.explode("data").alias("d"))
     month = F.make_date("d.revenue_year", "d.revenue_month", F.lit(1))
