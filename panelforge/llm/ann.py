@@ -15,7 +15,9 @@ Plan.  ``w``, ``r`` and ``m`` are fitted: of the combinations that find ``TARGET
 sample's true neighbours, the one with the least work (values asked for, index rows, pairs
 met) at the table's size.  Where neighbours are close, the index excludes nearly all rows;
 the further they are from being close (isotropic vectors of many dimensions), the larger
-the share of rows that any index must meet, and the plan shows it: see ``Plan.share``.
+the share of rows that any index must meet, and the plan shows it: see ``Plan.share``.  A plan
+that meets ``LOUD`` of the rows or more (a small table, whose comparison is cheap, or a sample
+for which no combination finds the target, where every row is met) is reported by a warning.
 
 Equal vectors are one entry of the index: of each, the ``k`` + 1 smallest identifiers are
 kept, which is all that a ranking by (distance, identifier) can return.  Values that many
@@ -32,6 +34,7 @@ other columns pass by.
 from __future__ import annotations
 
 import itertools
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import comb
@@ -57,6 +60,8 @@ ROTATION_ROWS, ITERATIONS = 4096, 12
 #: Work of a pair that is met, against that of a value asked for or a row of the index.
 PAIR_WORK = 4
 QUERY_BLOCK = 8192
+#: Share of the rows met from which a plan says so.
+LOUD = 0.5
 
 
 @dataclass
@@ -256,6 +261,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
     picked = rows.where(h.cast("double") / 2.0**64 + 0.5 <= min(1.0, 1.2 * SAMPLE_ROWS / total)).select(h.alias("h"), "v").orderBy("h").limit(SAMPLE_ROWS).select("v")
     asked = materialize(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")))
     codes, plan = learn(np.array([r["v"] for r in picked.collect()], np.float64).reshape(-1, dim), k, total, asked.count(), target)
+    if plan.share >= LOUD:
+        warnings.warn(f"the index excludes little: a query meets {plan.share:.0%} of {total} vectors ({plan.parts} substrings of {plan.width} bits, {plan.near} bits apart)", stacklevel=2)
     entries = coded(rows, codes, plan, dim)
     same = Window.partitionBy("h", "g").orderBy("id")
     members = materialize(entries.withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= k + 1).withColumn("rep", F.first("id").over(same)))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import queries as Q
@@ -91,3 +92,10 @@ def test_hot_values_and_a_common_vector(spark, monkeypatch):
     assert set(got) == set(want)
     assert sum(len({*got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
     assert sorted(got[300]) == [v for v, _ in want[300]]
+
+
+def test_a_plan_that_excludes_little_says_so(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(120)]
+    with pytest.warns(UserWarning, match="excludes little"):
+        neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, k=3).count()
