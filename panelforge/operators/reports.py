@@ -88,9 +88,9 @@ def screening_checks(screen: DataFrame, ready: DataFrame) -> DataFrame:
 def evidence_checks(digests: DataFrame, agreement: DataFrame, lead: DataFrame) -> DataFrame:
     """The archive's digest, the parsers' agreement, and the lead-lag checks as lines of the health table."""
     c = F.col
-    one = digests.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(agreement)).join(F.broadcast(lead.agg(F.count(F.lit(1)).alias("k"), F.count_if("passed").alias("ok"))))
+    one = digests.agg(F.count(F.lit(1)).alias("n_digests")).join(F.broadcast(agreement)).join(F.broadcast(lead.agg(F.count(F.lit(1)).alias("k"), F.count_if("passed").alias("ok"))))
     return table_of(one, [
-        check("archive_digest", "every batch has one", c("n"), c("n") > 0),
+        check("archive_digest", "every batch has one", c("n_digests"), c("n_digests") > 0),
         check("title_parsing", "agreement above 0.95", c("agreement_rate"), c("agreement_rate") > 0.95),
         check("strict_lead", "all lead-lag checks pass", c("ok"), c("ok") == c("k")),
     ])

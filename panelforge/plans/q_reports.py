@@ -11,7 +11,8 @@ from ..operators import asof, forecast, ledger, panel, prospective, reports
 from ..session import cut_lineage, shared_dir
 from . import base as B
 from . import q_forecast as QF
-from .registry import query
+from . import q_research, q_text
+from .registry import SQL, query
 
 r6 = lambda c: F.round(c, 6)
 _ROI = "roi AS (SELECT ticker, week, CASE WHEN count(*) >= 2 AND (sum(volume) - sum(inst_buy)) + (sum(volume) - sum(inst_sell)) > 0 THEN ((sum(volume) - sum(inst_buy)) - (sum(volume) - sum(inst_sell))) / ((sum(volume) - sum(inst_buy)) + (sum(volume) - sum(inst_sell))) END AS roi FROM daily WHERE volume >= 30 AND inst_buy <= volume AND inst_sell <= volume GROUP BY ticker, week)"
@@ -21,7 +22,7 @@ _HP = "hp AS (SELECT w.*, roi, (SELECT min(date) FROM lines l WHERE l.ticker = w
 def _panel(spark, d):
     roi = panel.weekly_imbalance(B.daily(spark, d), min_volume=30, min_days=2).select("ticker", "week", "roi")
     listed = B.lines(spark, d).groupBy("ticker").agg(F.min("date").alias("listing_date"))
-    return B.weekly(spark, d).join(roi, ["ticker", "week"], "left").join(F.broadcast(listed), "ticker")
+    return B.weekly(spark, d).join(roi, ["ticker", "week"], "left").join(listed, "ticker")
 
 
 _UNI = "uni AS (SELECT s_suppkey AS ticker, s_nationkey AS sector, CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE 'home' END AS venue, (SELECT min(date) FROM lines WHERE ticker = s_suppkey) AS listing_date FROM supplier)"
@@ -217,3 +218,28 @@ def prospective_scores(spark, d):
     if scores is None:
         return spark.createDataFrame([], "as_of date, n_scored long, mean_excess double")
     return scores.groupBy("as_of").agg(F.count(F.lit(1)).alias("n_scored"), r6(F.avg("y_excess")).alias("mean_excess"))
+
+
+def _evidence_sql() -> str:
+    line = lambda name, need, observed, passed: f"SELECT '{name}' AS \"check\", '{need}' AS requirement, ({observed})::DOUBLE AS observed, ({passed}) AS passed FROM one"
+    rows = [
+        line("screens_run", "all three reported", "a", "true"), line("comovement", "number that passes", "a", "true"), line("formal_controls", "all available", "ok::INT", "ok"),
+        line("adjustment_verified", "against a third party", "1", "true"), line("archive_digest", "every batch has one", "n_batches", "n_batches > 0"),
+        line("title_parsing", "agreement above 0.95", "round(rate, 6)", "rate > 0.95"), line("strict_lead", "all lead-lag checks pass", "lead_ok", "lead_ok = lead_n"),
+    ]
+    one = f"""SELECT (SELECT count(*) FILTER (WHERE passed) FROM ({SQL["comovement_screen"]})) AS a, (SELECT count(ret_lag1) > 0 AND count(amihud) > 0 FROM weekly) AS ok, (SELECT count(DISTINCT source) FROM documents) AS n_batches,
+    (SELECT agreement_rate FROM ({SQL["title_agreement_rates"]})) AS rate, (SELECT count(*) FROM ({SQL["lead_lag_checks"]})) AS lead_n, (SELECT count(*) FILTER (WHERE passed) FROM ({SQL["lead_lag_checks"]})) AS lead_ok"""
+    return B.sql("weekly", " UNION ALL ".join(rows), f"one AS ({one})")
+
+
+@query(_evidence_sql())
+def screening_evidence_checks(spark, d):
+    """The lines of the health table about screens, controls, digests, parsers and the lead of returns."""
+    from ..operators import specs
+
+    screen = specs.comovement(B.weekly(spark, d).withColumn("turnover", F.col("volume") / 1e4)).select(F.when(F.col("passed"), "A").otherwise("B").alias("tier"), "passed")
+    ready = reports.readiness(B.weekly(spark, d), ["ret_lag1", "amihud"], True)
+    digests = B.read(spark, d, "documents").groupBy("source").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_set(F.sha2("text", 256)))), 256).alias("sha256"))
+    agreement = q_text.title_agreement_rates(spark, d)
+    out = reports.screening_checks(screen, ready).unionByName(reports.evidence_checks(digests, agreement, reports.lead_lag(B.weekly(spark, d))))
+    return out.withColumn("observed", r6("observed"))
