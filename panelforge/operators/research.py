@@ -21,6 +21,13 @@ def finite_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[W.finite(F.col(c)).alias(c) if dict(df.dtypes)[c] in ("double", "float") else F.col(c) for c in cols]).dropna()
 
 
+def top_rows(df: DataFrame, keys: list[tuple[str, bool, bool]], n: int) -> DataFrame:
+    """The first ``n`` rows by ``keys`` (column, descending, nulls first) with their ``place``; a bounded sort, no global window."""
+    order = [getattr(F.col(c), ("desc" if down else "asc") + ("_nulls_first" if first else "_nulls_last"))() for c, down, first in keys]
+    top = df.orderBy(*order).limit(n)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
 def standardise(df: DataFrame, cols: list[str], group: list[str]) -> DataFrame:
     """z-scores within a group; no spread gives null, rows without a group are dropped."""
     g = Window.partitionBy(*group)

@@ -278,6 +278,12 @@ def top_fraction_metrics(spark, d):
     return evaluate.top_fraction(_pred(spark, d), "a", "y").withColumns({"mean_excess": r6("mean_excess"), "outperform_rate": r6("outperform_rate")})
 
 
+@query(B.sql("weekly", "SELECT as_of, ticker, a, rank FROM (SELECT as_of, ticker, a, row_number() OVER (PARTITION BY as_of ORDER BY a DESC, ticker) AS rank FROM pd WHERE a IS NOT NULL) WHERE rank <= 20", _PRED))
+def watchlist(spark, d):
+    """The twenty best predictions of every date."""
+    return ledger.watchlist(_pred(spark, d).where("a IS NOT NULL"), "a", 20).select("as_of", "ticker", "a", "rank")
+
+
 @query(B.sql("weekly", "SELECT round(avg(abs(y - a)), 6) AS mae, round(sqrt(avg((y - a) * (y - a))), 6) AS rmse, count(*) AS n FROM pd WHERE a IS NOT NULL AND y IS NOT NULL", _PRED))
 def regression_errors(spark, d):
     return evaluate.regression_errors(_pred(spark, d), "a", "y").withColumns({"mae": r6("mae"), "rmse": r6("rmse")})

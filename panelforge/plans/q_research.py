@@ -125,6 +125,13 @@ def balanced_twoway_fe_beta(spark, d):
     return dm.agg(r6(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("beta"), F.count(F.lit(1)).alias("n"))
 
 
+@query(B.sql("weekly", "SELECT ticker, week, round(ret, 6) AS ret, volume, row_number() OVER (ORDER BY sparsity_tier ASC NULLS FIRST, ret DESC NULLS LAST, week ASC NULLS LAST, ticker ASC NULLS LAST) AS place FROM weekly QUALIFY place <= 200"))
+def top_by_tier_and_return(spark, d):
+    """Two hundred rows: those without a tier first, then by tier; the best returns first, missing ones last."""
+    keys = [("sparsity_tier", False, True), ("ret", True, False), ("week", False, False), ("ticker", False, False)]
+    return R.top_rows(B.weekly(spark, d), keys, 200).select("ticker", "week", r6("ret").alias("ret"), "volume", "place")
+
+
 @query(B.sql("weekly", "SELECT ticker, count(*) AS n, round(regr_slope(ret_next, att_all), 6) AS slope, round(regr_intercept(ret_next, att_all), 6) AS intercept FROM weekly WHERE ret_next IS NOT NULL GROUP BY ticker HAVING count(*) >= 30"))
 def ols_by_entity(spark, d):
     return E.slopes(B.weekly(spark, d), "ret_next", "att_all", ["ticker"], 30).select("ticker", "n", r6("slope").alias("slope"), r6("intercept").alias("intercept"))
