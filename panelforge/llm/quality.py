@@ -46,26 +46,27 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Tokens whose hash a task remembers.
 REMEMBERED = 1 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A run of ASCII letters, digits and signs beyond ASCII, or a run of other ASCII signs.
-_TOKEN = re.compile(r"[a-z0-9\x80-\U0010FFFF]+|[^a-z0-9\x80-\U0010FFFF\x20\x09-\x0D]+")
+#: A run of ASCII letters, digits and signs beyond ASCII, or a run of other ASCII signs; of UTF-8,
+#: in which all bytes of a sign beyond ASCII are above 0x7F.
+_TOKEN = re.compile(rb"[a-z0-9\x80-\xFF]+|[^a-z0-9\x80-\xFF\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 class _Hashes(dict):
     """Token to 28 bits of its MD5, remembered up to a bound."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        h = int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16)
+        h = int.from_bytes(hashlib.md5(token).digest()[:4], "big") >> 4
         self[token] = h
         return h
 
 
 def buckets_of(text: str | None, known: _Hashes) -> np.ndarray:
     """Bucket of every unigram and bigram of a text's tokens."""
-    tokens = _TOKEN.findall(text.translate(_UPPER)) if text else []
+    tokens = _TOKEN.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else []
     h = np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
     return np.concatenate([h % BUCKETS, (h[:-1] * MIX + h[1:] + 1) % BUCKETS])
 
@@ -76,11 +77,17 @@ def repeated_words(words: list[str], window: int = 3) -> int:
     if n <= window:
         return 0
     known: dict[str, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=n)
+    ids = np.fromiter(map(known.setdefault, words, range(n)), dtype=np.int64, count=n)
     code = ids[: n - window + 1]
-    for i in range(1, window):  # ranks of pairs keep the codes below n ** 2
-        code = np.unique(code * len(known) + ids[i : n - window + 1 + i], return_inverse=True)[1]
-    again = np.bincount(code)[code] > 1
+    for i in range(1, window):
+        if n ** (i + 1) >= 1 << 63:  # ranks keep the codes of very long texts below 64 bits
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * n + ids[i : n - window + 1 + i]
+    ordered = np.sort(code)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
+    again = np.isin(code, twice)
     covered = np.zeros(n, dtype=bool)
     for i in range(window):
         covered[i : n - window + 1 + i] |= again
@@ -120,12 +127,25 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, raw, target = _Hashes(), np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+
+        def count(some: list[list[np.ndarray]]) -> None:
+            for good, own in enumerate(some):
+                n = np.bincount(np.concatenate(own), minlength=BUCKETS) if own else 0
+                np.add(raw, n, out=raw)
+                if good:
+                    np.add(target, n, out=target)
+
         for batch in batches:
+            some: list[list[np.ndarray]] = [[], []]  # not trusted, trusted
+            size = 0
             for text, good in zip(batch.column(0), batch.column(1).to_pylist()):
-                own = np.bincount(buckets_of(text.as_py(), known), minlength=BUCKETS)
-                raw += own
-                if good == 1:
-                    target += own
+                own = buckets_of(text.as_py(), known)
+                some[good == 1].append(own)
+                size += len(own)
+                if size > 1 << 20:
+                    count(some)
+                    some, size = [[], []], 0
+            count(some)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
