@@ -115,23 +115,23 @@ def logit(df: DataFrame, y: str, xs: list[str], rounds: int = 25, tol: float = 1
 def wild_cluster_bootstrap(df: DataFrame, y: str, x: str, extra: str, cluster: str = "week", reps: int = 999, seed: int = 20260905) -> dict:
     """Rademacher signs per cluster on restricted residuals; p-value of ``extra``.
 
-    Clusters are summed first; a replicate is then a product of signs with one small row
-    per cluster.
+    Clusters are summed to one number each, their part in the coefficient; a replicate is the
+    sum of these under signs that are hashed from seed, replicate and cluster, so that it can be
+    drawn again anywhere.  Clusters and replicates meet in one small aggregate.
     """
     d = df.select(cluster, y, x, extra).dropna().withColumn("__one", F.lit(1.0))
     cols = ["__one", x, extra]
     g, b, _, n = gram(d, cols, y)
     inv = np.linalg.pinv(g)
     beta = inv @ b
-    g0, b0 = g[:2, :2], b[:2]
-    beta0 = np.linalg.lstsq(g0, b0, rcond=None)[0]
+    beta0 = np.linalg.lstsq(g[:2, :2], b[:2], rcond=None)[0]
     fitted = float(beta0[0]) + float(beta0[1]) * F.col(x)
-    per = d.withColumns({"__f": fitted, "__u": F.col(y) - fitted}).groupBy(cluster).agg(*[F.sum(F.col(c) * F.col("__f")).alias(f"f{i}") for i, c in enumerate(cols)], *[F.sum(F.col(c) * F.col("__u")).alias(f"u{i}") for i, c in enumerate(cols)]).orderBy(cluster).collect()
-    f = np.array([[r[f"f{i}"] for i in range(3)] for r in per]).sum(axis=0)
-    u = np.array([[r[f"u{i}"] for i in range(3)] for r in per])
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(reps, len(per)))
-    stars = (f + signs @ u) @ inv.T
-    return {"beta": float(beta[2]), "p": float((np.abs(stars[:, 2]) >= abs(beta[2])).mean()), "n_clusters": len(per), "n_obs": n, "n_boot": reps}
+    pull = sum((float(v) * F.col(c) for v, c in zip(inv[2], cols)), F.lit(0.0))
+    per = d.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(pull * fitted).alias("f"), F.sum(pull * (F.col(y) - fitted)).alias("u"))
+    even = F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "c")), 1, 1).isin(*"02468ace")
+    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).groupBy("rep").agg(F.sum("f").alias("f"), F.sum(F.when(even, F.col("u")).otherwise(-F.col("u"))).alias("s"), F.count(F.lit(1)).alias("k"))
+    r = drawn.agg(F.avg((F.abs(F.col("f") + F.col("s")) >= abs(float(beta[2]))).cast("double")).alias("p"), F.max("k").alias("k")).first()
+    return {"beta": float(beta[2]), "p": r["p"], "n_clusters": r["k"] or 0, "n_obs": n, "n_boot": reps}
 
 
 # ------------------------------------------------------------------ Student t

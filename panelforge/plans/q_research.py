@@ -353,11 +353,19 @@ def propensity_logit(spark, d):
     return out.select("term", r6("beta").alias("beta"), r6("se").alias("se"), F.round("z", 4).alias("z"), r6("odds_ratio").alias("odds_ratio"), r6(F.lit(float(f["pseudo_r2"]))).alias("pseudo_r2"), F.lit(f["n"]).alias("n"))
 
 
-@query()
+_WILD = ["wd AS (SELECT week::VARCHAR AS c, ret_next AS y, att_all::DOUBLE AS x, att_all * (att_weekend > 0)::INT::DOUBLE AS e FROM weekly WHERE ret_next IS NOT NULL)",
+    "wg AS (SELECT count(*)::DOUBLE AS h00, sum(x) AS h01, sum(e) AS h02, sum(x * x) AS h11, sum(x * e) AS h12, sum(e * e) AS h22, sum(y) AS g0, sum(x * y) AS g1, sum(e * y) AS g2 FROM wd)",
+    f"wi AS (SELECT *, c02 / det AS i0, c12 / det AS i1, c22 / det AS i2, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a0, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS a1, (c02 * g0 + c12 * g1 + c22 * g2) / det AS beta FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _ADJ3.items())} FROM wg)))",
+    "wc AS (SELECT c, sum((i0 + i1 * x + i2 * e) * (a0 + a1 * x)) AS f, sum((i0 + i1 * x + i2 * e) * (y - a0 - a1 * x)) AS u FROM wd, wi GROUP BY c)",
+    "wr AS (SELECT rep, sum(f) AS f, sum(CASE WHEN contains('02468ace', substr(md5('20260905|' || rep || '|' || c), 1, 1)) THEN u ELSE -u END) AS s, count(*) AS k FROM wc, range(1, 1000) r(rep) GROUP BY rep)"]
+
+
+@query(B.sql("weekly", "SELECT round((SELECT beta FROM wi), 6) AS beta, round(avg((abs(f + s) >= abs((SELECT beta FROM wi)))::INT), 6) AS p, max(k) AS n_clusters, (SELECT h00::BIGINT FROM wg) AS n_obs, 999 AS n_boot FROM wr", *_WILD))
 def wild_cluster_bootstrap(spark, d):
     x = B.weekly(spark, d).withColumns({"a": F.col("att_all").cast("double"), "inter": F.col("att_all") * (F.col("att_weekend") > 0).cast("double")})
     f = E.wild_cluster_bootstrap(x, "ret_next", "a", "inter")
-    return spark.createDataFrame([(f["beta"], f["p"], f["n_clusters"], f["n_obs"], f["n_boot"])], "beta double, p double, n_clusters long, n_obs long, n_boot long")
+    out = spark.createDataFrame([(f["beta"], f["p"], f["n_clusters"], f["n_obs"], f["n_boot"])], "beta double, p double, n_clusters long, n_obs long, n_boot long")
+    return out.withColumns({"beta": r6("beta"), "p": r6("p")})
 
 
 @query(B.sql("weekly", "SELECT sparsity_tier, sector, count(*) AS n, round(avg(ret), 6) AS mean_ret FROM weekly GROUP BY ROLLUP (sparsity_tier, sector)"))
