@@ -88,9 +88,13 @@ def fama_macbeth(df: DataFrame, y: str, xs: list[str], time: str = "week", least
 
 
 def logit(df: DataFrame, y: str, xs: list[str], rounds: int = 25, tol: float = 1e-9) -> dict:
-    """Unpenalised logistic regression by Newton steps on distributed sums."""
+    """Unpenalised logistic regression by Newton steps on distributed sums.
+
+    ``status`` is FAILED when the steps had not come below ``tol`` after ``rounds`` of them, as
+    where the classes can be separated; the numbers are then those of the last step.
+    """
     d = df.select(F.col(y).cast("double").alias("__y"), *xs).dropna().withColumn("__one", F.lit(1.0)).cache()
-    cols, beta, h = ["__one", *xs], np.zeros(len(xs) + 1), None
+    cols, beta, h, settled = ["__one", *xs], np.zeros(len(xs) + 1), None, False
     try:
         for _ in range(rounds):
             eta = sum((float(b) * F.col(c) for b, c in zip(beta, cols)), F.lit(0.0))
@@ -100,7 +104,7 @@ def logit(df: DataFrame, y: str, xs: list[str], rounds: int = 25, tol: float = 1
             h = np.array([[row[f"h{i}_{j}"] for j in range(len(cols))] for i in range(len(cols))])
             delta = np.linalg.lstsq(h, grad, rcond=None)[0]
             beta = beta + delta
-            if np.abs(delta).max() < tol:
+            if settled := bool(np.abs(delta).max() < tol):
                 break
         eta = sum((float(b) * F.col(c) for b, c in zip(beta, cols)), F.lit(0.0))
         ll, n, m = d.agg(F.sum(F.col("__y") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))), F.count(F.lit(1)), F.avg("__y")).first()
@@ -109,7 +113,7 @@ def logit(df: DataFrame, y: str, xs: list[str], rounds: int = 25, tol: float = 1
     se = np.sqrt(np.diag(np.linalg.pinv(h)))
     null = n * (m * math.log(m) + (1 - m) * math.log(1 - m)) if 0 < m < 1 else float("nan")
     z = beta / se
-    return {"term": ["const", *xs], "beta": beta.tolist(), "se": se.tolist(), "z": z.tolist(), "p": [math.erfc(abs(v) / math.sqrt(2)) for v in z], "odds_ratio": np.exp(beta).tolist(), "pseudo_r2": 1 - ll / null, "n": n}
+    return {"status": "OK" if settled else "FAILED", "term": ["const", *xs], "beta": beta.tolist(), "se": se.tolist(), "z": z.tolist(), "p": [math.erfc(abs(v) / math.sqrt(2)) for v in z], "odds_ratio": np.exp(beta).tolist(), "pseudo_r2": 1 - ll / null, "n": n}
 
 
 def wild_cluster_bootstrap(df: DataFrame, y: str, x: str, extra: str, cluster: str = "week", reps: int = 999, seed: int = 20260905) -> dict:

@@ -72,10 +72,12 @@ def vendor_csv(spark: SparkSession, path: str) -> DataFrame:
     ``ticker`` is the file's name without its ending.
     """
     raw = spark.read.csv(path, header=True, enforceSchema=False)
-    named = raw.toDF(*[c.lstrip("﻿").strip().lower().replace(" ", "_") for c in raw.columns])
-    rows = named.withColumns({"ticker": F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1), "date": F.to_date("date"), "__at": F.monotonically_increasing_id()})
-    w = Window.partitionBy("ticker", "date").orderBy("__at")
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__at")
+    clean = [F.col(f"`{c}`").alias(c.lstrip("﻿").strip().lower().replace(" ", "_")) for c in raw.columns]
+    # A file may be read in pieces: rows are ordered by the piece's place in it, then within the piece.
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(?:\.[A-Za-z]+)?$", 1)
+    rows = raw.select(*clean, name.alias("ticker"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")).withColumn("date", F.to_date("date"))
+    w = Window.partitionBy("ticker", "date").orderBy("__block", "__at")
+    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__block", "__at")
 
 
 def vendor_prices(spark: SparkSession, path: str, events: DataFrame | None = None) -> DataFrame:

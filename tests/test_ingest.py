@@ -52,3 +52,18 @@ def test_benchmark_document(spark, tmp_path):
     put(tmp_path, "e.json", {"data": []})
     with pytest.raises(FileNotFoundError):
         readers.benchmark_prices(spark, str(tmp_path / "e.json"))
+
+
+def test_first_row_of_a_date_stays_in_a_file_read_in_pieces(spark, tmp_path):
+    lines = ["Date,Close"] + [f"2024-01-{1 + k % 28:02d},{k}" for k in range(4000)]
+    put(tmp_path, "2330.csv", "\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = readers.vendor_csv(spark, str(tmp_path / "2330.csv"))
+        got = {str(r.date): (r.ticker, int(r.close)) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == {f"2024-01-{d:02d}": ("2330", d - 1) for d in range(1, 29)}
