@@ -148,6 +148,8 @@ def numbering_buckets(n: int) -> int:
     return max(1024, min(65_536, n // 2048))
 
 
+#: Buckets whose offsets are summed in one task, where groups have their own.
+BLOCK_BUCKETS = 4096
 #: Equal rows that are numbered together, by one explode.
 RUN_ROWS = 4096
 
@@ -166,9 +168,16 @@ def dense_numbers(df: DataFrame, out: str, buckets: int | Column, within: list[s
     names, order = df.columns, order or df.columns
     runs = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
     runs = materialize(runs.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")))
-    w_off = Window.partitionBy(*within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = runs.groupBy(*within, "__bucket").agg(F.sum("__n").alias("__size"))
-    offsets = sizes.select(*within, "__bucket", F.coalesce(F.sum("__size").over(w_off), F.lit(0)).alias("__before"))
+    sizes = runs.groupBy(*within, "__bucket").agg(F.sum("__n").alias("__size")).withColumn("__block", F.floor(F.col("__bucket") / BLOCK_BUCKETS))
+    ahead = lambda part, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*within, *part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if within:
+        # Two levels: buckets within their block, blocks within their group; no task gets all buckets of a hot group.
+        blocks = sizes.groupBy(*within, "__block").agg(F.sum("__size").alias("__sum"))
+        blocks = blocks.select(*within, "__block", ahead([], "__block", "__sum").alias("__base"))
+        offsets = sizes.withColumn("__own", ahead(["__block"], "__bucket", "__size")).join(blocks, [*within, "__block"])
+        offsets = offsets.select(*within, "__bucket", (F.col("__base") + F.col("__own")).alias("__before"))
+    else:
+        offsets = sizes.select("__bucket", ahead([], "__bucket", "__size").alias("__before"))
     rest = [c for c in names if c not in order]
     w_run = Window.partitionBy(*within, "__bucket").orderBy(*order, *rest).rowsBetween(Window.unboundedPreceding, -1)
     numbered = runs.withColumn("__from", F.coalesce(F.sum("__n").over(w_run), F.lit(0)))

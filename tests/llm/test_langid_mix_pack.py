@@ -216,3 +216,15 @@ def test_plan_uses_every_piece_once(seed):
     assert (done == counts).all()
     assert sequences <= best_fit_decreasing(np.repeat(np.arange(257), counts)[::-1], 256) * 1.005 + 1
     assert not best_fit(np.zeros(257, np.int64), 256) and not fractional(np.zeros(257, np.int64), 256)
+
+
+def test_numbers_within_groups_by_two_levels_of_offsets(spark, monkeypatch):
+    """Gapless in every group, one of which holds most rows, with blocks of few buckets."""
+    from panelforge.llm import common
+
+    monkeypatch.setattr(common, "BLOCK_BUCKETS", 3)
+    d = spark.range(3000).select(F.when(F.col("id") % 5 > 0, 0).otherwise(F.col("id") % 7).alias("g"), F.col("id").alias("x")).unionByName(spark.range(40).select(F.lit(0).cast("long").alias("g"), F.lit(-1).cast("long").alias("x")))
+    got = defaultdict(list)
+    for r in common.dense_numbers(d, "n", 50, within=["g"]).collect():
+        got[r.g].append(r.n)
+    assert sum(map(len, got.values())) == 3040 and all(sorted(v) == list(range(len(v))) for v in got.values())
