@@ -122,3 +122,26 @@ _PARTS = {"lines": [_LINES], "daily": [_LINES, _DAILY], "adjusted": [_LINES, _DA
 def sql(relation: str, select: str, *more: str) -> str:
     """``select`` over a relation's common table expressions."""
     return "WITH " + ",\n".join([*_PARTS[relation], *more]) + "\n" + select
+
+
+def twoway_sql(rows: str) -> list[str]:
+    """Relations bb (model, beta, xx, n) and bv (model, m) of one-regressor fits with both effects and two-way clusters.
+
+    ``rows`` gives model, ticker, week, y, x; the effects go by 80 rounds of alternating means, so
+    the statement must be WITH RECURSIVE.
+    """
+    return [
+        f"bz AS ({rows})",
+        "bi AS (SELECT 0 AS k, model, ticker, week, y, x FROM bz WHERE y IS NOT NULL AND x IS NOT NULL UNION ALL SELECT k + 1, model, ticker, week, y - avg(y) OVER t, x - avg(x) OVER t FROM (SELECT k, model, ticker, week, y - avg(y) OVER i AS y, x - avg(x) OVER i AS x FROM bi WHERE k < 80 WINDOW i AS (PARTITION BY model, ticker)) WINDOW t AS (PARTITION BY model, week))",
+        "bm AS (SELECT * FROM bi WHERE k = 80)", "bb AS (SELECT model, sum(x * y) / sum(x * x) AS beta, sum(x * x) AS xx, count(*) AS n FROM bm GROUP BY model)",
+        "bs AS (SELECT model, ticker, week, x * (y - beta * x) AS s FROM bm JOIN bb USING (model))",
+        "bc AS (SELECT model, 1 AS sign, sum(s) AS s FROM bs GROUP BY model, ticker UNION ALL SELECT model, 1, sum(s) FROM bs GROUP BY model, week UNION ALL SELECT model, -1, s FROM bs)",
+        "bv AS (SELECT model, sum(sign * s * s) AS m FROM bc GROUP BY model)",
+    ]
+
+
+TWOWAY_SE = "sqrt(greatest(m, 0)) / xx * sqrt(n / (n - 1.0::DOUBLE))"
+
+
+def recursive(statement: str) -> str:
+    return statement.replace("WITH ", "WITH RECURSIVE ", 1)

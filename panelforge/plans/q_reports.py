@@ -107,17 +107,12 @@ def figure_coverage_map(spark, d):
     return reports.coverage_map(B.attention(spark, d)).withColumn("log_att", r6("log_att"))
 
 
-#: One regressor by bin, both effects by 80 rounds of alternating means.
 _BIN = ["lv AS (SELECT *, CASE WHEN att_mean_level_52 <= q[1] THEN 1 WHEN att_mean_level_52 <= q[2] THEN 2 ELSE 3 END AS bin FROM weekly, (SELECT [quantile_cont(att_mean_level_52, 1/3.0::DOUBLE), quantile_cont(att_mean_level_52, 2/3.0::DOUBLE)] AS q FROM weekly WHERE sparsity_tier IS NOT NULL) WHERE att_mean_level_52 IS NOT NULL AND sparsity_tier IS NOT NULL)",
-    "bz AS (SELECT bin, ticker, week, ret_next AS y, (abn_att_all - avg(abn_att_all) OVER g) / nullif(stddev_samp(abn_att_all) OVER g, 0) AS x FROM lv WINDOW g AS (PARTITION BY bin, sparsity_tier))",
-    "bi AS (SELECT 0 AS k, bin, ticker, week, y, x FROM bz WHERE y IS NOT NULL AND x IS NOT NULL UNION ALL SELECT k + 1, bin, ticker, week, y - avg(y) OVER t, x - avg(x) OVER t FROM (SELECT k, bin, ticker, week, y - avg(y) OVER i AS y, x - avg(x) OVER i AS x FROM bi WHERE k < 80 WINDOW i AS (PARTITION BY bin, ticker)) WINDOW t AS (PARTITION BY bin, week))",
-    "bm AS (SELECT * FROM bi WHERE k = 80)", "bb AS (SELECT bin, sum(x * y) / sum(x * x) AS beta, sum(x * x) AS xx, count(*) AS n FROM bm GROUP BY bin)",
-    "bs AS (SELECT bin, ticker, week, x * (y - beta * x) AS s FROM bm JOIN bb USING (bin))",
-    "bc AS (SELECT bin, 1 AS sign, sum(s) AS s FROM bs GROUP BY bin, ticker UNION ALL SELECT bin, 1, sum(s) FROM bs GROUP BY bin, week UNION ALL SELECT bin, -1, s FROM bs)",
-    "bv AS (SELECT bin, sum(sign * s * s) AS m FROM bc GROUP BY bin)", "bl AS (SELECT bin, avg(att_mean_level_52) AS mean_level FROM lv GROUP BY bin)"]
+    *B.twoway_sql("SELECT bin AS model, ticker, week, ret_next AS y, (abn_att_all - avg(abn_att_all) OVER g) / nullif(stddev_samp(abn_att_all) OVER g, 0) AS x FROM lv WINDOW g AS (PARTITION BY bin, sparsity_tier)"),
+    "bl AS (SELECT bin AS model, avg(att_mean_level_52) AS mean_level FROM lv GROUP BY bin)"]
 
 
-@query(B.sql("weekly", "SELECT bin, round(beta, 6) AS beta, round(sqrt(greatest(m, 0)) / xx * sqrt(n / (n - 1.0::DOUBLE)), 6) AS se, round(mean_level, 6) AS mean_level, n AS n_obs FROM bb JOIN bv USING (bin) JOIN bl USING (bin)", *_BIN).replace("WITH ", "WITH RECURSIVE ", 1))
+@query(B.recursive(B.sql("weekly", f"SELECT model AS bin, round(beta, 6) AS beta, round({B.TWOWAY_SE}, 6) AS se, round(mean_level, 6) AS mean_level, n AS n_obs FROM bb JOIN bv USING (model) JOIN bl USING (model)", *_BIN)))
 def figure_bin_betas(spark, d):
     """The effect of abnormal attention on the next return by terciles of the usual level."""
     x = B.weekly(spark, d).where("sparsity_tier IS NOT NULL")

@@ -409,6 +409,21 @@ def fama_macbeth_two(spark, d):
     return E.fama_macbeth(x, "ret_next", ["att_all", "ret"]).select("term", "n", r6("mean").alias("mean"), r6("se").alias("se"), F.round("t", 4).alias("t"))
 
 
+_HORIZONS = (1, 2, 3)
+_REV = B.twoway_sql("SELECT model, ticker, week, CASE model WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END AS y, x FROM (SELECT ticker, week, " + ", ".join(f"CASE WHEN lead(week, {h}) OVER w = week + {7 * h} THEN lead(ret, {h}) OVER w END AS r{h}" for h in _HORIZONS) + ", CASE WHEN sparsity_tier IS NOT NULL THEN (abn_att_all - avg(abn_att_all) OVER g) / nullif(stddev_samp(abn_att_all) OVER g, 0) END AS x FROM weekly WINDOW w AS (PARTITION BY ticker ORDER BY week), g AS (PARTITION BY sparsity_tier)), (VALUES (1), (2), (3)) v(model)")
+
+
+@query(B.recursive(B.sql("weekly", f"SELECT 'reversal_all_h' || model AS model, n AS n_obs, round(beta, 6) AS beta, round({B.TWOWAY_SE}, 6) AS se FROM bb JOIN bv USING (model)", *_REV)))
+def battery_reversal(spark, d):
+    """The effect of abnormal attention one to three weeks on: three specifications in one battery."""
+    from ..operators import panel as P
+    from ..operators import specs
+
+    x = P.lead_lag(B.weekly(spark, d), horizons=_HORIZONS)
+    fits = specs.run(x, specs.reversal(x="abn_att_all", horizons=_HORIZONS[1:]), controls=(), gates=(50, 2, 5))
+    return E.fits_table(spark, fits).select("model", "n_obs", r6("beta").alias("beta"), r6("se").alias("se"))
+
+
 @query()
 def model_battery(spark, d):
     """Every battery over the full panel of the analogue, skipped specs included: one pass over all of them."""
