@@ -424,6 +424,16 @@ def battery_reversal(spark, d):
     return E.fits_table(spark, fits).select("model", "n_obs", r6("beta").alias("beta"), r6("se").alias("se"))
 
 
+@query()
+def comparison_items(spark, d):
+    """The items that a published study reports, estimated on the analogue panel."""
+    from ..operators import specs
+    from .q_forecast import full_panel
+
+    out = specs.comparison_items(full_panel(spark, d), controls=("ret_lag1", "log_market_cap"), gates=(100, 5, 20))
+    return out.select("item", r6("ours").alias("ours"), r6("ours_se").alias("ours_se"))
+
+
 @query()
 def model_battery(spark, d):
     """Every battery over the full panel of the analogue, skipped specs included: one pass over all of them."""
