@@ -55,11 +55,11 @@ def labels_4w(spark, d):
     return _label_out(_labels(spark, d, 4))
 
 
-@query(B.sql("bars", "SELECT l.ticker, l.entry_at, l.label_end_at, count(d.date) AS n, round(sum(d.value), 2) AS total, round(min(d.close), 6) AS least, round(max(d.close), 6) AS most FROM (SELECT DISTINCT ticker, entry_at, label_end_at FROM labels) l LEFT JOIN daily d ON d.ticker = l.ticker AND d.date BETWEEN l.entry_at AND l.label_end_at GROUP BY ALL", _lab(4)))
+@query(B.sql("bars", "SELECT l.ticker, l.entry_at, l.label_end_at, count(d.date) AS n, round(sum(d.value), 2) AS total, round(min(d.close), 8) AS least, round(max(d.close), 8) AS most FROM (SELECT DISTINCT ticker, entry_at, label_end_at FROM labels) l LEFT JOIN daily d ON d.ticker = l.ticker AND d.date BETWEEN l.entry_at AND l.label_end_at GROUP BY ALL", _lab(4)))
 def holding_range_stats(spark, d):
     """Sessions, traded value and the range of closes over each four-week holding period."""
     spans, daily = _labels(spark, d, 4).select("ticker", "entry_at", "label_end_at"), B.daily(spark, d)
-    price = asof.range_aggregate(spans, daily, "ticker", "entry_at", "label_end_at", "close").select("ticker", "entry_at", "label_end_at", "n", r6("least").alias("least"), r6("most").alias("most"))
+    price = asof.range_aggregate(spans, daily, "ticker", "entry_at", "label_end_at", "close").select("ticker", "entry_at", "label_end_at", "n", F.round("least", 8).alias("least"), F.round("most", 8).alias("most"))
     value = asof.range_aggregate(spans, daily, "ticker", "entry_at", "label_end_at", "value").select("ticker", F.col("entry_at").alias("__a"), F.col("label_end_at").alias("__b"), F.round("total", 2).alias("total"))
     return price.join(value.withColumnRenamed("ticker", "__t"), (F.col("ticker") == F.col("__t")) & F.col("entry_at").eqNullSafe(F.col("__a")) & F.col("label_end_at").eqNullSafe(F.col("__b"))).drop("__t", "__a", "__b")
 
@@ -152,19 +152,22 @@ _SETE_COLS = [*forecast.feature_set("E"), *forecast.FEATURES["news"]]
 _WHOLE = ("missing_", "insufficient_", "is_", "att_zero_base", "history_", "att_nonzero_weeks_52", "days_since")
 
 
-@query(B.sql("weekly", "SELECT ticker, week, " + ", ".join(f"{c}::BIGINT AS {c}" if c.startswith(_WHOLE) else f"round({c}, 5) AS {c}" for c in _SETE_COLS) + """ FROM (SELECT ft.*, r.revenue_yoy AS revenue_yoy_latest, r.revenue_mom AS revenue_mom_latest, ln(CASE WHEN r.revenue > 0 THEN r.revenue END) AS log_revenue_latest, datediff('day', r.announce_date, as_of) AS days_since_revenue_announce, (r.revenue_yoy IS NULL)::INT AS missing_revenue
+@query(B.sql("weekly", "SELECT ticker, week, " + ", ".join(f"{c}::BIGINT AS {c}" if c.startswith(_WHOLE) else f"round(ln(1 + {c}), 5) AS {c}" if c.startswith("mom_") else f"round({c}, 5) AS {c}" for c in _SETE_COLS) + """ FROM (SELECT ft.*, r.revenue_yoy AS revenue_yoy_latest, r.revenue_mom AS revenue_mom_latest, ln(CASE WHEN r.revenue > 0 THEN r.revenue END) AS log_revenue_latest, datediff('day', r.announce_date, as_of) AS days_since_revenue_announce, (r.revenue_yoy IS NULL)::INT AS missing_revenue
     FROM ft ASOF LEFT JOIN rev r ON ft.ticker = r.ticker AND ft.as_of > r.announce_date) f LEFT JOIN nc USING (ticker, week)""", _BENCH, *_SETE, _REV,
     "nx AS (SELECT ticker, date::TIMESTAMP AS ts FROM lines WHERE flag = 'R')",
     "nc AS (SELECT f.ticker, f.week, ln(1 + count(n.ts) FILTER (WHERE n.ts >= f.as_of::TIMESTAMP - INTERVAL 7 DAY)) AS log1p_news_count_1w, ln(1 + count(n.ts)) AS log1p_news_count_4w, 0 AS missing_news FROM ft f LEFT JOIN nx n ON n.ticker = f.ticker AND n.ts >= f.as_of::TIMESTAMP - INTERVAL 28 DAY AND n.ts <= f.as_of::TIMESTAMP - INTERVAL 1 DAY GROUP BY ALL)"))
 def feature_sets(spark, d):
-    """Every feature of sets C and E: panel features, revenue known before the date, news counts; guarded by the whitelist."""
+    """Every feature of sets C and E: panel features, revenue known before the date, news counts; guarded by the whitelist.
+
+    Momenta are shown as logs: products of returns grow too large to round alike in two engines.
+    """
     rows = full_panel(spark, d).where("ret IS NOT NULL")
     x = forecast.engineer(rows, market.benchmark_weekly(benchmark(spark, d))).withColumn("as_of", T.as_of(F.col("week")))
     _, rev = _revenue(spark, d)
     news = B.lines(spark, d).where("flag = 'R'").select("ticker", F.col("date").cast("timestamp").alias("publish_at"))
     x = forecast.attach_sources(x, news, rev)
     e = forecast.feature_matrix(x, "E", ("ticker", "week", *forecast.FEATURES["news"]))
-    return e.select("ticker", "week", *[F.col(c).cast("bigint").alias(c) if c.startswith(_WHOLE) else F.round(c, 5).alias(c) for c in _SETE_COLS])
+    return e.select("ticker", "week", *[F.col(c).cast("bigint").alias(c) if c.startswith(_WHOLE) else F.round(F.log1p(c) if c.startswith("mom_") else F.col(c), 5).alias(c) for c in _SETE_COLS])
 
 
 def _xy(spark, d, horizon=1):
