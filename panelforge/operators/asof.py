@@ -41,7 +41,8 @@ def valid_at(left: DataFrame, spans: DataFrame, keys: list[str], at: str, start:
     """The value of the span that holds ``at`` (start <= at < end; an open end never ends).
 
     Of the spans that hold it the one that starts last wins, also where spans nest or
-    overlap; without a span the value is ``default`` (a column of left).  Nested spans are
+    overlap; of equal starts the greatest end, then the greatest value.  Without a span the
+    value is ``default`` (a column of left).  Nested spans are
     first cut at every start and end of their key into pieces of one value (``flatten``), so
     that the lookup stays an as-of join.
     """
@@ -59,8 +60,8 @@ def flatten(spans: DataFrame, keys: list[str], start: str, end: str, value: str)
     history), and only those that end inside another are looked at.
     """
     s = spans.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(value).alias(value)).where("__s IS NOT NULL AND (__e IS NULL OR __e > __s)")
-    # Of equal starts the later row of the greatest end wins, as one would find it last.
-    s = s.groupBy(*keys, "__s").agg(F.max_by(F.struct("__e", value), F.coalesce(F.col("__e").cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))).alias("__v")).select(*keys, "__s", F.col("__v.__e").alias("__e"), F.col(f"__v.{value}").alias(value))
+    # Of equal starts the greatest end wins, of equal ends the greatest value; an open end is the greatest.
+    s = s.groupBy(*keys, "__s").agg(F.max_by(F.struct("__e", value), F.struct(F.coalesce(F.col("__e").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")), F.col(value), F.col("__e").isNull())).alias("__v")).select(*keys, "__s", F.col("__v.__e").alias("__e"), F.col(f"__v.{value}").alias(value))
     ends = s.where("__e IS NOT NULL").select(*keys, F.col("__e").alias("__from")).distinct().join(s.select(*keys, F.col("__s").alias("__from")), [*keys, "__from"], "left_anti")
     over = ends.alias("x").join(s.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col("y.__s") < F.col("x.__from"), F.col("y.__e").isNull() | (F.col("y.__e") > F.col("x.__from"))])
     back = over.groupBy(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.__from").alias("__from")).agg(F.max_by(f"y.{value}", "y.__s").alias(value), F.lit(True).alias("__open"))

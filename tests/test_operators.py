@@ -64,6 +64,16 @@ def test_validity(spark):
     assert rows(asof.valid_at(left, nested, ["k"], "t", "f", "u", "v", "own"), "t", "v") == [(D("2020-01-01"), "outer"), (D("2021-06-01"), "inner"), (D("2023-01-01"), "outer")]
 
 
+def test_spans_of_one_start(spark):
+    """Equal starts: the greatest end, then the greatest value, in whatever order the rows come."""
+    left = spark.createDataFrame([(k, D(x)) for k in "abc" for x in ("2020-02-01", "2023-01-01")], "k string, t date").withColumn("own", F.lit("home"))
+    day, end = D("2020-01-01"), D("2021-01-01")
+    spans = [("a", day, end, "B"), ("a", day, end, "A"), ("b", day, None, "A"), ("b", day, None, "B"), ("b", day, end, "C"), ("c", day, end, "A"), ("c", day, None, "A"), ("c", day, end, "B")]
+    for order in (spans, spans[::-1]):
+        got = asof.valid_at(left, spark.createDataFrame(order, "k string, f date, u date, v string").coalesce(1), ["k"], "t", "f", "u", "v", "own")
+        assert rows(got, "k", "t", "v") == [("a", D("2020-02-01"), "B"), ("a", D("2023-01-01"), "home"), ("b", D("2020-02-01"), "B"), ("b", D("2023-01-01"), "B"), ("c", D("2020-02-01"), "A"), ("c", D("2023-01-01"), "A")]
+
+
 # ------------------------------------------------------------------ market and panel
 def test_adjustment(spark):
     daily = spark.createDataFrame([("a", D(f"2022-09-{x}"), p) for x, p in ((15, 81.0), (16, 80.0), (19, 169.0), (20, 172.5))], "ticker string, date date, close double").withColumn("open", F.col("close"))
