@@ -60,6 +60,8 @@ ROTATION_ROWS, ITERATIONS = 4096, 12
 #: Work of a pair that is met, against that of a value asked for or a row of the index.
 PAIR_WORK = 4
 QUERY_BLOCK = 8192
+#: Rows whose projections are held at once.
+BIT_ROWS = 1024
 #: Share of the rows met from which a plan says so.
 LOUD = 0.5
 
@@ -89,7 +91,10 @@ class Codes:
     turns: np.ndarray  # dimension x bits
 
     def bits(self, x: np.ndarray, n: int) -> np.ndarray:
-        return ((x - self.mean) @ self.turns[:, :n]) > 0
+        out = np.empty((len(x), n), bool)
+        for at in range(0, len(x), BIT_ROWS):  # the projections are eight times the size of the bits
+            out[at : at + BIT_ROWS] = ((x[at : at + BIT_ROWS] - self.mean) @ self.turns[:, :n]) > 0
+        return out
 
 
 def rotations(sample: np.ndarray, bits: int, seed: int = 0) -> Codes:
@@ -112,10 +117,13 @@ def rotations(sample: np.ndarray, bits: int, seed: int = 0) -> Codes:
 def neighbour_pairs(sample: np.ndarray, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(query, neighbour) rows of the sample: each query's ``k`` nearest others."""
     asked = np.random.default_rng(seed).permutation(len(sample))[:SAMPLE_QUERIES]
-    d = (sample[asked] ** 2).sum(axis=1)[:, None] + (sample**2).sum(axis=1)[None] - 2 * sample[asked] @ sample.T
-    d[np.arange(len(asked)), asked] = np.inf
     k = min(k, len(sample) - 1)
-    return np.repeat(asked, k), np.argsort(d, axis=1, kind="stable")[:, :k].reshape(-1)
+    lengths, found = (sample * sample).sum(axis=1), []
+    for q in asked:  # one row of distances at a time
+        d = lengths[q] + lengths - 2 * (sample @ sample[q])
+        d[q] = np.inf
+        found.append(np.argsort(d, kind="stable")[:k])
+    return np.repeat(asked, k), np.concatenate(found)
 
 
 def learn(sample: np.ndarray, k: int, n_rows: int, n_queries: int, target: float = TARGET) -> tuple[Codes, Plan]:
@@ -164,6 +172,15 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _stacked(col: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.concatenate([np.zeros((0, dim)), *(_matrix(c, dim) for c in col.chunks)])
+
+
+def _collected(vectors: DataFrame, dim: int) -> np.ndarray:
+    """``v`` of a bounded table as one array, without an object a number."""
+    return _stacked(vectors.select("v").toArrow().column("v"), dim)
+
+
 def coded(rows: DataFrame, codes: Codes, plan: Plan, dim: int) -> DataFrame:
     """id, h, g (hashes of the vector), w0 .. (the code's words) and subs (its substrings)."""
     shared = rows.sparkSession.sparkContext.broadcast((codes, plan))
@@ -217,8 +234,8 @@ def distances(pairs: DataFrame, dim: int) -> DataFrame:
 
 def scan(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     """query_id, vec_id, score: the best ``k`` of each partition for a block of queries (id, v), collected."""
-    got = queries.collect()
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64).reshape(-1, dim)))
+    got = queries.select("id", "v").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((got.column("id").to_numpy(), _stacked(got.column("v"), dim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, qv = shared.value
@@ -260,7 +277,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
     h = F.xxhash64(F.lit("ann"), "id", "v")
     picked = rows.where(h.cast("double") / 2.0**64 + 0.5 <= min(1.0, 1.2 * SAMPLE_ROWS / total)).select(h.alias("h"), "v").orderBy("h").limit(SAMPLE_ROWS).select("v")
     asked = materialize(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")))
-    codes, plan = learn(np.array([r["v"] for r in picked.collect()], np.float64).reshape(-1, dim), k, total, asked.count(), target)
+    codes, plan = learn(_collected(picked, dim), k, total, asked.count(), target)
     if plan.share >= LOUD:
         warnings.warn(f"the index excludes little: a query meets {plan.share:.0%} of {total} vectors ({plan.parts} substrings of {plan.width} bits, {plan.near} bits apart)", stacklevel=2)
     entries = coded(rows, codes, plan, dim)

@@ -99,3 +99,15 @@ def test_a_plan_that_excludes_little_says_so(spark):
     rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(120)]
     with pytest.warns(UserWarning, match="excludes little"):
         neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, k=3).count()
+
+
+def test_learning_holds_no_matrix_of_projections():
+    """The driver fits codes on the largest sample in far less than a matrix of its projections (123 MB)."""
+    import tracemalloc
+
+    sample = np.random.default_rng(3).normal(size=(20_000, 64))
+    tracemalloc.start()
+    learn(sample, 10, 600_000, 6_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6
