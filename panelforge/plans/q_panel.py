@@ -172,7 +172,7 @@ def bulk_threshold_grid(spark, d):
 @query(B.sql("lines", "SELECT k AS threshold, ticker, week, count(*) AS att_all FROM (SELECT DISTINCT article, ticker, week FROM lines) JOIN (SELECT article, count(DISTINCT ticker) AS n FROM lines GROUP BY article) USING (article), (VALUES (2), (4), (6), (999)) t(k) WHERE n <= k GROUP BY ALL"))
 def bulk_threshold_attention(spark, d):
     """Weekly attention under every threshold of entities an article."""
-    x = B.lines(spark, d).select("article", "ticker", T.week_of(F.col("date")).alias("week")).distinct()
+    x = B.lines(spark, d).select("article", "ticker", T.week_of(F.col("date")).alias("week")).repartition("article").distinct()
     return panel.bulk_sensitivity(x, "article", [2, 4, 6, 999])
 
 
