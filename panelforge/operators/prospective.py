@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import forecast, ledger, models
 
 
@@ -53,15 +54,24 @@ def skip_reason(spark: SparkSession, features: DataFrame, as_of: dt.date, loop:
     return None if quality(rows, loop)["sufficient"] else "insufficient_universe"
 
 
+def _skipped(spark: SparkSession, features: DataFrame, as_of: dt.date, loop: Loop) -> dict | None:
+    """The note of a date that is not predicted."""
+    reason = skip_reason(spark, features, as_of, loop)
+    if reason and reason != "duplicate_as_of":
+        note = spark.createDataFrame([(as_of, reason)], "as_of date, reason string")
+        ledger.append_missing(spark, note, loop.table("skips"), ["as_of"])
+    return {"as_of": as_of, "status": "skipped", "reason": reason} if reason else None
+
+
 def predict(spark: SparkSession, features: DataFrame, labels: DataFrame, as_of: dt.date, loop: Loop, refit: bool = False) -> dict:
     """Predictions of every feature set for one date, appended; or the reason why not."""
-    reason = skip_reason(spark, features, as_of, loop)
-    if reason:
-        if reason != "duplicate_as_of":
-            note = spark.createDataFrame([(as_of, reason)], "as_of date, reason string")
-            ledger.append_missing(spark, note, loop.table("skips"), ["as_of"])
-        return {"as_of": as_of, "status": "skipped", "reason": reason}
-    xy = features.join(labels, ["as_of", loop.entity], "left")
+    skipped = _skipped(spark, features, as_of, loop)
+    if skipped:
+        return skipped
+    return _predicted(spark, features, features.join(labels, ["as_of", loop.entity], "left"), as_of, loop, refit)
+
+
+def _predicted(spark: SparkSession, features: DataFrame, xy: DataFrame, as_of: dt.date, loop: Loop, refit: bool) -> dict:
     train = forecast.mature(xy.where(F.col("sparsity_tier").isin(*loop.tiers)), as_of, loop.y)
     rows = features.where(F.col("as_of") == F.lit(as_of))
     out = None
@@ -80,9 +90,21 @@ def predict(spark: SparkSession, features: DataFrame, labels: DataFrame, as_of:
 
 
 def backfill(spark: SparkSession, features: DataFrame, labels: DataFrame, weeks: int, loop: Loop) -> list[dict]:
-    """The last ``weeks`` dates one after another, as they would have been met."""
+    """The last ``weeks`` dates one after another, as they would have been met.
+
+    Features and labels are joined once for all dates and models, which then only scan.
+    """
     dates = sorted(r[0] for r in features.select("as_of").where("as_of IS NOT NULL").distinct().collect())  # dates of a weekly panel
-    return [predict(spark, features, labels, d, loop) for d in dates[-weeks:]]
+    used = list(dict.fromkeys(c for cols in loop.sets.values() for c in cols))
+    known = list(dict.fromkeys(["label_end_at", "label_available_at", "label_status", loop.y]))
+    keys = ["as_of", loop.entity]
+    xy, out = None, []
+    for d in dates[-weeks:]:
+        skipped = _skipped(spark, features, d, loop)
+        if skipped is None and xy is None:
+            xy = cut_lineage(features.select(*keys, "sparsity_tier", *used).join(labels.select(*keys, *known), keys, "left"))
+        out.append(skipped or _predicted(spark, features, xy, d, loop, False))
+    return out
 
 
 def score(spark: SparkSession, labels: DataFrame, cutoff: dt.date, loop: Loop) -> DataFrame | None:
