@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import asof, evaluate, market
 
 
@@ -71,7 +72,9 @@ def candidates(pred: DataFrame, labels: DataFrame, daily: DataFrame, pred_col: s
     rows = rows if strict else rows.where(fine)
     w = Window.partitionBy("as_of").orderBy(F.desc(pred_col), "ticker")
     top = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-    top = top.where(fine) if strict else top
+    # ``top_k`` names a date: few enough to broadcast, and only their days are looked at.
+    top = cut_lineage(top.where(fine) if strict else top)
+    daily = daily.join(F.broadcast(top.select("ticker").distinct()), "ticker", "left_semi")
     top = market.adv_at(top, daily)
     px = daily.select("ticker", F.col("date").alias("d_in"), F.struct(F.col("adj_open").alias("px")).alias("o"))
     top = asof.forward(top, px, ["ticker"], "entry_at", "d_in", ["o"], strict=False)
