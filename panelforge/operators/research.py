@@ -150,8 +150,15 @@ def mean_t(df: DataFrame, x: str, group: list[str] | None = None) -> DataFrame:
 
 # ------------------------------------------------------------------ event paths
 def abnormal_returns(panel: DataFrame) -> DataFrame:
-    """Return minus the week's mean of the sample at hand."""
-    return panel.withColumn("ar", F.col("ret") - F.avg("ret").over(Window.partitionBy("week")))
+    """Return minus the week's mean of the sample at hand.
+
+    The means are aggregated and broadcast, a row a week: a window over a week would sort all
+    its entities in one task.  The rows are read twice and kept in between.
+    """
+    rows = cut_lineage(panel)
+    means = rows.groupBy(F.col("week").alias("__w")).agg(F.avg("ret").alias("__mean"))
+    out = rows.join(F.broadcast(means), F.col("week").eqNullSafe(F.col("__w")), "left")
+    return out.select(*panel.columns, (F.col("ret") - F.col("__mean")).alias("ar"))
 
 
 def event_windows(panel: DataFrame, complete: bool = True, pre: int = PRE, post: int = POST, entity: str = "ticker") -> DataFrame:
@@ -198,32 +205,48 @@ BOX_ROWS, ROUNDING = 32, 1e-9
 
 
 def nearest_pairs(t: DataFrame, c: DataFrame, group: list[str], zs: list[str], k: int, entity: str = "ticker") -> DataFrame:
-    """(group, t_entity, c_entity): every pair that can be among the ``k`` nearest of its treated row; exact.
-
-    Controls of a block are packed into boxes of about ``BOX_ROWS`` by sorting along three
-    variables in turn.  A treated row first meets its nearest box, whose k-th distance bounds
-    the search, then only boxes that come as near.
+    """(group, t_entity, c_entity): the ``k`` nearest controls of every treated row, ties to the smaller one; exact.
+
+    Treated rows of one place ask once, and of controls of one place the ``k`` smallest are
+    enough.  Controls of a block are packed into boxes of about ``BOX_ROWS`` by sorting along
+    three variables in turn; the slabs and columns on the way are boxes as well.  An asker goes
+    down to a near box, whose k-th distance bounds the search, and goes down again to all boxes
+    that come as near.  So it meets the slabs of its block, a cube root of the boxes, and what
+    lies inside the slabs and columns within the bound, never all boxes.
     """
+    here, there = [f"t_{z}" for z in zs], [f"c_{z}" for z in zs]
+    same = Window.partitionBy(*group, *there).orderBy(f"c_{entity}")
+    own = c.select(*group, f"c_{entity}", *there).withColumn("__r", F.row_number().over(same)).where(F.col("__r") <= k).drop("__r")
     w = lambda part, z: Window.partitionBy(*group, *part).orderBy(f"c_{z}", f"c_{entity}")
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    own = c.select(*group, f"c_{entity}", *[f"c_{z}" for z in zs]).withColumn("__m", F.ceil(F.pow(n / max(BOX_ROWS, 2 * k), F.lit(1 / min(3, len(zs))))))
-    part: list[str] = []
+    own = own.withColumn("__m", F.ceil(F.pow(n / max(BOX_ROWS, 2 * k), F.lit(1 / min(3, len(zs))))))
+    parts: list[str] = []
     for i, z in enumerate(zs[:3]):
-        size = F.count(F.lit(1)).over(Window.partitionBy(*group, *part))
-        own = own.withColumn(f"__s{i}", F.floor((F.row_number().over(w(part, z)) - 1) * F.col("__m") / size))
-        part = [*part, f"__s{i}"]
-    boxes = own.groupBy(*group, *part).agg(F.count(F.lit(1)).alias("__n"), *[F.min(f"c_{z}").alias(f"__lo_{z}") for z in zs], *[F.max(f"c_{z}").alias(f"__hi_{z}") for z in zs])
+        size = F.count(F.lit(1)).over(Window.partitionBy(*group, *parts))
+        own = own.withColumn(f"__s{i}", F.floor((F.row_number().over(w(parts, z)) - 1) * F.col("__m") / size))
+        parts = [*parts, f"__s{i}"]
+    own = cut_lineage(own.drop("__m"))
+    edges = [f(f"c_{z}").alias(f"__{e}_{z}") for z in zs for e, f in (("lo", F.min), ("hi", F.max))]
     gap = lambda z: F.greatest(F.col(f"__lo_{z}") - F.col(f"t_{z}"), F.col(f"t_{z}") - F.col(f"__hi_{z}"), F.lit(0.0))
-    total = lambda f: sum((f(z) * f(z) for z in zs[1:]), f(zs[0]) * f(zs[0]))
-    asks = t.select(*group, f"t_{entity}", *[f"t_{z}" for z in zs])
-    met = asks.join(boxes.select(*group, *part, "__n", *[f"__{e}_{z}" for e in ("lo", "hi") for z in zs]), list(group)).withColumn("__gap", total(gap)).select(*asks.columns, *part, "__n", "__gap")
-    first = met.groupBy(*asks.columns).agg(F.min_by(F.struct(*part, "__n"), F.struct("__gap", *part)).alias("__b")).select(*asks.columns, "__b.*")
+    total = lambda f: sum((f(z) ** 2 for z in zs[1:]), f(zs[0]) ** 2)
     square = total(lambda z: F.col(f"t_{z}") - F.col(f"c_{z}"))
-    seen = first.where(F.col("__n") >= k).join(own, [*group, *part]).withColumn("__d", square)
-    bound = seen.groupBy(*group, f"t_{entity}").agg(F.get(F.sort_array(F.collect_list("__d")), F.lit(k - 1)).alias("__k"))  # the rows of one box
-    # Without k rows in the nearest box nothing is ruled out.
-    close = met.join(bound, [*group, f"t_{entity}"], "left").where(F.col("__k").isNull() | (F.col("__gap") <= F.col("__k") * (1 + ROUNDING) + ROUNDING**2))
-    return close.join(own.select(*group, *part, f"c_{entity}"), [*group, *part]).select(*group, f"t_{entity}", f"c_{entity}")
+
+    def met(rows: DataFrame, level: int) -> DataFrame:
+        """Rows with the boxes of a level inside their box of the level before."""
+        boxes = own.groupBy(*group, *parts[: level + 1]).agg(*edges)
+        return rows.join(boxes, [*group, *parts[:level]]).withColumn("__gap", total(gap)).select(*rows.columns, parts[level], "__gap")
+
+    first = t.select(*group, *here).distinct()
+    for i, p in enumerate(parts):
+        first = met(first, i).groupBy(*first.columns).agg(F.min_by(p, F.struct("__gap", p)).alias(p))
+    seen = first.join(own, [*group, *parts]).withColumn("__d", square)
+    # The k-th of one box; without k rows in it nothing is ruled out.
+    close = seen.groupBy(*group, *here).agg(F.get(F.sort_array(F.collect_list("__d")), F.lit(k - 1)).alias("__k"))
+    for i in range(len(parts)):
+        close = met(close, i).where(F.col("__k").isNull() | (F.col("__gap") <= F.col("__k") * (1 + ROUNDING) + ROUNDING**2)).drop("__gap")
+    order = Window.partitionBy(*group, *here).orderBy("__d", f"c_{entity}")
+    best = close.join(own, [*group, *parts]).withColumn("__d", F.sqrt(square)).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
+    return t.select(*group, f"t_{entity}", *here).join(best.select(*group, *here, f"c_{entity}"), [*group, *here]).select(*group, f"t_{entity}", f"c_{entity}")
 
 
 def match_pairs(cands: DataFrame, k: int = 1, caliper: float | None = CALIPER, group=("week", "sparsity_tier"), variables=MATCH_VARS, entity: str = "ticker") -> DataFrame:
@@ -232,12 +255,15 @@ def match_pairs(cands: DataFrame, k: int = 1, caliper: float | None = CALIPER, g
     Distances are over block z-scores (missing counts 0).  With a caliper, treated and
     controls meet only in equal or adjacent cells of one caliper's width of the first
     return variable; without one, only where the nearest can be (``nearest_pairs``).  A block
-    is never compared pair by pair.
+    is never compared pair by pair.  Rows are kept once for both sides; a block's moments
+    are aggregated and broadcast (a row a week and tier), never a window over a block.
     """
-    g = Window.partitionBy(*group)
-    rows = cands.dropna(subset=list(variables))
-    z = {f"z{i}": F.coalesce(W.zscore(F.col(v), g), F.lit(0.0)) for i, v in enumerate(variables)}
-    rows = rows.withColumns({**z, "__nt": F.count_if("treated").over(g), "__nc": F.count_if(~F.col("treated")).over(g)}).where((F.col("__nt") > 0) & (F.col("__nc") >= k))
+    group = list(group)
+    rows = cut_lineage(cands.dropna(subset=list(variables)).select(*group, entity, "treated", *variables, "path"))
+    moments = [f(v).alias(f"__{n}{i}") for i, v in enumerate(variables) for n, f in (("m", F.avg), ("s", F.stddev_samp))]
+    blocks = cut_lineage(rows.groupBy(*group).agg(F.count_if("treated").alias("__nt"), F.count_if(~F.col("treated")).alias("__nc"), *moments).where((F.col("__nt") > 0) & (F.col("__nc") >= k)))
+    z = {f"z{i}": F.coalesce(F.try_divide(F.col(v) - F.col(f"__m{i}"), F.nullif(F.col(f"__s{i}"), F.lit(0.0))), F.lit(0.0)) for i, v in enumerate(variables)}
+    rows = rows.join(F.broadcast(blocks), group).withColumns(z)
     cols = [*group, entity, *z, *variables, "path"]
     t = rows.where("treated").select(*[F.col(c).alias(c if c in group else f"t_{c}") for c in cols])
     c = rows.where("NOT treated").select(*[F.col(x).alias(x if x in group else f"c_{x}") for x in cols])
@@ -249,8 +275,7 @@ def match_pairs(cands: DataFrame, k: int = 1, caliper: float | None = CALIPER, g
             if v in variables:
                 pairs = pairs.where(F.abs(F.col(f"t_{v}") - F.col(f"c_{v}")) <= caliper)
     else:
-        t, c = cut_lineage(t), cut_lineage(c)
-        pairs = nearest_pairs(t, c, list(group), list(z), k, entity).join(t, [*group, f"t_{entity}"]).join(c, [*group, f"c_{entity}"])
+        pairs = nearest_pairs(t, c, group, list(z), k, entity).join(t, [*group, f"t_{entity}"]).join(c, [*group, f"c_{entity}"])
     square = sum(((F.col(f"t_z{i}") - F.col(f"c_z{i}")) ** 2 for i in range(1, len(variables))), (F.col("t_z0") - F.col("c_z0")) ** 2)
     pairs = pairs.withColumn("distance", F.sqrt(square))
     w = Window.partitionBy(*group, f"t_{entity}").orderBy("distance", f"c_{entity}")

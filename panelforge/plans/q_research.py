@@ -199,7 +199,7 @@ _WIN = "win AS (SELECT *, " + ", ".join((f"lag(ar, {-t}) OVER w" if t < 0 else f
 
 
 def _windows(spark, d):
-    x = B.weekly(spark, d).where("ret IS NOT NULL")
+    x = B.weekly(spark, d).where("ret IS NOT NULL").select("ticker", "week", "ret", "volume", "sparsity_tier", "is_initiation")
     x = R.abnormal_returns(x).withColumn("event", F.coalesce(F.col("is_initiation") | (F.col("volume") % 7 == 0), F.lit(False)))
     return R.event_windows(x)
 

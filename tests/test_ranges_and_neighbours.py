@@ -61,3 +61,25 @@ def test_few_pairs_are_met_on_clustered_data(spark):
     side = lambda cond, s: c.where(cond).select("week", "sparsity_tier", *[F.col(x).alias(f"{s}_{x}") for x in ("ticker", *[f"z{i}" for i in range(5)])])
     met = research.nearest_pairs(side("treated", "t"), side("NOT treated", "c"), ["week", "sparsity_tier"], [f"z{i}" for i in range(5)], 1).count()
     assert met < 0.05 * 40 * 2465
+
+
+def test_rows_of_one_place_ask_once(spark):
+    """Copies of names neither multiply the pairs nor change who is nearest."""
+    rng, copies = np.random.default_rng(4), 40
+    rows = [(0, "dense", 1000 * j + i, i < 20, *map(float, x)) for i, x in enumerate(rng.normal(size=(100, 3))) for j in range(copies)]
+    d = spark.createDataFrame(rows, "week int, sparsity_tier string, ticker int, treated boolean, z0 double, z1 double, z2 double")
+    side = lambda cond, s: d.where(cond).select("week", "sparsity_tier", *[F.col(x).alias(f"{s}_{x}") for x in ("ticker", "z0", "z1", "z2")])
+    got = {}
+    for r in research.nearest_pairs(side("treated", "t"), side("NOT treated", "c"), ["week", "sparsity_tier"], ["z0", "z1", "z2"], 3).collect():
+        got.setdefault(r.t_ticker, set()).add(r.c_ticker)
+    z = {r[2]: np.array(r[4:]) for r in rows if r[2] < 1000}
+    for i in range(20):
+        near = min(range(20, 100), key=lambda b: ((z[i] - z[b]) ** 2).sum())
+        assert all(got[1000 * j + i] == {near, 1000 + near, 2000 + near} for j in range(copies))
+
+
+def test_returns_of_a_week_without_a_window(spark):
+    rows = spark.createDataFrame([("a", DAY, 1.0), ("b", DAY, 3.0), ("c", DAY, None), ("a", None, 5.0), ("b", None, 6.0)], "ticker string, week date, ret double")
+    out = research.abnormal_returns(rows)
+    assert sorted(((r.ticker, r.week, r.ar) for r in out.collect()), key=str) == [("a", None, -0.5), ("a", DAY, -1.0), ("b", None, 0.5), ("b", DAY, 1.0), ("c", DAY, None)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
