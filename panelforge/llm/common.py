@@ -84,6 +84,25 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, by: str
     return salted.join(spread, [key, "__salt"]).drop("__salt")
 
 
+#: Bits that a key has in the filter of ``may_hold``, and bits of one bitmap of Spark's.
+KEY_BITS, BITMAP_BITS = 16, 32_768
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` may be among the distinct ``keys``: all that are, and one in ``KEY_BITS`` of the others at most.
+
+    Spares the exact join behind it most of the rows it would shuffle.  Two bytes a key are
+    broadcast, in bitmaps of 4 KB.
+    """
+    bits = max(1, -(-keys.count() * KEY_BITS // BITMAP_BITS)) * BITMAP_BITS
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    held = keys.select(at.alias("__at")).groupBy(F.floor(F.col("__at") / BITMAP_BITS).alias("__map")).agg(F.bitmap_construct_agg(F.col("__at") % BITMAP_BITS).alias("__bits"))
+    asked = rows.withColumn("__at", at).withColumn("__map", F.floor(F.col("__at") / BITMAP_BITS)).join(F.broadcast(held), "__map")
+    place = F.col("__at") % BITMAP_BITS
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return asked.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).select(*rows.columns)
+
+
 #: Keys that a filter of rows may be broadcast for; beyond, it is a shuffled join.
 BROADCAST_KEYS = 500_000
 

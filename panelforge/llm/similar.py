@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialize, spread_join
+from .common import components, materialize, may_hold, spread_join
 
 BANDS, ROWS = 32, 6
 #: What the estimate of a pair may lack before the pair is ruled out: five standard errors at 0.8.
@@ -86,14 +86,14 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, hashes (binary: the sorted shingle hashes) of the documents named in ``ids``."""
+    """id, hashes (binary: the sorted shingle hashes) of the documents named in ``ids`` (distinct); other texts hardly travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype("<u8").tobytes() if s is not None else None for s in sets], pa.binary())], ["id", "hashes"])
 
-    named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    named = may_hold(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), ids, "id").join(ids, "id", "left_semi")
     return named.mapInArrow(run, "id long, hashes binary").where("hashes IS NOT NULL").dropDuplicates(["id"])
 
 
@@ -210,7 +210,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     pairs = met.select("id", F.explode(F.array("low", "high")).alias("other")).where("id != other")
     pairs = materialize(pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
     close = materialize(both_ends(pairs, sigs, "sig").where(agreement("sig_a", "sig_b") >= similarity - SLACK).select("a", "b"))
-    named = close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).distinct()
+    named = materialize(close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).distinct())
     sets = materialize(shingle_sets(docs, named, words, id_col, text_col))
     linked = materialize(both_ends(close, sets, "hashes").where(similar("hashes_a", "hashes_b")).select("a", "b"))
     one_each = sigs.join(crowd.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])

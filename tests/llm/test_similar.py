@@ -2,7 +2,8 @@
 
 import random
 
-from panelforge.llm.similar import similar_links
+from panelforge.llm.common import may_hold
+from panelforge.llm.similar import shingle_sets, similar_links
 
 from .helpers import docs
 
@@ -72,3 +73,16 @@ def test_every_pair_of_a_bucket_is_connected_or_ruled_out(spark):
         got = grouped(want, [(x.a, x.b) for x in similar_links(docs(spark, rows), block=block).collect()])
         print(sum(got[i] != want[i] for i in want), "of", len(want), "documents in another group")
         assert got == want
+
+
+def test_only_named_texts_travel(spark):
+    """The filter before the exact join loses no key and passes few others."""
+    rows = spark.range(-20_000, 20_000).withColumnRenamed("id", "k")
+    keys = rows.where("k % 20 = 0")
+    got = {r.k for r in may_hold(rows, keys, "k").collect()}
+    named = {k for k in range(-20_000, 20_000) if k % 20 == 0}
+    assert named <= got and len(got - named) < 0.1 * 38_000
+    assert may_hold(rows, keys.where("false"), "k").count() == 0
+    texts = spark.createDataFrame([(i, f"word{i} " * 9) for i in range(50)], "id long, text string")
+    sets = shingle_sets(texts, texts.where("id < 3").select("id"), 5, "id", "text")
+    assert {r.id for r in sets.collect()} == {0, 1, 2} and "__bits" in sets._jdf.queryExecution().optimizedPlan().toString()
