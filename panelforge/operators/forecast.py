@@ -139,12 +139,13 @@ def entry_exit(weeks: DataFrame, calendar: DataFrame, horizon: int) -> DataFrame
     return rows.join(F.broadcast(last), "week", "left")
 
 
-def labels(panel: DataFrame, daily: DataFrame, calendar: DataFrame, bench: DataFrame, horizon: int = 1, entity: str = "ticker") -> DataFrame:
+def labels(panel: DataFrame, daily: DataFrame, calendar: DataFrame, bench: DataFrame, horizon: int = 1, entity: str = "ticker", weeks: DataFrame | None = None) -> DataFrame:
     """Holding returns from entry to exit, in excess of the benchmark, with their status.
 
-    ``bench``: date, adj_open, adj_close of one series.
+    ``bench``: date, adj_open, adj_close of one series.  ``weeks``: the panel's distinct weeks,
+    where they are known from less than the panel.
     """
-    weeks = entry_exit(panel.select("week").distinct(), calendar, horizon)
+    weeks = entry_exit(panel.select("week").distinct() if weeks is None else weeks, calendar, horizon)
     rows = panel.select(entity, "week").join(F.broadcast(weeks), "week")
     own = asof.range_first_last(rows.dropna(subset=["entry_at", "label_end_at"]), daily, entity, "entry_at", "label_end_at")
     b = bench.select(F.lit("b").alias("__b"), "date", "adj_open", "adj_close")
