@@ -213,12 +213,15 @@ def retrieve(index: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
     # Values of more entries than that are 2000 at most.
     hot = materialize(entries.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / limit).cast("int").alias("parts")))
     entries = entries.join(F.broadcast(hot), "key", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    probes = asked.select("query_id", *[F.col(x).alias(f"q{x}") for x in words], F.posexplode("subs").alias("j", "value"))
+    # Queries are few rows, often one file, and are dealt before each asks for thousands of values.
+    dealt = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism, "query_id")
+    probes = dealt.select("query_id", *[F.col(x).alias(f"q{x}") for x in words], F.posexplode("subs").alias("j", "value"))
     masks = F.array(*[F.lit(x).cast("bigint") for x in plan.masks()])
     probes = probes.withColumn("mask", F.explode(masks)).withColumn("key", key(F.col("value").bitwiseXOR(F.col("mask")))).drop("j", "value", "mask")
     probes = probes.join(F.broadcast(hot), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"q{x}"))) for x in words), F.lit(0))
-    return probes.join(entries, ["key", "part"]).where(apart <= plan.reach).select("query_id", "rep").distinct()
+    # Spark guesses the size of the values asked for without counting how many a query has, and would send them all through the driver.
+    return probes.hint("merge").join(entries, ["key", "part"]).where(apart <= plan.reach).select("query_id", "rep").distinct()
 
 
 def distances(pairs: DataFrame, dim: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import queries as Q
 from panelforge.llm.ann import Plan, coded, learn, neighbours, retrieve, rotations
+from panelforge.llm.common import materialize
 
 
 def brute(rows, k=10, every=100):
@@ -72,6 +74,17 @@ def test_every_code_within_the_pigeonhole_radius_is_retrieved(spark):
     assert len(pairs) > 50
 
 
+def test_values_asked_for_are_not_broadcast(spark):
+    """A query asks for thousands of values; they look as small as the queries, and must not pass the driver."""
+    r = np.random.default_rng(4)
+    plan = Plan(width=14, near=2, parts=18, reach=100, share=0.0)
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(r.normal(size=(200, 24)))], "id long, v array<double>")
+    got = coded(rows, rotations(r.normal(size=(200, 24)), 64 * plan.words), plan, 24)
+    met = retrieve(got.withColumnRenamed("id", "rep"), materialize(got.where("id < 20").withColumnRenamed("id", "query_id")), plan)
+    joins = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key#" in joins and not re.search(r"BroadcastHashJoin \[key#\w+, part#", joins)
+
+
 def test_close_neighbours_exclude_nearly_all_rows():
     r = np.random.default_rng(1)
     centres = r.normal(size=(400, 32))
