@@ -28,6 +28,8 @@ ROUNDS, TOL = 50, 1e-9
 LEAST_TRAIN, LEAST_VALID, LEAST_PLATT = 100, 50, 100
 #: Weights at once: models in one pass, by the size of their curvature.
 MAX_CELLS = 1 << 22
+#: Models of one cut-off whose chances for a batch of rows are held at once.
+MODEL_BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,32 @@ def fit_all(sums: prefix.Prefix, models: list[Model]) -> dict[Model, tuple[float
     return out
 
 
+def batch_sums(u: np.ndarray, y: np.ndarray, gap: np.ndarray, coef: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient, curvature and loss of every model (a row of ``coef``) over the rows whose gap is not after its own.
+
+    Rows are put in order of their gap, so models of one cut-off share a leading part of them
+    and are taken together; products of two inputs are formed once for all models.
+    """
+    order = np.argsort(gap, kind="stable")
+    u, y, gap = u[order], y[order], gap[order]
+    i, j = np.triu_indices(u.shape[1])
+    products = u[:, i] * u[:, j]
+    grad, curve, loss = np.zeros(coef.shape), np.zeros((len(coef), len(i))), np.zeros((len(coef), 1))
+    for g in np.unique(gaps):
+        n, models = np.searchsorted(gap, g, side="right"), np.flatnonzero(gaps == g)
+        for lo in range(0, len(models), MODEL_BLOCK):
+            at = models[lo : lo + MODEL_BLOCK]
+            eta = u[:n] @ coef[at].T
+            e = np.exp(-np.abs(eta))
+            p = np.where(eta >= 0, 1.0, e) / (1.0 + e)
+            grad[at] += (p - y[:n, None]).T @ u[:n]
+            curve[at] += (p * (1 - p)).T @ products[:n]
+            loss[at, 0] += (np.maximum(eta, 0.0) + np.log1p(e)).sum(axis=0) - y[:n] @ eta
+    full = np.empty((len(coef), u.shape[1], u.shape[1]))
+    full[:, i, j] = full[:, j, i] = curve
+    return grad, full, loss
+
+
 def _newton(sums: prefix.Prefix, models: list[Model], k: int) -> dict[Model, tuple[float, list[float]]]:
     shift, unit, width = sums.shift, sums.unit, len(sums.features)
     basis = [_basis(sums, m) for m in models]
@@ -102,14 +130,8 @@ def _newton(sums: prefix.Prefix, models: list[Model], k: int) -> dict[Model, tup
                 gap, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gap", "y"))
                 miss = np.isnan(x)
                 u = np.column_stack([np.ones(len(x)), np.where(miss, 0.0, (x - shift) / unit), miss])
-                for i in range(len(coef)):
-                    own = gap <= gaps[i]
-                    v, t = u[own], y[own]
-                    eta = v @ coef[i]
-                    p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-                    grad[i] += v.T @ (p - t)
-                    curve[i] += (v * (p * (1 - p))[:, None]).T @ v
-                    loss[i] += (np.logaddexp(0.0, eta) - t * eta).sum()
+                for own, part in zip((grad, curve, loss), batch_sums(u, y, gap, coef, gaps)):
+                    own += part
             a = np.concatenate([grad, curve.reshape(len(coef), -1), loss], axis=1)
             m, cell = np.nonzero(a)
             yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(a[m, cell])], ["m", "cell", "v"])

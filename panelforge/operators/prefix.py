@@ -63,7 +63,7 @@ class Prefix:
         self.at = {c: i for i, c in enumerate(self.cuts)}
         values = [W.finite(F.col(c).cast("double")) for c in self.features]
         rows = xy.where(trainable(y)).select(_before(self.cuts, known_at()).alias("gap"), F.array(*values).alias("x"), F.col(y).cast("double").alias("y"))
-        self.rows = rows.where(F.col("gap") < len(self.cuts))
+        self.rows = cut_lineage(rows.where(F.col("gap") < len(self.cuts)))  # read by every later pass
         f = range(len(self.features))
         x = lambda j: F.get("x", F.lit(j))
         inner = [(i + 1) / BINS for i in range(BINS - 1)]

@@ -82,3 +82,37 @@ def test_one_class_and_no_rows(spark):
     d = rows_of(spark, data())
     assert classify.walk_forward(d.withColumn("y", F.lit(1.0)), "y", [dt.date(2020, 6, 1)], {"A": ["a"]}, size=8, least_weeks=12).count() == 0
     assert classify.walk_forward(d.where("false"), "y", [dt.date(2020, 6, 1)], {"A": ["a"]}).count() == 0
+
+
+def test_sums_of_a_batch_are_shared_by_its_models():
+    """Equal to one model after the other, in less than half of the time."""
+    import time
+
+    r = np.random.default_rng(8)
+    u = np.column_stack([np.ones(10_000), r.normal(size=(10_000, 8))])
+    y, gap = (r.random(10_000) < 0.4).astype(float), r.integers(0, 15, 10_000)
+    coef, gaps = r.normal(size=(120, 9)), np.repeat(np.arange(15), 8)
+
+    def plain():
+        out = []
+        for c, g in zip(coef, gaps):
+            v, t = u[gap <= g], y[gap <= g]
+            eta = v @ c
+            p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+            out.append((v.T @ (p - t), (v * (p * (1 - p))[:, None]).T @ v, [(np.logaddexp(0.0, eta) - t * eta).sum()]))
+        return [np.array(a) for a in zip(*out)]
+
+    def timed(f):
+        best = []
+        for _ in range(3):
+            start = time.process_time()
+            out = f()
+            best.append(time.process_time() - start)
+        return out, min(best)
+
+    want, slow = timed(plain)
+    got, fast = timed(lambda: classify.batch_sums(u, y, gap, coef, gaps))
+    for a, b in zip(got, want):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-8)
+    print("seconds", slow, fast)
+    assert fast < slow / 2
